@@ -1 +1,9 @@
 """Build, synthesise and evaluate time-to-event cohorts as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers by value, so executors
+# need no installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+
+def _log_gamma(values: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in values.ravel()]).reshape(values.shape)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -57,7 +59,9 @@ def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     p, q = np.where(flip, b, a), np.where(flip, a, b)
     y = np.where(flip, 1.0 - x, x)
     log_scale = (
-        (_lgamma(p + q) - _lgamma(p) - _lgamma(q)).astype(float)
+        _log_gamma(p + q)
+        - _log_gamma(p)
+        - _log_gamma(q)
         + p * np.log(y)
         + q * np.log1p(-y)
     )

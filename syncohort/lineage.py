@@ -23,18 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Write `frame` out reliably and go on from the copy.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/syncohort/{name}-{uuid.uuid4().hex}"
 
-    Used where one intermediate result feeds several later stages: they then
-    see the same rows even if executors are lost in between.
-    """
-    context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(frame.sparkSession))
-    return frame.checkpoint(eager=True)
 
+def cut(frame: DataFrame, name: str = "step") -> DataFrame:
+    """Write `frame` as a table in the shared folder and go on from that table.
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    Used where one intermediate result feeds several later stages: it is computed
+    once, all stages see the same rows even if executors are lost in between, and
+    each stage reads only the columns it needs.
+    """
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)

@@ -108,7 +108,7 @@ def evaluate_scores(
     The curve is written out once, since scores are expensive to compute again.
     """
     keys = run_keys(scores.columns, keys)
-    points = cut(roc_points(scores, keys, score, positive))
+    points = cut(roc_points(scores, keys, score, positive), "roc")
     return (
         roc_auc(points, keys)
         .join(tpr_at_fpr(points, keys, levels), keys)

@@ -57,17 +57,12 @@ def _coordinates(
 
 def _place(numeric: int, total: int) -> Column:
     """Sort key: categories first, then the curve through the numeric features."""
-    category = (
-        F.xxhash64(*[F.col("x")[i] for i in range(numeric, total)])
-        if total > numeric
-        else F.lit(0).cast("bigint")
+    nothing = F.lit(0).cast("bigint")
+    category = F.xxhash64(*[F.col("x")[i] for i in range(numeric, total)])
+    return F.struct(
+        (category if total > numeric else nothing).alias("c"),
+        (curve_position([f"x[{i}]" for i in range(numeric)]) if numeric else nothing).alias("z"),
     )
-    curve = (
-        curve_position([F.col("x")[i] for i in range(numeric)])
-        if numeric
-        else F.lit(0).cast("bigint")
-    )
-    return F.struct(category.alias("c"), curve.alias("z"))
 
 
 def _gower_bounds(numeric: int, wanted: int):
@@ -93,16 +88,15 @@ def _gower(queries: np.ndarray, data: np.ndarray, numeric: int) -> np.ndarray:
 
 
 def _smallest(distance: np.ndarray, ids: np.ndarray, wanted: int):
-    """The `wanted` smallest (distance, id) per row; rows are padded with inf."""
-    far = np.iinfo(np.int64).max
-    left = distance.copy()
+    """The `wanted` smallest distances per row and their ids; `ids` ascend, so ties
+    go to the smaller id. Changes `distance`."""
+    rows = np.arange(len(distance))
     found_d, found_i = [], []
     for _ in range(min(wanted, len(ids))):
-        best = left.min(axis=1)
-        chosen = np.where(left == best[:, None], ids[None, :], far).min(axis=1)
-        found_d.append(best)
-        found_i.append(chosen)
-        left[(ids[None, :] == chosen[:, None])] = np.inf
+        best = distance.argmin(axis=1)
+        found_d.append(distance[rows, best])
+        found_i.append(ids[best])
+        distance[rows, best] = np.inf
     return np.stack(found_d, axis=1), np.stack(found_i, axis=1)
 
 
@@ -162,7 +156,9 @@ def _search(
                 yield pd.DataFrame([out])[first_schema.names]
 
     # Written out: it feeds both the result and the choice of further blocks.
-    pilot = cut(block_pairs(first, queries, data, keys).mapInPandas(evaluate_first, first_schema))
+    pilot = cut(
+        block_pairs(first, queries, data, keys).mapInPandas(evaluate_first, first_schema), "pilot"
+    )
 
     tolerance = 1e-9
     further = (
@@ -261,20 +257,17 @@ def nearest_records(
     found = _search(
         blocked(distinct, "q"), blocked(stock, "d"), keys, len(numeric), features, wanted
     )
-    # Floats that differ only by summation order are ties.
-    found = found.withColumn("distance", F.round(F.col("distance") / F.lit(float(features)), 12))
+    # Floats that differ only by summation order are ties, decided by the id.
+    found = found.withColumn("distance", F.col("distance") / F.lit(float(features))).withColumn(
+        "_level", F.round("distance", 12)
+    )
+    entry = F.struct("_level", F.col("did").alias("neighbour"), "distance")
     if wanted == 1:
-        best = found.groupBy(*keys, "qid").agg(
-            F.min(F.struct("distance", F.col("did").alias("neighbour"))).alias("best")
-        )
+        best = found.groupBy(*keys, "qid").agg(F.min(entry).alias("best"))
         lists = best.select(*keys, "qid", F.array("best").alias("best"))
     else:
-        near = top_k(found, [*keys, "qid"], [F.col("distance"), F.col("did")], wanted, "_rank")
-        lists = near.groupBy(*keys, "qid").agg(
-            F.sort_array(
-                F.collect_list(F.struct("distance", F.col("did").alias("neighbour")))
-            ).alias("best")
-        )
+        near = top_k(found, [*keys, "qid"], [F.col("_level"), F.col("did")], wanted, "_rank")
+        lists = near.groupBy(*keys, "qid").agg(F.sort_array(F.collect_list(entry)).alias("best"))
     # Back from distinct records to rows: equal records share one result.
     by_record = distinct.join(
         lists.withColumnRenamed("qid", "pid"), [*keys, "pid"]
@@ -360,7 +353,9 @@ def identifiability_score(
     both = to_synthetic.withColumnRenamed("distance", "to_synthetic").join(
         to_real.withColumnRenamed("distance", "to_real"), [*keys, "id"], "left"
     )
-    closer = F.coalesce(F.col("to_synthetic") < F.col("to_real"), F.lit(False))
+    closer = F.coalesce(
+        F.round("to_synthetic", 12) < F.round("to_real", 12), F.lit(False)
+    )
     return both.groupBy(*keys).agg(F.avg(closer.cast("double")).alias("id_score"))
 
 
@@ -372,7 +367,7 @@ def distance_scores(
     near = closest_distance(synthetic, real, keys, **options)
     flags = with_member(real).select(*keys, "id", "member")
     return flags.join(near, [*keys, "id"]).select(
-        *keys, "id", "member", (-F.col("distance")).alias("score")
+        *keys, "id", "member", (-F.round("distance", 12)).alias("score")
     )
 
 
@@ -392,5 +387,7 @@ def calibrated_distance_scores(
     return (
         flags.join(to_synthetic.withColumnRenamed("distance", "d_synth"), [*keys, "id"])
         .join(to_reference.withColumnRenamed("distance", "d_ref"), [*keys, "id"])
-        .select(*keys, "id", "member", (F.col("d_ref") - F.col("d_synth")).alias("score"))
+        .select(
+            *keys, "id", "member", F.round(F.col("d_ref") - F.col("d_synth"), 12).alias("score")
+        )
     )

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from syncohort.functions.columns import as_column, format_fixed, format_interval
+from syncohort.functions.columns import as_column, format_fixed, format_interval, ratio
 from syncohort.functions.ordered import SPLITS, running_totals
 
 
@@ -136,26 +136,36 @@ def describe(frame: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> D
 
 
 def correlation_matrix(
-    frame: DataFrame, keys: Sequence[str], columns: Sequence[str]
+    frame: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    pairs: Sequence[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Pearson correlations of all column pairs over complete rows, in one aggregation."""
-    complete = frame.dropna(subset=list(columns))
-    pairs = list(combinations(columns, 2))
-
-    def correlation(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        scale = F.stddev_pop(x) * F.stddev_pop(y)
-        return F.covar_pop(x, y) / F.nullif(scale, F.lit(0.0))
-
-    wide = complete.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r"))
-                for a, b in pairs
-            ]
-        ).alias("_pairs")
+    """Pearson correlations of column pairs over complete rows, in one aggregation."""
+    pairs = list(combinations(columns, 2)) if pairs is None else list(pairs)
+    complete = frame.dropna(subset=list(columns)).select(
+        *keys, *[F.col(c).cast("double").alias(c) for c in columns]
+    )
+    moments = complete.groupBy(*keys).agg(
+        *[F.stddev_pop(c).alias(f"_sd_{c}") for c in columns],
+        *[F.covar_pop(a, b).alias(f"{a}|{b}") for a, b in pairs],
+    )
+    # Rows first, then the division: one expression instead of one per pair.
+    long = moments.unpivot(
+        [*keys, *[f"_sd_{c}" for c in columns]], [f"`{a}|{b}`" for a, b in pairs], "pair", "cov"
+    )
+    names = F.split("pair", r"\|")
+    spread = F.create_map(
+        *[part for c in columns for part in (F.lit(c), F.col(f"_sd_{c}"))]
+    )
+    return (
+        long.select(*keys, names[0].alias("a"), names[1].alias("b"), "cov", spread.alias("_sd"))
+        .select(
+            *keys, "a", "b", "cov",
+            (F.col("_sd")[F.col("a")] * F.col("_sd")[F.col("b")]).alias("_scale"),
+        )
+        .select(*keys, "a", "b", ratio("cov", "_scale").alias("r"))
     )
-    return wide.select(*keys, F.inline("_pairs"))
 
 
 def with_group_stats(

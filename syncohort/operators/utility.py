@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,11 +116,13 @@ def pcd(
     dummies = [f"stage_{s}" for s in settings.stages]
     columns = [*dummies, *variables]
 
+    pairs = [
+        (a, b) for a, b in combinations(columns, 2) if not (a in dummies and b in dummies)
+    ]
+
     def correlations(frame: DataFrame, own: Sequence[str], name: str) -> DataFrame:
         coded = one_hot(frame, "stage", settings.stages)
-        table = correlation_matrix(coded, own, columns)
-        among_dummies = F.col("a").isin(dummies) & F.col("b").isin(dummies)
-        return table.filter(~among_dummies).withColumnRenamed("r", name)
+        return correlation_matrix(coded, own, columns, pairs).withColumnRenamed("r", name)
 
     own = run_keys(real.columns, keys)
     real_side = spread_over_runs(correlations(real, own, "r_real"), synthetic, keys)

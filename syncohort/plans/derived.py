@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from syncohort.lineage import cut
 from syncohort.operators.cohort import prepare_cohort, with_run_minimum_delta
 from syncohort.settings import RUN, StudySettings
 
@@ -73,12 +74,12 @@ def real_and_synthetic(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
 
 
 def attack_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(real with `holdout` flag, synthetic) with day offsets instead of dates."""
-    table = with_run_minimum_delta(
-        run_table(spark, folder).withColumn("holdout", (F.col("id") % 5 == 0).cast("int")),
-        ["exit"],
-        RUN,
-    )
+    """(real with `holdout` flag, synthetic) with day offsets instead of dates.
+
+    Written out once per query, since the pairwise operators read it several times.
+    """
+    runs = run_table(spark, folder).withColumn("holdout", (F.col("id") % 5 == 0).cast("int"))
+    table = cut(with_run_minimum_delta(runs, ["exit"], RUN), "runs")
     return (
         table.filter("synth = 0").drop("synth"),
         table.filter("synth = 1").drop("synth", "holdout"),

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from syncohort.plans import cases_cohort, cases_stats  # noqa: F401
+from syncohort.plans import cases_cohort, cases_stats, cases_utility  # noqa: F401
 from syncohort.plans.cases import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
