@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from syncohort.plans import cases_cohort, cases_stats, cases_utility  # noqa: F401
+from syncohort.plans import (  # noqa: F401
+    cases_cohort,
+    cases_privacy,
+    cases_stats,
+    cases_utility,
+)
 from syncohort.plans.cases import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
