@@ -121,6 +121,12 @@ def log_sum_exp(values: Column) -> Column:
     return F.when(F.size(present) > 0, top + F.ln(total))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two numeric arrays."""
+    products = F.zip_with(a, b, lambda x, y: x * y)
+    return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+
+
 def run_keys(columns: Iterable[str], keys: Iterable[str]) -> list[str]:
     """The keys that are present, in key order."""
     present = set(columns)

@@ -22,18 +22,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syncohort.functions.columns import clip
+from syncohort.functions.columns import clip, dot
 from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
 from syncohort.functions.splines import equally_spaced_knots, spline_basis
 from syncohort.lineage import cut
-from syncohort.operators.cohort import survival_set
 from syncohort.operators.frequencies import CUTS, event_exposure
 from syncohort.operators.stats import percentile_type2
 from syncohort.operators.synthesis import (
     draw_diagnosis_date,
     draw_survival_time,
+    finish_draws,
 )
 from syncohort.settings import StudySettings
 
@@ -207,10 +207,7 @@ def fit_categorical(
 def _multinomial_weights(rows: DataFrame, beta: np.ndarray) -> DataFrame:
     """n (diag(p) - p p') per pattern, as a flat array."""
     patterns = rows.groupBy("x").agg(F.sum("n").alias("n"))
-    exps = [
-        F.exp(sum((F.col("x")[i] * F.lit(float(b)) for i, b in enumerate(row)), F.lit(0.0)))
-        for row in beta
-    ]
+    exps = [F.exp(dot(F.col("x"), F.array(*[F.lit(float(b)) for b in row]))) for row in beta]
     patterns = patterns.withColumn("_e", F.array(*exps))
     total = F.aggregate("_e", F.lit(1.0), lambda a, v: a + v)
     patterns = patterns.withColumn("_t", total).withColumn(
@@ -275,23 +272,45 @@ def continuous_design(score: str | Column, knots: Sequence[float]) -> list[Colum
     return [linear, *[c / F.lit(scale) for c in cubic]]
 
 
+def survival_parts(
+    level: ModelLevel, codings: Mapping[str, Sequence[Column]], intervals: int
+) -> tuple[list[Column], list[Column], int]:
+    """Covariate terms, covariates whose effect varies, and over how many intervals."""
+    terms = model_terms(level, [v for v in ("age", "sex", "stage", "daar_grp") if v in codings])
+    varying = [c for v in level.tvc for c in codings[v]]
+    return term_columns(terms, codings), varying, max(1, min(level.df_tvc, intervals - 1))
+
+
 def survival_design(
-    level: ModelLevel,
-    codings: Mapping[str, Sequence[Column]],
-    intervals: int,
-    interval: Column | None = None,
+    level: ModelLevel, codings: Mapping[str, Sequence[Column]], intervals: int
 ) -> list[Column]:
-    """Interval dummies, covariate terms, and interval x covariate for varying effects."""
-    interval = F.col("interval") if interval is None else interval
-    terms = model_terms(level, [v for v in ("age", "sex", "stage", "daar_grp") if v in codings])
-    steps = [(interval == F.lit(j)).cast("double") for j in range(1, intervals)]
-    varying = [
-        s * c
-        for v in level.tvc
-        for c in codings[v]
-        for s in steps[: max(1, min(level.df_tvc, intervals - 1))]
-    ]
-    return [*steps, *term_columns(terms, codings), *varying, F.lit(1.0)]
+    """Interval dummies, covariate terms, interval x covariate interval by interval, constant."""
+    steps = [(F.col("interval") == F.lit(j)).cast("double") for j in range(1, intervals)]
+    terms, varying, spans = survival_parts(level, codings, intervals)
+    return [*steps, *terms, *[s * c for s in steps[:spans] for c in varying], F.lit(1.0)]
+
+
+def interval_hazards(
+    beta: Column, terms: Column, varying: Column, sizes: tuple[int, int], spans: int, intervals: int
+) -> Column:
+    """Hazard of every interval from the coefficients of `survival_design` and the values of
+    its terms and varying covariates (arrays of the given sizes)."""
+    n_terms, n_varying = sizes
+    first = intervals - 1
+    last = first + n_terms + spans * n_varying
+    shared = F.get(beta, F.lit(last))
+    if n_terms:
+        shared = shared + dot(F.slice(beta, first + 1, n_terms), terms)
+    hazards = []
+    for j in range(intervals):
+        eta = shared
+        if j > 0:
+            eta = eta + F.get(beta, F.lit(j - 1))
+        if n_varying and 1 <= j <= spans:
+            start = first + n_terms + (j - 1) * n_varying
+            eta = eta + dot(F.slice(beta, start + 1, n_varying), varying)
+        hazards.append(F.exp(eta))
+    return F.array(*hazards)
 
 
 def survival_cuts(level: ModelLevel) -> tuple[float, ...]:
@@ -325,11 +344,7 @@ def fit_survival(
     ).fit(rows.withColumn("features", array_to_vector(F.slice("x", 1, width - 1))))
     beta = np.append(fitted.coefficients.toArray(), fitted.intercept)
     mean = F.exp(
-        F.col("offset")
-        + F.aggregate(
-            F.zip_with("x", F.array(*[F.lit(float(b)) for b in beta]), lambda a, b: a * b),
-            F.lit(0.0), lambda a, v: a + v,
-        )
+        F.col("offset") + dot(F.col("x"), F.array(*[F.lit(float(b)) for b in beta]))
     )
     information = _weighted_gram(rows.select("x", F.array(mean).alias("w")), width, 1)
     return Fit(beta, np.linalg.pinv(information + ridge * np.eye(width), hermitian=True))
@@ -353,57 +368,59 @@ def draw_coefficients(fit: Fit, draws: int, seed: int) -> tuple[np.ndarray, np.n
 
 
 def draws_table(
-    spark: SparkSession, site: str, draws: Mapping[tuple[int, int], np.ndarray]
+    spark: SparkSession, site: str, model: int, vectors: Mapping[str, np.ndarray]
 ) -> DataFrame:
-    """(site, model, sim, beta) from one coefficient vector per run."""
+    """One row per run with a coefficient vector per submodel, `beta_<variable>`."""
     schema = T.StructType(
         [
             T.StructField("site", T.StringType()),
             T.StructField("model", T.IntegerType()),
             T.StructField("sim", T.IntegerType()),
-            T.StructField("beta", T.ArrayType(T.DoubleType())),
+            *[T.StructField(f"beta_{v}", T.ArrayType(T.DoubleType())) for v in vectors],
         ]
     )
-    rows = [(site, m, s, [float(v) for v in b]) for (m, s), b in draws.items()]
+    sims = len(next(iter(vectors.values())))
+    rows = [
+        (site, model, s + 1, *[[float(b) for b in draws[s]] for draws in vectors.values()])
+        for s in range(sims)
+    ]
     return spark.createDataFrame(rows, schema)
 
 
-def _dot(beta: Column, design: Sequence[Column], offset: int = 0) -> Column:
-    total = F.lit(0.0)
-    for i, column in enumerate(design):
-        total = total + beta[offset + i] * column
-    return total
-
-
-def draw_continuous(score: Column, fit: Fit, beta: Column) -> Column:
-    """Prediction at a standard normal score, kept near the observed range, rounded."""
+def predicted_value(fit: Fit, beta: Column, design: Column) -> Column:
+    """Prediction kept near the observed range and rounded."""
     low, high = fit.limits
-    design = [*continuous_design(score, fit.knots), F.lit(1.0)]
-    value = clip(_dot(beta, design), F.lit(low - 0.49999), F.lit(high + 0.49999))
+    value = clip(dot(beta, design), F.lit(low - 0.49999), F.lit(high + 0.49999))
     return F.round(value).cast("int")
 
 
-def draw_multinomial(fit: Fit, beta: Column, design: Sequence[Column], u: Column) -> Column:
+def draw_multinomial(fit: Fit, beta: Column, design: Column, width: int, u: Column) -> Column:
     """Class whose cumulative probability first exceeds `u`."""
-    width = len(design)
-    logits = F.array(
-        F.lit(0.0), *[_dot(beta, design, k * width) for k in range(len(fit.classes) - 1)]
+    others = len(fit.classes) - 1
+    logits = F.transform(
+        F.sequence(F.lit(-1), F.lit(others - 1)),
+        lambda k: F.when(k < 0, F.lit(0.0)).otherwise(
+            dot(F.slice(beta, F.greatest(k, F.lit(0)) * width + 1, F.lit(width)), design)
+        ),
     )
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda e: F.exp(e - top))
-    target = u * F.aggregate(weights, F.lit(0.0), lambda a, v: a + v)
-    classes = F.array(*[F.lit(c) for c in fit.classes])
     start = F.struct(F.lit(0.0).alias("upto"), F.lit(0).alias("passed"))
 
-    def add(acc: Column, w: Column) -> Column:
-        upto = acc["upto"] + w
-        return F.struct(
-            upto.alias("upto"),
-            (acc["passed"] + F.when(upto <= target, 1).otherwise(0)).alias("passed"),
-        )
+    def choose(etas: Column) -> Column:
+        weights = F.transform(etas, lambda e: F.exp(e - F.array_max(etas)))
+        target = u * F.aggregate(weights, F.lit(0.0), lambda total, w: total + w)
+
+        def add(acc: Column, w: Column) -> Column:
+            upto = acc["upto"] + w
+            return F.struct(
+                upto.alias("upto"),
+                (acc["passed"] + F.when(upto <= target, 1).otherwise(0)).alias("passed"),
+            )
+
+        return F.aggregate(weights, start, add)["passed"]
 
-    passed = F.aggregate(weights, start, add)["passed"]
-    return F.get(classes, F.least(passed, F.lit(len(fit.classes) - 1)))
+    # One-element array, so that the scores are computed once and then named.
+    passed = F.get(F.transform(F.array(logits), choose), F.lit(0))
+    return F.get(F.array(*[F.lit(c) for c in fit.classes]), F.least(passed, F.lit(others)))
 
 
 def synthesize_fitted(
@@ -435,51 +452,67 @@ def synthesize_fitted(
         cuts = survival_cuts(level)
         fits: dict[str, Fit] = {"age": age_fit}
         earlier = ["age"]
+        # In the drawn table each coded column is computed once, under a name.
+        named = {
+            v: [F.col(f"_{v}_{i}") for i in range(len(columns))] for v, columns in codings.items()
+        }
         designs: dict[str, list[Column]] = {}
         for variable in settings.sequence[1:]:
             terms = model_terms(level, earlier)
             fits[variable] = fit_categorical(cohort, variable, terms, codings)
-            designs[variable] = [*term_columns(terms, codings), F.lit(1.0)]
+            designs[variable] = [*term_columns(terms, named), F.lit(1.0)]
             earlier.append(variable)
         fits["t"] = fit_survival(cohort, level, codings)
 
+        keys = ["site", "model", "sim"]
+        order = [*settings.sequence, "t"]
+        vectors = {
+            v: draw_coefficients(fits[v], sims, seed + 1000 * model + purpose)[0]
+            for purpose, v in enumerate(order)
+        }
         rows = slots.withColumn("model", F.lit(model)).withColumn(
             "sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))
         )
-        keys = ["site", "model", "sim"]
-        for purpose, variable in enumerate([*settings.sequence, "t"]):
+        rows = rows.join(draws_table(spark, site, model, vectors), keys)
+        for purpose, variable in enumerate(order):
             fit = fits[variable]
-            betas, _ = draw_coefficients(fit, sims, seed + 1000 * model + purpose)
-            table = draws_table(
-                spark, site, {(model, s): betas[s - 1] for s in range(1, sims + 1)}
-            )
-            rows = rows.join(table, keys)
-            beta = F.col("beta")
+            beta, u = F.col(f"beta_{variable}"), hash_uniform(*keys, "id", purpose)
             if variable == "age":
-                drawn = draw_continuous(hash_normal(*keys, "id", purpose), fit, beta)
+                rows = rows.withColumn("_score", hash_normal(*keys, "id", purpose))
+                design = [*continuous_design("_score", fit.knots), F.lit(1.0)]
+                rows = rows.withColumn("_x", F.array(*design))
+                rows = rows.withColumn("age", predicted_value(fit, beta, F.col("_x")))
             elif variable == "t":
-                hazards = [
-                    F.exp(_dot(beta, survival_design(level, codings, len(cuts), F.lit(j))))
-                    for j in range(len(cuts))
-                ]
-                drawn = draw_survival_time(
-                    F.array(*hazards), hash_uniform(*keys, "id", purpose), cuts,
-                    settings.max_follow_up,
+                terms, varying, spans = survival_parts(level, named, len(cuts))
+                none = F.array().cast("array<double>")
+                rows = rows.withColumns(
+                    {
+                        "_x": F.array(*terms) if terms else none,
+                        "_v": F.array(*varying) if varying else none,
+                    }
                 )
+                hazards = interval_hazards(
+                    beta, F.col("_x"), F.col("_v"), (len(terms), len(varying)), spans, len(cuts)
+                )
+                rows = rows.withColumn("_rates", hazards)
+                days = draw_survival_time("_rates", u, cuts, settings.max_follow_up)
+                rows = rows.withColumn("_days", days)
             else:
-                drawn = draw_multinomial(
-                    fit, beta, designs[variable], hash_uniform(*keys, "id", purpose)
+                design = designs[variable]
+                rows = rows.withColumn("_x", F.array(*design))
+                drawn = draw_multinomial(fit, beta, F.col("_x"), len(design), u)
+                rows = rows.withColumn(variable, drawn)
+            rows = rows.drop(f"beta_{variable}", "_x", "_v", "_score", "_rates")
+            if variable in codings:
+                rows = rows.withColumns(
+                    {f"_{variable}_{i}": c for i, c in enumerate(codings[variable])}
                 )
-            name = "_days" if variable == "t" else variable
-            rows = rows.withColumn(name, drawn).drop("beta")
         rows = rows.withColumn(
             "diag_date",
             draw_diagnosis_date("daar_grp", hash_uniform(*keys, "id", 99), settings),
-        )
-        rows = rows.withColumn("exit", F.date_add("diag_date", F.col("_days"))).drop("_days")
-        rows = survival_set(rows.withColumn("status", F.lit(1)), settings)
+        ).select(*keys, "id", *settings.sequence, "diag_date", "_days")
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("daar", F.year("diag_date"))
+    return finish_draws(out, settings)
 
 
 def discriminator_scores(

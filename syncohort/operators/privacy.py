@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from syncohort.functions.columns import log_sum_exp, run_keys
+from syncohort.functions.columns import dot, log_sum_exp, run_keys
 from syncohort.functions.splines import spline_basis
 from syncohort.operators.frequencies import (
     CUTS,
@@ -106,10 +106,8 @@ def softmax_probability(
     scored = scenarios.withColumn("_x", design).join(packed, keys)
 
     def predictor(entry: Column) -> Column:
-        products = F.zip_with(entry["beta"], F.col("_x"), lambda b, x: b * x)
         return F.struct(
-            entry["class"].alias("class"),
-            F.aggregate(products, F.lit(0.0), lambda a, v: a + v).alias("eta"),
+            entry["class"].alias("class"), dot(entry["beta"], F.col("_x")).alias("eta")
         )
 
     scored = scored.withColumn("_eta", F.transform("_classes", predictor))
@@ -187,9 +185,7 @@ def continuous_probability(
 
 def _log_time(rates: Column, exposure: Column, interval: Column, status: Column) -> Column:
     """ln of h(t)S(t) for an event, of S(t) otherwise, for one array of hazards."""
-    spent = F.aggregate(
-        F.zip_with(rates, exposure, lambda r, e: r * e), F.lit(0.0), lambda a, v: a + v
-    )
+    spent = dot(rates, exposure)
     hazard = F.get(rates, interval)
     return F.when(status == 1, F.when(hazard > 0, F.ln(hazard) - spent)).otherwise(-spent)
 

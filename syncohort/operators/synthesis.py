@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from syncohort.functions.columns import DAYS_PER_YEAR, as_column, run_keys, year_group
 from syncohort.functions.draws import hash_uniform
 from syncohort.functions.ordered import row_numbers
+from syncohort.lineage import cut
 from syncohort.operators.cohort import survival_set
 from syncohort.operators.frequencies import (
     CUTS,
@@ -194,8 +195,18 @@ def synthesize(
     out = out.withColumn(
         "diag_date", draw_diagnosis_date("daar_grp", uniform(purpose + 2), settings)
     )
-    out = out.withColumn("exit", F.date_add("diag_date", F.col("_days"))).drop("_days")
-    out = survival_set(out.withColumn("status", F.lit(1)), settings)
+    return finish_draws(out, settings)
+
+
+def finish_draws(drawn: DataFrame, settings: StudySettings) -> DataFrame:
+    """Exit date, censoring at the cutoff and analysis time for rows with `_days`.
+
+    The draws are written out first: they are the result, and no later filter can
+    then be moved below the chain that made them.
+    """
+    drawn = cut(drawn, "drawn")
+    dated = drawn.withColumn("exit", F.date_add("diag_date", F.col("_days"))).drop("_days")
+    out = survival_set(dated.withColumn("status", F.lit(1)), settings)
     return out.withColumns(
         {
             "daar": F.year("diag_date"),

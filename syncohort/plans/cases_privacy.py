@@ -338,12 +338,12 @@ def _(spark, folder):
 @case(
     "prior_sweep",
     "site:s model:i sim:i id:i prior:f6 ymin:f6 ymax:f6",
-    f"SELECT {K}, id, prior, CASE WHEN hi - lo < 0.01 THEN greatest(hi - 0.01, 0) ELSE lo END "
-    f"AS ymin, hi AS ymax FROM (SELECT {K}, id, prior, min(y) AS lo, max(y) AS hi FROM ("
-    f"SELECT {K}, id, prior, t.probability * prior / nullif(t.probability * prior + "
-    f"w.probability * (1 - prior), 0) AS y FROM (SELECT * FROM posterior WHERE correct = 1) t "
+    f"SELECT {K}, id, a AS prior, CASE WHEN hi - lo < 0.01 THEN greatest(hi - 0.01, 0) ELSE lo END "
+    f"AS ymin, hi AS ymax FROM (SELECT {K}, id, a, min(y) AS lo, max(y) AS hi FROM ("
+    f"SELECT {K}, id, a, t.probability * a / nullif(t.probability * a + "
+    f"w.probability * (1 - a), 0) AS y FROM (SELECT * FROM posterior WHERE correct = 1) t "
     f"JOIN (SELECT * FROM posterior WHERE correct = 0) w USING ({K}, id) JOIN worst "
-    f"USING ({K}, id), (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS prior)) GROUP BY ALL)",
+    f"USING ({K}, id), (SELECT unnest(range(0, 101)) / 100.0::DOUBLE AS a)) GROUP BY ALL)",
     POSTERIOR_SQL
     + f""",
 worst AS (SELECT {K}, id FROM (SELECT *, row_number() OVER (PARTITION BY {K}
