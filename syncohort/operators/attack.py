@@ -105,9 +105,11 @@ def evaluate_scores(
 ) -> DataFrame:
     """AUC, true positive rates and epsilon of one attack, one row per run.
 
-    The curve is written out once, since scores are expensive to compute again.
+    Scores and curve are written out: scores are expensive to compute again, and the
+    three measures read the same curve.
     """
     keys = run_keys(scores.columns, keys)
+    scores = cut(scores.select(*keys, score, positive), "scores")
     points = cut(roc_points(scores, keys, score, positive), "roc")
     return (
         roc_auc(points, keys)

@@ -245,15 +245,19 @@ def ordinal_encode(
     name: str,
     keys: Sequence[str] = (),
     unknown: int = 9,
+    splits: int | None = None,
 ) -> DataFrame:
-    """Category -> position among the sorted categories of `fitted_on`."""
+    """Category -> position among the sorted categories of `fitted_on`.
+
+    Give `splits` for a column with very many categories.
+    """
     keys = list(keys)
     categories = fitted_on.select(*keys, column).filter(F.col(column).isNotNull()).distinct()
     groups = keys
     if not keys:
         categories, groups = categories.withColumn("_all", F.lit(0)), ["_all"]
     codes = running_totals(
-        categories, groups, [column], {"_code": F.lit(1).cast("bigint")}
+        categories, groups, [column], {"_code": F.lit(1).cast("bigint")}, splits=splits
     ).drop("_all")
     return (
         frame.join(codes, [*keys, column], "left")

@@ -65,12 +65,18 @@ def _place(numeric: int, total: int) -> Column:
     )
 
 
+def _mean_difference(gap: np.ndarray, numeric: int) -> np.ndarray:
+    """Mean over features of numeric gaps and of 0/1 for any gap between categories."""
+    total = gap[:, :numeric].sum(axis=1) + (gap[:, numeric:] > 0).sum(axis=1)
+    return total / gap.shape[1]
+
+
 def _gower_bounds(numeric: int, wanted: int):
     def bounds(qlo, qhi, dlo, dhi):
         gap = np.maximum(0.0, np.maximum(dlo - qhi, qlo - dhi))
         far = np.maximum(dhi - qlo, qhi - dlo)
-        lower = gap[:, :numeric].sum(axis=1) + (gap[:, numeric:] > 0).sum(axis=1)
-        upper = far[:, :numeric].sum(axis=1) + (far[:, numeric:] > 0).sum(axis=1)
+        lower = _mean_difference(gap, numeric)
+        upper = _mean_difference(far, numeric)
         # With one wanted neighbour any block is a witness for its own upper bound.
         if wanted == 1 and len(upper):
             lower = np.where(lower <= upper.min() * (1 + 1e-9) + 1e-9, lower, np.inf)
@@ -80,11 +86,12 @@ def _gower_bounds(numeric: int, wanted: int):
 
 
 def _gower(queries: np.ndarray, data: np.ndarray, numeric: int) -> np.ndarray:
+    """All distances of two blocks. Rounded, so that ties do not depend on summation."""
     out = np.zeros((len(queries), len(data)))
     for j in range(queries.shape[1]):
         difference = queries[:, j, None] - data[None, :, j]
         out += np.abs(difference) if j < numeric else difference != 0
-    return out
+    return np.round(out / queries.shape[1], 12)
 
 
 def _smallest(distance: np.ndarray, ids: np.ndarray, wanted: int):
@@ -111,10 +118,7 @@ def _search(
     dims: int,
     wanted: int,
 ) -> DataFrame:
-    """(keys, qid, distance, did): at least the `wanted` nearest data points per query.
-
-    Distances are sums over features, not yet divided by their number.
-    """
+    """(keys, qid, distance, did): at least the `wanted` nearest data points per query."""
     keys = list(keys)
     key_fields = [queries.schema[k] for k in keys]
     candidates = box_distances(queries, data, keys, _gower_bounds(numeric, wanted))
@@ -186,7 +190,7 @@ def _search(
                 limits = np.frombuffer(row.limits)
                 lo, hi = dx.min(axis=0), dx.max(axis=0)
                 gap = np.maximum(0.0, np.maximum(lo - qx, qx - hi))
-                reach = gap[:, :numeric].sum(axis=1) + (gap[:, numeric:] > 0).sum(axis=1)
+                reach = _mean_difference(gap, numeric)
                 open_rows = np.flatnonzero(reach <= limits + tolerance)
                 for s in range(0, len(open_rows), _QUERY_CHUNK):
                     rows = open_rows[s : s + _QUERY_CHUNK]
@@ -221,7 +225,8 @@ def nearest_records(
     The distance is the mean over features of the absolute difference divided by
     the range (numeric) and of 0/1 for equal/different (categorical). Ranges are
     taken per run over data, samples and `scaling`; a range of 0 contributes 0.
-    Ties go to the smaller id. Ids are integers; categories are integer codes.
+    Distances are rounded to twelve decimals; ties go to the smaller id. Ids are
+    integers; categories are integer codes.
 
     Equal records are searched once, however many there are. Data without all
     numeric features cannot be a neighbour, samples without them get none.
@@ -257,16 +262,12 @@ def nearest_records(
     found = _search(
         blocked(distinct, "q"), blocked(stock, "d"), keys, len(numeric), features, wanted
     )
-    # Floats that differ only by summation order are ties, decided by the id.
-    found = found.withColumn("distance", F.col("distance") / F.lit(float(features))).withColumn(
-        "_level", F.round("distance", 12)
-    )
-    entry = F.struct("_level", F.col("did").alias("neighbour"), "distance")
+    entry = F.struct("distance", F.col("did").alias("neighbour"))
     if wanted == 1:
         best = found.groupBy(*keys, "qid").agg(F.min(entry).alias("best"))
         lists = best.select(*keys, "qid", F.array("best").alias("best"))
     else:
-        near = top_k(found, [*keys, "qid"], [F.col("_level"), F.col("did")], wanted, "_rank")
+        near = top_k(found, [*keys, "qid"], [F.col("distance"), F.col("did")], wanted, "_rank")
         lists = near.groupBy(*keys, "qid").agg(F.sort_array(F.collect_list(entry)).alias("best"))
     # Back from distinct records to rows: equal records share one result.
     by_record = distinct.join(
@@ -353,9 +354,7 @@ def identifiability_score(
     both = to_synthetic.withColumnRenamed("distance", "to_synthetic").join(
         to_real.withColumnRenamed("distance", "to_real"), [*keys, "id"], "left"
     )
-    closer = F.coalesce(
-        F.round("to_synthetic", 12) < F.round("to_real", 12), F.lit(False)
-    )
+    closer = F.coalesce(F.col("to_synthetic") < F.col("to_real"), F.lit(False))
     return both.groupBy(*keys).agg(F.avg(closer.cast("double")).alias("id_score"))
 
 
@@ -367,7 +366,7 @@ def distance_scores(
     near = closest_distance(synthetic, real, keys, **options)
     flags = with_member(real).select(*keys, "id", "member")
     return flags.join(near, [*keys, "id"]).select(
-        *keys, "id", "member", (-F.round("distance", 12)).alias("score")
+        *keys, "id", "member", (-F.col("distance")).alias("score")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from syncohort.functions.draws import portable_uniform, portable_uniform_sql
+from syncohort.lineage import cut
 from syncohort.operators import attack, density, distance, report, survival, utility
 from syncohort.operators.stats import with_group_stats
 from syncohort.plans.cases import case
@@ -100,10 +101,10 @@ pmse AS (SELECT {K}, avg(power(prob - 0.5, 2)) AS pmse FROM propensity GROUP BY
 """
 
 
-def _propensity(spark, folder):
+def _propensity(runs):
     """Share of synthetic rows among the rows with the same age, sex and stage."""
     return with_group_stats(
-        run_table(spark, folder),
+        runs,
         [*RUN, "age", "sex", "stage"],
         {"prob": F.avg(F.col("synth").cast("double"))},
     )
@@ -195,7 +196,7 @@ def _(spark, folder):
 
 @case("pmse", "site:s model:i sim:i pmse:f9", "SELECT * FROM pmse", PMSE_SQL)
 def _(spark, folder):
-    return utility.pmse(_propensity(spark, folder))
+    return utility.pmse(_propensity(run_table(spark, folder)))
 
 
 def _three(name: str, fmt: str) -> str:
@@ -217,11 +218,12 @@ def _three(name: str, fmt: str) -> str:
 )
 def _(spark, folder):
     """All utility metrics in one report row per model."""
-    real, synthetic = real_and_synthetic(spark, folder)
+    runs = cut(run_table(spark, folder), "runs")
+    real, synthetic = runs.filter("synth = 0"), runs.filter("synth = 1")
     table = utility.utility_table(
         utility.jsd_total(utility.jsd_univariate(real, synthetic)),
         utility.pcd(real, synthetic),
-        utility.pmse(_propensity(spark, folder)),
+        utility.pmse(_propensity(runs)),
         survival.survival_difference(real, synthetic, HORIZON),
     )
     return report.report_rows(table, ["jsd", "pcd", "pmse", "mean_diff"], ["site", "model"])
@@ -237,7 +239,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Two metrics per run with the model means on every row."""
     return utility.trade_off(
-        utility.pmse(_propensity(spark, folder)),
+        utility.pmse(_propensity(run_table(spark, folder))),
         utility.pcd(*real_and_synthetic(spark, folder)),
         "pmse",
         "pcd",
@@ -287,7 +289,7 @@ MATCH_FEATURES = ["age", "sex", "stage", "daar", "status"]
 
 @case(
     "nearest_records",
-    "site:s model:i sim:i id:i rank:i distance:f9",
+    "site:s model:i sim:i id:i rank:i distance:f6",
     f"SELECT {K}, id, rank, d AS distance FROM (SELECT {', '.join(f'a.{k}' for k in RUN)}, a.id, "
     f"{_gower()} AS d, row_number() OVER (PARTITION BY {', '.join(f'a.{k}' for k in RUN)}, a.id "
     f"ORDER BY {_gower()}) AS rank FROM attack a JOIN attack b ON a.model = b.model AND "
@@ -319,7 +321,7 @@ def _(spark, folder):
 
 @case(
     "dcr_per_real",
-    "site:s model:i sim:i id:i distance:f9",
+    "site:s model:i sim:i id:i distance:f6",
     f"SELECT {K}, id, d AS distance FROM r_to_s",
     GOWER_SQL,
 )
@@ -460,7 +462,7 @@ CALIBRATED_SQL = ",".join(
 
 @case(
     "mia_distance_calibrated",
-    "site:s model:i sim:i id:i member:i score:f9",
+    "site:s model:i sim:i id:i member:i score:f6",
     f"SELECT {K}, id, 1 - s.holdout AS member, k.d - s.d AS score FROM near_s s JOIN near_k k "
     f"USING ({K}, id)",
     CALIBRATED_SQL,
@@ -670,7 +672,8 @@ def _(spark, folder):
     f"USING ({K})",
     f"""
 shares AS (SELECT {K}, age, sex, stage AS class, count(*) / CAST(sum(count(*)) OVER
-    (PARTITION BY {K}, age, sex) AS DOUBLE) AS score FROM runs WHERE synth = 1 GROUP BY ALL),
+    (PARTITION BY {K}, age, sex) AS DOUBLE) AS score FROM runs WHERE synth = 1
+    GROUP BY {K}, age, sex, stage),
 people AS (SELECT * FROM runs WHERE synth = 0),
 class_scores AS (SELECT {", ".join(f"p.{k}" for k in RUN)}, p.id, p.stage, c.class,
     coalesce(s.score, 0) AS score FROM people p,
