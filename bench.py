@@ -39,7 +39,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("syncohort-bench")
-        .config("spark.sql.shuffle.partitions", str(2 * int(cpus)))
+        .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
