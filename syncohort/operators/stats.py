@@ -30,8 +30,12 @@ def percentile_type2(
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count("*").alias("_c"))
     )
-    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = running_totals(counts, keys, ["_x"], {"_upto": "_c"}, splits=splits).join(sizes, keys)
+    ranked = running_totals(counts, keys, ["_x"], {"_upto": "_c"}, splits=splits)
+    if splits is None:
+        ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+    else:
+        sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+        ranked = ranked.join(sizes, keys)
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") >= rank, F.col("_x")))

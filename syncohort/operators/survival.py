@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from syncohort.functions.columns import ratio, run_keys
 from syncohort.functions.special import chi2_upper_tail_1df
+from syncohort.lineage import cut
 from syncohort.operators.cohort import spread_over_runs, with_age_group
 from syncohort.operators.stats import percentile_type2
 from syncohort.settings import RUN
@@ -111,13 +112,16 @@ def survival_difference(
 ) -> DataFrame:
     """Mean and median absolute difference over strata present in both sources."""
     keys = run_keys(synthetic.columns, keys)
-    points = survival_at_horizon(real, synthetic, horizon, keys, strata).filter(
-        F.col("abs_diff").isNotNull()
+    # One row per stratum of a run, read twice below.
+    points = cut(
+        survival_at_horizon(real, synthetic, horizon, keys, strata).filter(
+            F.col("abs_diff").isNotNull()
+        ),
+        "strata",
     )
     means = points.groupBy(*keys).agg(
         F.avg("abs_diff").alias("mean_diff"), F.count("*").alias("strata")
     )
-    # One row per stratum of a run.
     medians = percentile_type2(points, keys, "abs_diff", {"med_diff": 50}, splits=None)
     return means.join(medians, keys)
 
