@@ -15,6 +15,7 @@ from syncohort.lineage import cut
 from syncohort.operators.attack import split_reference, with_member
 from syncohort.operators.blocks import (
     BLOCK_ROWS,
+    Page,
     block_pairs,
     box_distances,
     curve_position,
@@ -72,14 +73,15 @@ def _mean_difference(gap: np.ndarray, numeric: int) -> np.ndarray:
 
 
 def _gower_bounds(numeric: int, wanted: int):
-    def bounds(qlo, qhi, dlo, dhi):
-        gap = np.maximum(0.0, np.maximum(dlo - qhi, qlo - dhi))
-        far = np.maximum(dhi - qlo, qhi - dlo)
+    def bounds(qlo: np.ndarray, qhi: np.ndarray, page: Page):
+        gap = np.maximum(0.0, np.maximum(page.lo - qhi, qlo - page.hi))
         lower = _mean_difference(gap, numeric)
-        upper = _mean_difference(far, numeric)
-        # With one wanted neighbour any block is a witness for its own upper bound.
-        if wanted == 1 and len(upper):
-            lower = np.where(lower <= upper.min() * (1 + 1e-9) + 1e-9, lower, np.inf)
+        upper = _mean_difference(np.maximum(page.hi - qlo, qhi - page.lo), numeric)
+        # A block with enough points bounds the distance to the last wanted neighbour.
+        enough = page.counts >= wanted
+        if enough.any():
+            limit = upper[enough].min() * (1 + 1e-9) + 1e-9
+            lower = np.where(lower <= limit, lower, np.inf)
         return lower, upper
 
     return bounds
