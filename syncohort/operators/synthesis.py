@@ -25,7 +25,7 @@ from syncohort.operators.frequencies import (
     event_exposure,
     packed_rates,
 )
-from syncohort.settings import StudySettings
+from syncohort.settings import RUN, StudySettings
 
 #: Purpose -> uniform column for a row. The default hashes run, row and purpose.
 Uniform = Callable[[int], Column]
@@ -175,7 +175,7 @@ def synthesize(
     rates: DataFrame,
     rate_by: Sequence[str],
     settings: StudySettings,
-    uniform: Uniform,
+    uniform: Uniform | None = None,
     keys: Sequence[str] = ("site",),
     cuts: Sequence[float] = CUTS,
 ) -> DataFrame:
@@ -184,6 +184,8 @@ def synthesize(
 
     `rows` holds one row per person to draw, with its run keys and `id`.
     """
+    if uniform is None:
+        uniform = default_uniform(run_keys(rows.columns, RUN), "id")
     out = rows
     purpose = 0
     for variable, (parents, cdfs) in tables.items():

@@ -90,6 +90,25 @@ def test_dates_fall_in_their_group_and_before_the_cutoff(spark):
     assert max(r["d"] for r in dates) == dt.date(2011, 2, 28)
 
 
+def test_saturated_synthesis_keeps_the_margins(spark):
+    cohort = people(spark, 2000)
+    settings = StudySettings(start_year=2010, end_year=2015)
+    submodels = (("age", ()), ("sex", ()), ("stage", ("sex",)), ("daar_grp", ()))
+    tables, rates = synth.saturated_model(cohort, submodels, ["sex"])
+    rows = synth.with_runs(cohort.select("site", "id"), [0], 2)
+    drawn = synth.synthesize(rows, tables, rates, ["sex"], settings)
+    got = drawn.groupBy("sim").agg(
+        F.avg("age").alias("age"), F.avg("sex").alias("sex"), F.count("*").alias("n"),
+        F.avg((F.col("stage") == 999).cast("double")).alias("missing"),
+    ).collect()
+    assert len(got) == 2
+    for row in got:
+        assert row["n"] == 2000
+        assert abs(row["age"] - 62) < 1.5 and abs(row["sex"] - 0.5) < 0.05
+        assert abs(row["missing"] - 0.25) < 0.05
+    assert drawn.filter("exit > date '2021-12-31' OR diag_date >= exit").count() == 0
+
+
 def test_terms_of_the_specifications():
     predictors = ["age", "sex", "stage"]
     assert models.model_terms(models.MODEL_LEVELS[0], predictors) == []
