@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once; a longer text makes a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
