@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of a group at least; more with more shuffle partitions, which follow the data.
 SPLITS = 64
 _GROUP = 8
 
@@ -22,6 +23,8 @@ _GROUP = 8
 def _with_ranges(
     frame: DataFrame, keys: Sequence[str], order: Sequence[str], splits: int
 ) -> DataFrame:
+    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    splits = max(splits, 4 * partitions)
     value = F.struct(*order)
     slot = F.pmod(F.xxhash64(*order), F.lit(splits)).alias("_slot")
     picks = frame.groupBy(*keys, slot).agg(

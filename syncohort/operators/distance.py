@@ -231,7 +231,8 @@ def nearest_records(
     integers; categories are integer codes.
 
     Equal records are searched once, however many there are. Data without all
-    numeric features cannot be a neighbour, samples without them get none.
+    numeric features cannot be a neighbour; samples without them get one row of rank 1
+    without neighbour and distance.
     """
     keys = run_keys(samples.columns, keys)
     numeric, categorical = list(numeric), list(categorical)
@@ -279,13 +280,22 @@ def nearest_records(
     if exclude_self:
         out = out.withColumn("best", F.filter("best", lambda b: b["neighbour"] != F.col("id")))
     ranked = out.select(*keys, "id", F.posexplode(F.slice("best", 1, k)).alias("rank", "b"))
-    return ranked.select(
+    found = ranked.select(
         *keys,
         "id",
         (F.col("rank") + 1).alias("rank"),
         F.col("b.neighbour").alias("neighbour"),
         F.col("b.distance").alias("distance"),
     )
+    if not numeric:
+        return found
+    missing = F.lit(False)
+    for c in numeric:
+        missing = missing | F.col(c).isNull()
+    # Incomplete samples stay in the result, with nothing known about their neighbours.
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("neighbour", "distance")]
+    incomplete = samples.filter(missing).select(*keys, "id", F.lit(1).alias("rank"), *nothing)
+    return found.unionByName(incomplete)
 
 
 def _distinct_records(frame: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from syncohort.functions.columns import clip, dot
+from syncohort.functions.columns import clip, dot, run_keys
 from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
@@ -35,7 +35,7 @@ from syncohort.operators.synthesis import (
     draw_survival_time,
     finish_draws,
 )
-from syncohort.settings import StudySettings
+from syncohort.settings import RUN, StudySettings
 
 Term = tuple[str, ...]
 
@@ -284,10 +284,12 @@ def survival_parts(
 def survival_design(
     level: ModelLevel, codings: Mapping[str, Sequence[Column]], intervals: int
 ) -> list[Column]:
-    """Interval dummies, covariate terms, interval x covariate interval by interval, constant."""
+    """Interval dummies, covariate terms, changes of covariate effects over time, constant."""
     steps = [(F.col("interval") == F.lit(j)).cast("double") for j in range(1, intervals)]
     terms, varying, spans = survival_parts(level, codings, intervals)
-    return [*steps, *terms, *[s * c for s in steps[:spans] for c in varying], F.lit(1.0)]
+    # A varying effect changes at the start of an interval and lasts; the last one is open.
+    late = [(F.col("interval") >= F.lit(j)).cast("double") for j in range(1, spans + 1)]
+    return [*steps, *terms, *[s * c for s in late for c in varying], F.lit(1.0)]
 
 
 def interval_hazards(
@@ -306,8 +308,8 @@ def interval_hazards(
         eta = shared
         if j > 0:
             eta = eta + F.get(beta, F.lit(j - 1))
-        if n_varying and 1 <= j <= spans:
-            start = first + n_terms + (j - 1) * n_varying
+        for change in range(min(j, spans) if n_varying else 0):
+            start = first + n_terms + change * n_varying
             eta = eta + dot(F.slice(beta, start + 1, n_varying), varying)
         hazards.append(F.exp(eta))
     return F.array(*hazards)
@@ -433,11 +435,12 @@ def synthesize_fitted(
 ) -> DataFrame:
     """Synthetic cohorts of all requested models and runs.
 
-    Each model is fitted once; each run uses its own coefficient draw. The cohort's
+    Only rows of `site` are fitted and drawn. Each model is fitted once; each run uses its
+    own coefficient draw. The cohort's
     numbered rows serve as slots, so a run has as many persons as the cohort.
     """
     spark = cohort.sparkSession
-    cohort = cut(cohort, "cohort")
+    cohort = cut(cohort.filter(F.col("site") == site), "cohort")
     slots = cut(
         row_numbers(cohort.select("site", "id"), ["site"], ["id"], "slot").select(
             "site", F.col("slot").alias("id")
@@ -526,14 +529,14 @@ def discriminator_scores(
     """Test-set probabilities of boosted trees that tell real (1) from synthetic (0).
 
     The rows held out for testing and for choosing the number of rounds depend on
-    the row only.
+    the run and the row only.
     """
     both = real.withColumn("real", F.lit(1)).unionByName(
         synthetic.withColumn("real", F.lit(0)), allowMissingColumns=True
     )
     codes = {f"stage_{s}": (F.col("stage") == s).cast("double") for s in settings.stages}
     features = [*settings.numeric, *codes]
-    u = hash_uniform("id", "real", seed)
+    u = hash_uniform(*run_keys(both.columns, RUN), "id", "real", seed)
     table = cut(
         VectorAssembler(inputCols=features, outputCol="features")
         .transform(both.withColumns(codes).withColumn("_u", u))

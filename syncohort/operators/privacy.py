@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from syncohort.functions.columns import dot, log_sum_exp, run_keys
 from syncohort.functions.splines import spline_basis
+from syncohort.operators.cohort import lookup_join
 from syncohort.operators.frequencies import (
     CUTS,
     event_exposure,
@@ -200,7 +201,7 @@ def time_probability(
     """`p_td` per person and draw."""
     keys = run_keys(persons.columns, keys)
     packed = _draw_arrays(rates, [*keys, *by])
-    joined = persons.join(packed, [*keys, *by]).withColumns(
+    joined = lookup_join(persons, packed, [*keys, *by]).withColumns(
         {"_exposure": interval_exposure("t", cuts), "_interval": interval_index("t", cuts)}
     )
     values = F.transform(
@@ -238,7 +239,7 @@ def synthetic_loglik(
     """(keys, h, log_p): log probability of the whole synthetic table under each draw.
 
     The table enters only through its pattern counts and its events and exposure
-    per interval. Missing when any row has probability zero.
+    per interval. Missing when any row has probability zero, or no probability or rate.
     """
     keys = run_keys(synthetic.columns, keys)
     pattern = [*PATTERN, "stage"]
@@ -254,10 +255,12 @@ def synthetic_loglik(
     )
     sizes = counts.groupBy(*keys).agg(F.sum("n").alias("_size"))
     spent = event_exposure(synthetic, [*keys, *rate_by], cuts)
+    cells = spent.groupBy(*keys).agg(F.count("*").alias("_cells"))
     times = (
         spent.join(rates, [*keys, *rate_by, "interval"])
         .groupBy(*keys, "h")
         .agg(
+            F.count("*").alias("_rated"),
             F.sum(
                 F.when(F.col("d") > 0, F.col("d") * F.ln(F.nullif("rate", F.lit(0.0)))).otherwise(0.0)
                 - F.col("rate") * F.col("exposure")
@@ -266,11 +269,15 @@ def synthetic_loglik(
         )
     )
     whole = (
-        (F.col("_zero_cov") == 0) & (F.col("_zero_td") == 0) & (F.col("_matched") == F.col("_size"))
+        (F.col("_zero_cov") == 0)
+        & (F.col("_zero_td") == 0)
+        & (F.col("_matched") == F.col("_size"))
+        & (F.col("_rated") == F.col("_cells"))
     )
     return (
-        covariates.join(times, [*keys, "h"])
+        covariates.join(times, [*keys, "h"], "left")
         .join(sizes, keys)
+        .join(cells, keys)
         .select(*keys, "h", F.when(whole, F.col("l_cov") + F.col("l_td")).alias("log_p"))
     )
 
@@ -300,7 +307,9 @@ def _candidates(
             F.map_from_entries(F.collect_list(F.struct("stage", "_rates"))).alias("_hazards")
         )
     )
-    joined = persons.join(patterns, [*keys, *PATTERN]).join(hazards, [*keys, *RATE_BY])
+    # A person without probabilities would make the largest loss too small: that stops the job.
+    joined = lookup_join(persons, patterns, [*keys, *PATTERN])
+    joined = lookup_join(joined, hazards, [*keys, *RATE_BY])
     joined = joined.withColumns(
         {"_exposure": interval_exposure("t", cuts), "_interval": interval_index("t", cuts)}
     )
@@ -546,7 +555,10 @@ def two_model_posterior(
 def valid_draws(
     p_cov: DataFrame, rates: DataFrame, wanted: int, keys: Sequence[str] = RUN
 ) -> tuple[DataFrame, DataFrame]:
-    """Of a surplus of draws, the first `wanted` with positive probabilities, renumbered."""
+    """Of a surplus of draws, the first `wanted` with positive probabilities, renumbered.
+
+    A run with fewer such draws stops the job.
+    """
     keys = run_keys(p_cov.columns, keys)
 
     def bad(frame: DataFrame, column: str) -> DataFrame:
@@ -560,6 +572,14 @@ def valid_draws(
     good = flags.filter("_bad = 0").groupBy(*keys).agg(
         F.slice(F.sort_array(F.collect_list("h")), 1, wanted).alias("_h")
     )
+    runs = flags.select(*keys).distinct()
+    good = runs.join(good, keys, "left") if keys else good
+    good = good.withColumn(
+        "_h",
+        F.when(F.size("_h") == wanted, F.col("_h")).otherwise(
+            F.raise_error(F.lit(f"fewer than {wanted} valid draws")).cast("array<int>")
+        ),
+    )
     numbered = good.select(*keys, F.posexplode("_h").alias("_new", "h"))
 
     def renumber(frame: DataFrame) -> DataFrame:

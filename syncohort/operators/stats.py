@@ -251,7 +251,8 @@ def median_run(metrics: DataFrame, keys: Sequence[str], value: str, sim: str = "
     """Run whose value is closest to the group's median, ties by run number."""
     medians = percentile_type2(metrics, keys, value, {"med": 50}, splits=None)
     near = metrics.filter(F.col(value).isNotNull()).join(medians, list(keys))
-    gap = F.abs(F.col(value) - F.col("med"))
+    # Rounded: of two runs at the same distance, the lower number counts.
+    gap = F.round(F.abs(F.col(value) - F.col("med")), 12)
     return near.groupBy(*keys).agg(
         F.min(F.struct(gap.alias("gap"), F.col(sim), F.col(value), F.col("med"))).alias("_best")
     ).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in (sim, value, "med")])

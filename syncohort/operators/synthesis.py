@@ -16,7 +16,7 @@ from syncohort.functions.columns import DAYS_PER_YEAR, as_column, run_keys, year
 from syncohort.functions.draws import hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.lineage import cut
-from syncohort.operators.cohort import survival_set
+from syncohort.operators.cohort import lookup_join, survival_set
 from syncohort.operators.frequencies import (
     CUTS,
     class_counts,
@@ -94,9 +94,12 @@ def draw_categorical(
     rows: DataFrame, variable: str, parents: Sequence[str], cdfs: DataFrame, u: Column,
     keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Add `variable` drawn from the packed probabilities of the row's pattern."""
+    """Add `variable` drawn from the packed probabilities of the row's pattern.
+
+    A pattern without probabilities stops the job.
+    """
     return (
-        rows.join(cdfs, [*keys, *parents])
+        lookup_join(rows, cdfs, [*keys, *parents])
         .withColumn(variable, draw_class(f"{variable}_cdf", u))
         .drop(f"{variable}_cdf")
     )
@@ -191,7 +194,7 @@ def synthesize(
     for variable, (parents, cdfs) in tables.items():
         purpose += 1
         out = draw_categorical(out, variable, parents, cdfs, uniform(purpose), keys)
-    out = out.join(rates, [*keys, *rate_by])
+    out = lookup_join(out, rates, [*keys, *rate_by])
     days = draw_survival_time("rates", uniform(purpose + 1), cuts, settings.max_follow_up)
     out = out.withColumn("_days", days).drop("rates")
     out = out.withColumn(

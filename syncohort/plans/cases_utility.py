@@ -280,11 +280,12 @@ scored AS (SELECT {K}, avg(CASE WHEN round(s.d, 12) < round(o.d, 12) THEN 1 ELSE
     AS id_score FROM r_to_s s JOIN r_to_r o USING ({K}, id) GROUP BY ALL),
 matched AS (SELECT {K}, avg(CASE WHEN EXISTS (SELECT 1 FROM attack b WHERE b.synth = 0
     AND b.model = a.model AND b.sim = a.sim AND b.age = a.age AND b.sex = a.sex
-    AND b.stage = a.stage AND b.daar = a.daar AND b.status = a.status) THEN 1 ELSE 0 END) AS ims
+    AND b.stage = a.stage AND b.daar = a.daar AND b.status = a.status AND b.t = a.t
+    AND b.exit_delta = a.exit_delta) THEN 1 ELSE 0 END) AS ims
   FROM attack a WHERE synth = 1 GROUP BY ALL)
 """
 
-MATCH_FEATURES = ["age", "sex", "stage", "daar", "status"]
+MATCH_FEATURES = [*STUDY.numeric, *STUDY.categorical]
 
 
 @case(
@@ -310,7 +311,7 @@ def _(spark, folder):
     GOWER_SQL,
 )
 def _(spark, folder):
-    real, synthetic = real_and_synthetic(spark, folder)
+    real, synthetic = attack_table(spark, folder)
     return distance.identical_match_share(real, synthetic, MATCH_FEATURES)
 
 
