@@ -17,6 +17,7 @@ from syncohort.lineage import cut
 
 _CLAUSE_END = r"(?<=[.!?;:,])"
 _PER_SECTION = 4
+_NO_ID = -(2**63)
 
 
 def tree(text: Column) -> Column:
@@ -95,21 +96,21 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
 
 
 def _order(docs: DataFrame) -> DataFrame:
-    """(key, version, next_key's predecessor and its length): who reads whose beginning.
+    """(follower, version, reader, need): whose first `need` characters go to whose text.
 
-    Keys are range-partitioned and sorted; the result is written, so partitions keep
+    Ids are range-partitioned and sorted; the result is written, so partitions keep
     their numbers. Only one row per partition crosses partitions in a single task.
     """
-    keys = docs.groupBy("_key").agg(
-        F.min("_version").alias("version"), F.max("n_chars").alias("n")
+    keys = docs.groupBy("doc_id").agg(
+        F.min("version").alias("version"), F.max("n_chars").alias("n")
     )
     placed = cut(
-        keys.repartitionByRange("_key")
-        .sortWithinPartitions("_key")
-        .select("_key", "version", "n", F.spark_partition_id().alias("part")),
+        keys.repartitionByRange("doc_id")
+        .sortWithinPartitions("doc_id")
+        .select("doc_id", "version", "n", F.spark_partition_id().alias("part")),
         "order",
     )
-    here = F.struct(F.col("_key").alias("key"), F.col("n").alias("n"))
+    here = F.struct(F.col("doc_id").alias("key"), F.col("n").alias("n"))
     lasts = placed.groupBy("part").agg(F.max(here).alias("last"))
     by_part = Window.orderBy("part")
     before = F.lag("last").over(by_part)
@@ -118,15 +119,15 @@ def _order(docs: DataFrame) -> DataFrame:
         by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     lasts = lasts.select(F.col("part").alias("_part"), F.coalesce(before, around).alias("edge"))
-    inside = F.lag(here).over(Window.partitionBy("part").orderBy("_key"))
+    inside = F.lag(here).over(Window.partitionBy("part").orderBy("doc_id"))
     return (
         placed.withColumn("inside", inside)
         .join(lasts, F.col("part") == F.col("_part"))
         .select(
-            F.col("_key").alias("_follower"), "version", F.coalesce("inside", "edge").alias("reader")
+            F.col("doc_id").alias("follower"), "version", F.coalesce("inside", "edge").alias("reader")
         )
         .select(
-            "_follower", "version", F.col("reader.key").alias("reader"),
+            "follower", "version", F.col("reader.key").alias("reader"),
             F.floor(F.col("reader.n") / 4).cast("int").alias("need"),
         )
     )
@@ -145,22 +146,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     with the lowest hash is the next one of its predecessor. The only document is its own
     next. Other columns are ignored; an empty table gives an empty table.
     """
+    # One non-null key, in which a null id is the lowest, which no id may be.
     texts = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).select(
-        "doc_id",
-        "text",
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("_key"),
     )
-    described = texts.select(
-        "_key", F.xxhash64("text").alias("_version"), F.length("text").cast("long").alias("n_chars")
+    order = _order(
+        texts.select(
+            "doc_id", F.xxhash64("text").alias("version"), F.length("text").cast("long").alias("n_chars")
+        )
     )
-    order = _order(described)
-    made = texts.select("_key", "text", tree(F.col("text")).alias("_tree"))
+    # Texts move once: both joins below read the same exchange of (doc_id, text), and
+    # only beginnings and digests of the followers move again.
     followers = (
-        made.join(order, F.col("_key") == F.col("_follower"))
-        .where(F.xxhash64("text") == F.col("version"))
+        texts.join(order, F.col("doc_id") == F.col("follower"))
+        # Not an equality of two columns, which would become a second join key.
+        .where(F.xxhash64("text").bitwiseXOR(F.col("version")) == 0)
+        .withColumn("_tree", tree(F.col("text")))
         .select(
             "reader",
             F.substring("text", F.lit(1), F.col("need")).alias("_beginning"),
@@ -176,7 +178,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         F.substring(F.col("_beginning"), F.lit(1), tail),
     )
     joined = (
-        texts.join(followers, F.col("_key") == F.col("reader"))
+        texts.join(followers, F.col("doc_id") == F.col("reader"))
         .withColumn("_edited", edited)
         .withColumn("_trees", F.transform(F.array("text", "_edited"), tree))
     )
@@ -185,7 +187,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         likeness(own["leaves"], F.col("_next_leaves"))
     )
     return joined.select(
-        "doc_id",
+        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"),
         n.cast("long").alias("n_chars"),
         F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
         fingerprint(own).alias("fingerprint"),
