@@ -8,6 +8,8 @@ by pair.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = (
     r"\n[\t ]*(copyright[\t ]+(\(c\)|©|by |[12][0-9][0-9][0-9])|\(c\)|©|all rights reserved)[^\n]*"
 )
+_NOTHING = hashlib.sha256(b" ").hexdigest()
 SIGNS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
@@ -69,8 +72,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null where nothing is left of it."""
-    form = canonical(text)
-    return F.when(form != " ", F.sha2(form, 256))
+    return F.nullif(F.sha2(canonical(text), 256), F.lit(_NOTHING))
 
 
 def known_texts(spark: SparkSession) -> DataFrame:
@@ -104,8 +106,12 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         "doc_id", "version", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
     )
     notices = (
-        lines.select("doc_id", "version", digest(F.col("line")).alias("digest"))
-        .where("digest is not null")
+        # Never null, so that no filter works the form out a second time.
+        lines.select(
+            "doc_id",
+            "version",
+            F.coalesce(F.sha2(canonical(F.col("line")), 256), F.lit("")).alias("digest"),
+        )
         .join(listed, "digest")
         .groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
         .agg(F.sort_array(F.collect_set("license_id")).alias("found"))
