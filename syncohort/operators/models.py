@@ -8,6 +8,7 @@ covariance are the only things that reach the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -44,7 +45,6 @@ Term = tuple[str, ...]
 class ModelLevel:
     """One of the model specifications."""
 
-    name: str
     level: str
     interactions: tuple[str, ...] = ()
     three_way: tuple[str, ...] = ()
@@ -56,18 +56,18 @@ class ModelLevel:
 
 #: Specifications 0 to 5, fixed values.
 MODEL_LEVELS = {
-    0: ModelLevel("margins", "margin"),
-    1: ModelLevel("main", "main"),
-    2: ModelLevel("inter_agestage", "inter", ("age", "stage"), (), 5, ("age", "stage"), 2, 4),
+    0: ModelLevel("margin"),
+    1: ModelLevel("main"),
+    2: ModelLevel("inter", ("age", "stage"), (), 5, ("age", "stage"), 2, 4),
     3: ModelLevel(
-        "inter_agestagesex", "inter", ("age", "stage", "sex"), (), 5, ("age", "stage", "sex"), 3, 4
+        "inter", ("age", "stage", "sex"), (), 5, ("age", "stage", "sex"), 3, 4
     ),
     4: ModelLevel(
-        "inter_agestagesex3w", "inter", ("age", "stage", "sex"), ("age", "stage", "sex"), 5,
+        "inter", ("age", "stage", "sex"), ("age", "stage", "sex"), 5,
         ("age", "stage", "sex"), 3, 4,
     ),
     5: ModelLevel(
-        "inter_agestagesex3w_df8", "inter", ("age", "stage", "sex"), ("age", "stage", "sex"), 8,
+        "inter", ("age", "stage", "sex"), ("age", "stage", "sex"), 8,
         ("age", "stage", "sex"), 6, 6,
     ),
 }
@@ -166,17 +166,46 @@ def _weighted_gram(frame: DataFrame, width: int, blocks: int) -> np.ndarray:
     return out
 
 
+def _report_convergence(variable: str, used: int, allowed: int) -> None:
+    if used >= allowed:
+        warnings.warn(f"model of {variable} has not converged after {allowed} iterations")
+
+
+def _decorrelating(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the design (its last column is the constant) and a matrix that turns it into
+    uncorrelated columns of unit variance; directions without variance are left out."""
+    moments = _weighted_gram(rows.select("x", F.array("n").alias("w")), width, 1)
+    total = moments[-1, -1]
+    mean = moments[-1, :-1] / total
+    values, vectors = np.linalg.eigh(moments[:-1, :-1] / total - np.outer(mean, mean))
+    kept = values > 1e-10 * max(values.max(), 1e-300)
+    return mean, vectors[:, kept] / np.sqrt(values[kept])
+
+
+def _turned(rows: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
+    """`rows` (`x` and doubles) with the uncorrelated columns `z` in place of `x`."""
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                z = (np.stack(batch["x"].to_list())[:, :-1] - mean) @ turn
+                yield batch.drop(columns="x").assign(z=list(z))
+
+    kept = [c for c in rows.columns if c != "x"]
+    return rows.mapInPandas(turned, ", ".join([f"{c} double" for c in kept] + ["z array<double>"]))
+
+
 def fit_categorical(
     cohort: DataFrame,
     variable: str,
     terms: Sequence[Term],
     codings: Mapping[str, Sequence[Column]],
-    max_iter: int = 60,
+    max_iter: int = 100,
 ) -> Fit:
     """Multinomial logit from counts per covariate pattern and class.
 
     Coefficients are relative to the first class: one row per other class, the
-    columns being the design and the constant.
+    columns being the design and the constant. A fit that does not converge is warned of.
     """
     used = sorted({v for term in terms for v in term})
     counts = cut(cohort.groupBy(*used, variable).agg(F.count("*").alias("n")), "patterns")
@@ -192,13 +221,17 @@ def fit_categorical(
         totals = {r["label"]: r["s"] for r in rows.groupBy("label").agg(F.sum("n").alias("s")).collect()}
         beta = np.array([[math.log(totals[k + 1.0] / totals[0.0])] for k in range(others)])
     else:
+        mean, turn = _decorrelating(rows, width)
         fitted = LogisticRegression(
             family="multinomial", weightCol="n", featuresCol="features", maxIter=max_iter,
             fitIntercept=True, tol=1e-8,
-        ).fit(rows.withColumn("features", array_to_vector(F.slice("x", 1, width - 1))))
-        weights = fitted.coefficientMatrix.toArray()
+        ).fit(
+            _turned(rows, mean, turn).withColumn("features", array_to_vector("z"))
+        )
+        _report_convergence(variable, fitted.summary.totalIterations, max_iter)
+        weights = fitted.coefficientMatrix.toArray() @ turn.T
         constants = np.asarray(fitted.interceptVector.toArray()).reshape(-1, 1)
-        full = np.hstack([weights, constants])
+        full = np.hstack([weights, constants - (weights @ mean).reshape(-1, 1)])
         beta = full[1:] - full[0]
     gram = _weighted_gram(_multinomial_weights(rows, beta), width, others)
     return Fit(beta, np.linalg.pinv(gram, hermitian=True), classes)
@@ -325,9 +358,14 @@ def fit_survival(
     level: ModelLevel,
     codings: Mapping[str, Sequence[Column]],
     ridge: float = 1e-6,
+    max_iter: int = 50,
 ) -> Fit:
     """Piecewise exponential hazard with time-varying effects, as a Poisson regression
-    on events and person-years per pattern and interval."""
+    on events and person-years per pattern and interval.
+
+    `ridge` keeps effects finite where a cell has no events. It applies to the decorrelated
+    design, a share of the mean information per row. A fit that does not converge is warned of.
+    """
     cuts = survival_cuts(level)
     used = sorted(codings)
     spent = event_exposure(cohort, used, cuts).filter("exposure > 0")
@@ -337,22 +375,30 @@ def fit_survival(
         spent.select(
             F.col("d").cast("double").alias("label"),
             F.ln("exposure").alias("offset"),
+            F.col("exposure").alias("n"),
             F.array(*[c.cast("double") for c in design]).alias("x"),
         ),
         "episodes",
     )
+    mean, turn = _decorrelating(rows, width)
     fitted = GeneralizedLinearRegression(
-        family="poisson", link="log", offsetCol="offset", regParam=ridge, maxIter=50
-    ).fit(rows.withColumn("features", array_to_vector(F.slice("x", 1, width - 1))))
-    beta = np.append(fitted.coefficients.toArray(), fitted.intercept)
-    mean = F.exp(
+        family="poisson", link="log", offsetCol="offset", regParam=ridge, maxIter=max_iter
+    ).fit(_turned(rows, mean, turn).withColumn("features", array_to_vector("z")))
+    _report_convergence("t", fitted.summary.numIterations, max_iter)
+    kept = turn.shape[1]
+    back = np.zeros((width, kept + 1))
+    back[:-1, :kept], back[-1, :kept], back[-1, kept] = turn, -mean @ turn, 1.0
+    beta = back @ np.append(fitted.coefficients.toArray(), fitted.intercept)
+    expected = F.exp(
         F.col("offset") + dot(F.col("x"), F.array(*[F.lit(float(b)) for b in beta]))
     )
-    information = _weighted_gram(rows.select("x", F.array(mean).alias("w")), width, 1)
-    return Fit(beta, np.linalg.pinv(information + ridge * np.eye(width), hermitian=True))
+    information = _weighted_gram(rows.select("x", F.array(expected).alias("w")), width, 1)
+    penalty = np.diag(np.append(np.full(kept, ridge * information[-1, -1]), 0.0))
+    covariance = np.linalg.pinv(back.T @ information @ back + penalty, hermitian=True)
+    return Fit(beta, back @ covariance @ back.T)
 
 
-def draw_coefficients(fit: Fit, draws: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def draw_coefficients(fit: Fit, draws: int, seed: int | Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """(draws x coefficients, draws residual spreads) from the normal approximation.
 
     Directions without variance keep their estimate. For a regression the spread is
@@ -425,6 +471,42 @@ def draw_multinomial(fit: Fit, beta: Column, design: Column, width: int, u: Colu
     return F.get(F.array(*[F.lit(c) for c in fit.classes]), F.least(passed, F.lit(others)))
 
 
+@dataclass
+class FittedChain:
+    """All submodels of one level, fitted to one site."""
+
+    level: ModelLevel
+    codings: dict[str, list[Column]]
+    terms: dict[str, list[Term]]
+    fits: dict[str, Fit]
+
+    @property
+    def cuts(self) -> tuple[float, ...]:
+        return survival_cuts(self.level)
+
+
+def fit_chains(
+    cohort: DataFrame, settings: StudySettings, models: Sequence[int]
+) -> dict[int, FittedChain]:
+    """Age, then each later variable given the earlier ones, then time, for all models.
+
+    `cohort` holds one site and is read several times: pass a written table.
+    """
+    chains = {}
+    age_fit = fit_continuous(cohort)
+    for model in models:
+        level = MODEL_LEVELS[model]
+        codings = cohort_codings(cohort, level, settings)
+        fits, terms, earlier = {"age": age_fit}, {}, ["age"]
+        for variable in settings.sequence[1:]:
+            terms[variable] = model_terms(level, earlier)
+            fits[variable] = fit_categorical(cohort, variable, terms[variable], codings)
+            earlier.append(variable)
+        fits["t"] = fit_survival(cohort, level, codings)
+        chains[model] = FittedChain(level, codings, terms, fits)
+    return chains
+
+
 def synthesize_fitted(
     cohort: DataFrame,
     settings: StudySettings,
@@ -432,15 +514,18 @@ def synthesize_fitted(
     sims: int,
     site: str,
     seed: int = 0,
+    chains: Mapping[int, FittedChain] | None = None,
 ) -> DataFrame:
     """Synthetic cohorts of all requested models and runs.
 
-    Only rows of `site` are fitted and drawn. Each model is fitted once; each run uses its
-    own coefficient draw. The cohort's
+    Only rows of `site` are fitted and drawn. Each model is fitted once (or given as
+    `chains`); each run uses its own coefficient draw. The cohort's
     numbered rows serve as slots, so a run has as many persons as the cohort.
     """
     spark = cohort.sparkSession
     cohort = cut(cohort.filter(F.col("site") == site), "cohort")
+    if chains is None:
+        chains = fit_chains(cohort, settings, models)
     slots = cut(
         row_numbers(cohort.select("site", "id"), ["site"], ["id"], "slot").select(
             "site", F.col("slot").alias("id")
@@ -448,25 +533,16 @@ def synthesize_fitted(
         "slots",
     )
     out = None
-    age_fit = fit_continuous(cohort)
     for model in models:
-        level = MODEL_LEVELS[model]
-        codings = cohort_codings(cohort, level, settings)
-        cuts = survival_cuts(level)
-        fits: dict[str, Fit] = {"age": age_fit}
-        earlier = ["age"]
+        level, codings = chains[model].level, chains[model].codings
+        cuts, fits = chains[model].cuts, chains[model].fits
         # In the drawn table each coded column is computed once, under a name.
         named = {
             v: [F.col(f"_{v}_{i}") for i in range(len(columns))] for v, columns in codings.items()
         }
-        designs: dict[str, list[Column]] = {}
-        for variable in settings.sequence[1:]:
-            terms = model_terms(level, earlier)
-            fits[variable] = fit_categorical(cohort, variable, terms, codings)
-            designs[variable] = [*term_columns(terms, named), F.lit(1.0)]
-            earlier.append(variable)
-        fits["t"] = fit_survival(cohort, level, codings)
-
+        designs = {
+            v: [*term_columns(terms, named), F.lit(1.0)] for v, terms in chains[model].terms.items()
+        }
         keys = ["site", "model", "sim"]
         order = [*settings.sequence, "t"]
         vectors = {

@@ -288,6 +288,7 @@ def _candidates(
     rates: DataFrame,
     keys: Sequence[str],
     cuts: Sequence[float],
+    rate_by: Sequence[str],
 ) -> DataFrame:
     """Persons with `cand`: per candidate stage the log ratio to the truth for each draw."""
     logs = p_cov.select(
@@ -301,15 +302,15 @@ def _candidates(
         F.sort_array(F.collect_list(F.struct("stage", "l"))).alias("_cov")
     )
     hazards = (
-        _draw_arrays(rates, [*keys, *RATE_BY, "stage"])
-        .groupBy(*keys, *RATE_BY)
+        _draw_arrays(rates, [*keys, *rate_by, "stage"])
+        .groupBy(*keys, *rate_by)
         .agg(
             F.map_from_entries(F.collect_list(F.struct("stage", "_rates"))).alias("_hazards")
         )
     )
     # A person without probabilities would make the largest loss too small: that stops the job.
     joined = lookup_join(persons, patterns, [*keys, *PATTERN])
-    joined = lookup_join(joined, hazards, [*keys, *RATE_BY])
+    joined = lookup_join(joined, hazards, [*keys, *rate_by])
     joined = joined.withColumns(
         {"_exposure": interval_exposure("t", cuts), "_interval": interval_index("t", cuts)}
     )
@@ -344,10 +345,11 @@ def candidate_ratio(
     rates: DataFrame,
     keys: Sequence[str] = RUN,
     cuts: Sequence[float] = CUTS,
+    rate_by: Sequence[str] = RATE_BY,
 ) -> DataFrame:
     """(keys, id, stage, h, ratio): candidate over true probability, one row per draw."""
     keys = run_keys(persons.columns, keys)
-    wide = _candidates(persons, p_cov, rates, keys, cuts)
+    wide = _candidates(persons, p_cov, rates, keys, cuts, rate_by)
     long = wide.select(*keys, "id", F.inline("cand"))
     return long.select(
         *keys, "id", "stage", F.posexplode("ratio").alias("h", "l")
@@ -364,11 +366,13 @@ def candidate_evidence(
     loglik: DataFrame,
     keys: Sequence[str] = RUN,
     cuts: Sequence[float] = CUTS,
+    rate_by: Sequence[str] = RATE_BY,
 ) -> DataFrame:
     """Persons with `cand`: (stage, correct, loglik, log_prior) per candidate.
 
     A draw has weight ratio / sum of ratios; `loglik` is the log of the weighted
-    sum of the synthetic table's probability over the draws.
+    sum of the synthetic table's probability over the draws. Hazards depend on the
+    covariates `rate_by` and the stage.
     """
     keys = run_keys(persons.columns, keys)
     table = loglik.groupBy(*keys).agg(
@@ -376,7 +380,7 @@ def candidate_evidence(
             F.sort_array(F.collect_list(F.struct("h", "log_p"))), lambda c: c["log_p"]
         ).alias("_log_p")
     )
-    wide = _candidates(persons, p_cov, rates, keys, cuts).join(table, keys)
+    wide = _candidates(persons, p_cov, rates, keys, cuts, rate_by).join(table, keys)
 
     def evidence(c: Column) -> Column:
         total = log_sum_exp(c["ratio"])

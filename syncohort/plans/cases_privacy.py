@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from syncohort.lineage import cut
 from syncohort.operators import frequencies as freq
-from syncohort.operators import privacy
+from syncohort.operators import fitted_privacy, models, privacy
 from syncohort.plans.cases import case
-from syncohort.plans.derived import cohort, run_table
+from syncohort.plans.derived import STUDY, cohort, run_table
 from syncohort.settings import RUN
 
 DRAWS = 5
@@ -412,3 +412,24 @@ def _(spark, folder):
     p_cov = privacy.covariate_probability(privacy.scenario_grid(real), tables)
     p_cov, rates = privacy.valid_draws(cut(p_cov, "p_cov"), cut(rates, "rates"), DRAWS)
     return privacy.synthetic_loglik(synthetic, p_cov, rates)
+
+
+@case("mlpl_fitted", "site:s model:i sim:i bayesian:f6 ll_diff:f6 bayesian_max:f6")
+def _(spark, folder):
+    """Loss of the marginal, the main-effects and the first interaction model, one run each, the
+    study's number of draws."""
+    people = cohort(spark, folder).withColumn("site", F.lit("main"))
+    found = fitted_privacy.fitted_evidence(people, STUDY, range(3), 1, "main")
+    return privacy.maximum_local_privacy_loss(found)
+
+
+@case("coefficient_draws", "site:s model:i sim:i h:i submodel:s term:i beta:f4")
+def _(spark, folder):
+    """Coefficients of all six fitted models for two runs, as many draws as the study has."""
+    people = cut(cohort(spark, folder).withColumn("site", F.lit("main")), "cohort")
+    out = None
+    for model, chain in models.fit_chains(people, STUDY, range(6)).items():
+        draws = fitted_privacy.coefficient_draws(spark, chain, "main", model, 2, STUDY.draws)
+        found = fitted_privacy.long_coefficients(draws)
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -337,9 +337,9 @@ def _(spark, folder):
     "site:s model:i sim:i id:i age:i sex:i stage:i daar:i diag_date:s exit:s status:i t:f6",
 )
 def _(spark, folder):
-    """Synthetic cohorts of the marginal and the main-effects model, two runs each."""
+    """Synthetic cohorts of all six fitted models, two runs each."""
     people = _site(spark, folder)
-    return models.synthesize_fitted(people, STUDY, models=(0, 1), sims=2, site="main")
+    return models.synthesize_fitted(people, STUDY, models=range(6), sims=2, site="main")
 
 
 @case("discriminator_auc", "auc:f6 pmse:f6 tested:i")
