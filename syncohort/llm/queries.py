@@ -19,6 +19,7 @@ from syncohort.llm import (
     suffixes,
     urls,
 )
+from syncohort.llm.checks import CHECKS as CHECKS
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -81,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality, op8_pii, op9_suffixes, op10_urls,
     )
 }
-
-CHECKS: dict[str, str] = {}
