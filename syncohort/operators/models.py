@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -19,7 +20,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
 from syncohort.functions.splines import equally_spaced_knots, spline_basis
-from syncohort.lineage import cut
+from syncohort.lineage import cut, scratch_path
 from syncohort.operators.frequencies import CUTS, event_exposure
 from syncohort.operators.stats import percentile_type2
 from syncohort.operators.synthesis import (
@@ -594,6 +595,44 @@ def synthesize_fitted(
     return finish_draws(out, settings)
 
 
+def per_run(
+    real: DataFrame,
+    synthetic: DataFrame,
+    fit: Callable[[DataFrame, DataFrame], DataFrame],
+    keys: Sequence[str] = RUN,
+    at_once: int = 3,
+) -> DataFrame:
+    """`fit(real, synthetic)` of every run of `synthetic`, with the run's keys.
+
+    Each run is a fit of its own, `at_once` of them at a time; its rows are written out.
+    Real rows may carry fewer keys than synthetic ones. A run without real rows is fitted
+    on none and fails.
+    """
+    spark = synthetic.sparkSession
+    keys = run_keys(synthetic.columns, keys)
+    # One row per run, bounded by the study's design.
+    runs = sorted(synthetic.select(*keys).distinct().collect())
+    folder = scratch_path(spark, "per_run")
+
+    def only(frame: DataFrame, run: Row) -> DataFrame:
+        for key in keys:
+            if key in frame.columns:
+                frame = frame.filter(F.col(key) == run[key])
+        return frame
+
+    def fitted(number: int) -> DataFrame:
+        run = runs[number]
+        out = fit(only(real, run), only(synthetic, run)).drop(*keys)
+        out = out.select(*[F.lit(run[k]).alias(k) for k in keys], *out.columns)
+        out.write.parquet(f"{folder}/{number}")
+        return out
+
+    with ThreadPoolExecutor(at_once) as pool:
+        frames = list(pool.map(fitted, range(len(runs))))
+    paths = [f"{folder}/{number}" for number in range(len(runs))]
+    return spark.read.schema(frames[0].schema).parquet(*paths)
+
+
 def discriminator_scores(
     real: DataFrame,
     synthetic: DataFrame,

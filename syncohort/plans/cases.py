@@ -35,12 +35,15 @@ def _sql_output(name: str, kind: str) -> str:
     return f'round(CAST("{name}" AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS "{name}"'
 
 
-def case(name: str, columns: str, sql: str | None = None, ctes: str = ""):
+def case(
+    name: str, columns: str, sql: str | None = None, ctes: str = "", recursive: bool = False
+):
     """Register a query.
 
     `columns` names the output with its type: `i` integer, `s` text, `f6` a double
     rounded to six digits in the last projection. `sql` is the body of the check;
-    the derived cohort's common table expressions and `ctes` come before it.
+    the derived cohort's common table expressions and `ctes` come before it, `recursive`
+    says that one of them refers to itself.
     """
     spec = _parse(columns)
 
@@ -54,7 +57,8 @@ def case(name: str, columns: str, sql: str | None = None, ctes: str = ""):
             outputs = ", ".join(_sql_output(n, k) for n, k in spec)
             extra = f", {ctes.strip().rstrip(',')}" if ctes.strip() else ""
             CHECKS[name] = (
-                f"WITH {COHORT_SQL.strip()}{extra}, result AS ({sql}) SELECT {outputs} FROM result"
+                f"WITH {'RECURSIVE ' if recursive else ''}{COHORT_SQL.strip()}{extra}, "
+                f"result AS ({sql}) SELECT {outputs} FROM result"
             )
         return build
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from syncohort.lineage import cut
 from syncohort.operators import frequencies as freq
-from syncohort.operators import privacy
+from syncohort.operators import privacy, utility
 from syncohort.plans.cases import case
+from syncohort.plans.cases_utility import PMSE_SQL, cell_propensity
 from syncohort.plans.derived import cohort, run_table
 from syncohort.settings import RUN
 
@@ -322,6 +323,20 @@ def _(spark, folder):
     return privacy.maximum_local_privacy_loss(Inputs(spark, folder).evidence())
 
 
+@case(
+    "trade_off",
+    "site:s model:i sim:i pmse:f9 ll_diff:f6 mean_pmse:f9 mean_ll_diff:f6",
+    f"SELECT *, avg(pmse) OVER (PARTITION BY site, model) AS mean_pmse, avg(ll_diff) OVER "
+    f"(PARTITION BY site, model) AS mean_ll_diff FROM pmse FULL OUTER JOIN mlpl USING ({K})",
+    PMSE_SQL.strip().rstrip(",") + "," + POSTERIOR_SQL,
+)
+def _(spark, folder):
+    """Utility against privacy loss per run, with the model means on every row."""
+    loss = privacy.maximum_local_privacy_loss(Inputs(spark, folder).evidence())
+    score = utility.pmse(cell_propensity(run_table(spark, folder)))
+    return utility.trade_off(score, loss, "pmse", "ll_diff")
+
+
 @case(
     "representative_run",
     "site:s model:i sim:i ll_diff:f6 med:f6",

@@ -13,6 +13,7 @@ from syncohort.operators import frequencies as freq
 from syncohort.operators import synthesis as synth
 from syncohort.plans.cases import case
 from syncohort.plans.derived import STUDY, attack_table, cohort
+from syncohort.settings import RUN
 
 SIMS = 3
 SUBMODELS = (("age", ()), ("sex", ()), ("stage", ("sex",)), ("daar_grp", ("stage",)))
@@ -281,7 +282,46 @@ def _(spark, folder):
     return synth.synthesize(_slots(people), tables, rates, RATE_BY, STUDY, _uniform)
 
 
-@case("unique_rank_normal_score", "id:i age:i score:f9")
+def _ratio_sql(top: tuple, bottom: tuple, x: str) -> str:
+    """Quotient of two polynomials in x, coefficients from the constant up."""
+    def horner(values):
+        out = f"{values[-1]!r}::DOUBLE"
+        for v in reversed(values[:-1]):
+            out = f"({out} * {x} + {v!r}::DOUBLE)"
+        return out
+
+    return f"{horner(top)} / {horner((1.0, *bottom))}"
+
+
+#: Published rational approximation of the normal quantile, fixed values: centre and tails.
+_CENTRE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3),
+    (4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3),
+)
+_TAILS = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9),
+)
+
+
+@case(
+    "unique_rank_normal_score",
+    "id:i age:i score:f9",
+    "SELECT id, age, CASE WHEN abs(q) <= 0.425 THEN q * "
+    + _ratio_sql(*_CENTRE, "(0.180625::DOUBLE - q * q)")
+    + " ELSE sign(q) * "
+    + _ratio_sql(*_TAILS, "(sqrt(-ln(0.5::DOUBLE - abs(q))) - 1.6::DOUBLE)")
+    + " END AS score FROM (SELECT id, age, (row_number() OVER (ORDER BY age, id) - 0.5::DOUBLE) "
+    "/ count(*) OVER () - 0.5::DOUBLE AS q FROM cohort)",
+)
 def _(spark, folder):
     return models.normal_scores(_site(spark, folder), "age")
 
@@ -342,34 +382,36 @@ def _(spark, folder):
     return models.synthesize_fitted(people, STUDY, models=range(6), sims=2, site="main")
 
 
-@case("discriminator_auc", "auc:f6 pmse:f6 tested:i")
+@case("discriminator_auc", "site:s model:i sim:i auc:f6 pmse:f6 tested:i")
 def _(spark, folder):
-    """Boosted trees against one run: AUC and mean squared propensity error."""
-    real, synthetic = attack_table(spark, folder)
-    one = F.col("model") + F.col("sim") == 1
-    scores = models.discriminator_scores(real.filter(one), synthetic.filter(one), STUDY, rounds=8)
-    scores = cut(scores.withColumn("site", F.lit("main")), "scores")
-    auc = attack.roc_auc(attack.roc_points(scores, ["site"]), ["site"])
-    sizes = scores.groupBy("site").agg(F.count("*").alias("tested"))
-    return auc.join(utility.pmse(scores, ["site"], "score"), "site").join(sizes, "site")
+    """Boosted trees against every run: AUC and mean squared propensity error."""
+    scores = models.per_run(
+        *attack_table(spark, folder),
+        lambda real, synthetic: models.discriminator_scores(real, synthetic, STUDY),
+    )
+    auc = attack.roc_auc(attack.roc_points(scores))
+    sizes = scores.groupBy(*RUN).agg(F.count("*").alias("tested"))
+    return auc.join(utility.pmse(scores, RUN, "score"), list(RUN)).join(sizes, list(RUN))
 
 
-@case("attribute_inference", "holdout:i class:i auc:f6 tpr_1:f6 tpr_2:f6 tpr_3:f6 accuracy:f6")
+@case(
+    "attribute_inference",
+    "site:s model:i sim:i holdout:i class:i auc:f6 tpr_1:f6 tpr_2:f6 tpr_3:f6 accuracy:f6",
+)
 def _(spark, folder):
-    """Stage guessed from identifiers, for members and held-out rows of one run."""
-    real, synthetic = attack_table(spark, folder)
-    one = F.col("model") + F.col("sim") == 1
-    predictions = cut(
-        models.attribute_predictions(
-            synthetic.filter(one), real.filter(one), STUDY, trees=20
-        ).select("id", "holdout", "stage", "guess", "probs"),
-        "predictions",
+    """Stage guessed from identifiers, for members and held-out rows of every run."""
+    predictions = models.per_run(
+        *attack_table(spark, folder),
+        lambda real, synthetic: models.attribute_predictions(synthetic, real, STUDY).select(
+            "id", "holdout", "stage", "guess", "probs"
+        ),
     )
-    long = attack.class_scores(predictions, ["holdout", "id"], "stage", "probs", STUDY.stages)
-    by = ["holdout", "class"]
+    groups = [*RUN, "holdout"]
+    long = attack.class_scores(predictions, [*groups, "id"], "stage", "probs", STUDY.stages)
+    by = [*groups, "class"]
     points = cut(attack.roc_points(long, by, positive="hit"), "roc")
     return (
         attack.roc_auc(points, by)
         .join(attack.tpr_at_fpr(points, by), by)
-        .join(attack.accuracy(predictions, ["holdout"], "stage", "guess"), "holdout")
+        .join(attack.accuracy(predictions, groups, "stage", "guess"), groups)
     )

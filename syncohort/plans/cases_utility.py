@@ -101,7 +101,7 @@ pmse AS (SELECT {K}, avg(power(prob - 0.5, 2)) AS pmse FROM propensity GROUP BY
 """
 
 
-def _propensity(runs):
+def cell_propensity(runs):
     """Share of synthetic rows among the rows with the same age, sex and stage."""
     return with_group_stats(
         runs,
@@ -154,7 +154,19 @@ def _(spark, folder):
     return survival.logrank(*real_and_synthetic(spark, folder), with_p=False)
 
 
-@case("logrank_p", "site:s model:i sim:i age_grp:i sex:i stage:i chi2:f6 p:f6")
+#: Upper tail for one degree of freedom: the error function's series, all terms positive.
+TAIL_SQL = (
+    "1 - 2 / sqrt(pi()) * exp(-chi2 / 2) * list_sum([exp(2 * n * ln(2) + lgamma(n + 1) - "
+    "lgamma(2 * n + 2) + (n + 0.5::DOUBLE) * ln(chi2 / 2)) FOR n IN range(0, 400)])"
+)
+
+
+@case(
+    "logrank_p",
+    "site:s model:i sim:i age_grp:i sex:i stage:i chi2:f6 p:f6",
+    f"SELECT *, CASE WHEN chi2 > 1e-300 THEN {TAIL_SQL} WHEN chi2 >= 0 THEN 1 END AS p FROM chi",
+    LOGRANK_SQL,
+)
 def _(spark, folder):
     """Tail probabilities of the test statistic."""
     return survival.logrank(*real_and_synthetic(spark, folder))
@@ -196,7 +208,7 @@ def _(spark, folder):
 
 @case("pmse", "site:s model:i sim:i pmse:f9", "SELECT * FROM pmse", PMSE_SQL)
 def _(spark, folder):
-    return utility.pmse(_propensity(run_table(spark, folder)))
+    return utility.pmse(cell_propensity(run_table(spark, folder)))
 
 
 def _three(name: str, fmt: str) -> str:
@@ -223,29 +235,12 @@ def _(spark, folder):
     table = utility.utility_table(
         utility.jsd_total(utility.jsd_univariate(real, synthetic)),
         utility.pcd(real, synthetic),
-        utility.pmse(_propensity(runs)),
+        utility.pmse(cell_propensity(runs)),
         survival.survival_difference(real, synthetic, HORIZON),
     )
     return report.report_rows(table, ["jsd", "pcd", "pmse", "mean_diff"], ["site", "model"])
 
 
-@case(
-    "trade_off",
-    "site:s model:i sim:i pmse:f9 pcd:f9 mean_pmse:f9 mean_pcd:f9",
-    f"SELECT *, avg(pmse) OVER (PARTITION BY site, model) AS mean_pmse, avg(pcd) OVER "
-    f"(PARTITION BY site, model) AS mean_pcd FROM pmse FULL OUTER JOIN pcd USING ({K})",
-    ",".join(c.strip() for c in (PCD_SQL, PMSE_SQL)),
-)
-def _(spark, folder):
-    """Two metrics per run with the model means on every row."""
-    return utility.trade_off(
-        utility.pmse(_propensity(run_table(spark, folder))),
-        utility.pcd(*real_and_synthetic(spark, folder)),
-        "pmse",
-        "pcd",
-    )
-
-
 NUMERIC = STUDY.numeric
 
 
@@ -377,6 +372,34 @@ attacked AS (SELECT {K}, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / any_value(p
 """
 
 
+#: Exact binomial limits at 0.975 by bisection, for the best corners of every curve; the
+#: tails are sums of binomial terms. A lower limit at x needs P(X >= x) = 0.025, an upper
+#: one P(X <= x) = 0.025.
+EPSILON_SQL = f"""
+best_tp AS (SELECT {K}, p, n, fp, max(tp) AS tp FROM roc WHERE fp > 0 AND tp > 0 GROUP BY ALL),
+corners AS (SELECT {K}, p, n, tp, min(fp) AS fp FROM best_tp GROUP BY ALL),
+asked AS (SELECT DISTINCT 1 AS lower, CAST(tp AS BIGINT) AS x, CAST(p AS BIGINT) AS n FROM corners
+  UNION SELECT 0, CAST(fp AS BIGINT), CAST(n AS BIGINT) FROM corners),
+halved AS (
+  SELECT lower, x, n, 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM asked
+  UNION ALL
+  SELECT lower, x, n, step + 1, CASE WHEN low_side THEN mid ELSE lo END,
+    CASE WHEN low_side THEN hi ELSE mid END
+  FROM (SELECT *, (tail < 0.025::DOUBLE) = (lower = 1) AS low_side FROM (
+    SELECT *, (lo + hi) / 2 AS mid, list_sum([exp(lgamma(n + 1) - lgamma(k + 1)
+        - lgamma(n - k + 1) + k * ln((lo + hi) / 2) + (n - k) * ln(1 - (lo + hi) / 2))
+      FOR k IN range(CASE WHEN lower = 1 THEN x ELSE 0 END,
+        CASE WHEN lower = 1 THEN n + 1 ELSE x + 1 END)]) AS tail
+    FROM halved WHERE step < 46))),
+limits AS (SELECT lower, x, n, CASE WHEN lower = 0 AND x >= n THEN 1 ELSE (lo + hi) / 2 END AS v
+  FROM halved WHERE step = 46),
+bounds AS (SELECT {K}, max(ln(a.v / b.v)) AS bound FROM corners c
+  JOIN limits a ON a.lower = 1 AND a.x = c.tp AND a.n = c.p
+  JOIN limits b ON b.lower = 0 AND b.x = c.fp AND b.n = c.n GROUP BY {K}),
+epsilons AS (SELECT {K}, greatest(coalesce(bound, 0), 0) AS epsilon
+  FROM (SELECT DISTINCT {K} FROM roc) LEFT JOIN bounds USING ({K}))
+"""
+
 SIMPLE_SCORES = f"SELECT {K}, round(t, 2) AS score, status AS member FROM runs WHERE synth = 0"
 
 
@@ -416,7 +439,13 @@ def _(spark, folder):
     return attack.tpr_at_fpr(attack.roc_points(_simple_scores(spark, folder)))
 
 
-@case("empirical_epsilon", "site:s model:i sim:i epsilon:f6")
+@case(
+    "empirical_epsilon",
+    "site:s model:i sim:i epsilon:f6",
+    "SELECT * FROM epsilons",
+    _roc_sql(SIMPLE_SCORES).rstrip() + "," + EPSILON_SQL,
+    recursive=True,
+)
 def _(spark, folder):
     return attack.empirical_epsilon(attack.roc_points(_simple_scores(spark, folder)))
 
@@ -570,21 +599,35 @@ def _(spark, folder):
     return density.density_scores(*attack_table(spark, folder))
 
 
+CALIBRATED_DENSITY_SQL = ",".join(
+    (
+        SPLIT_SQL.strip(),
+        _standardised("zq", "tested").strip(),
+        _standardised("zs", "stock").strip(),
+        _standardised("zk", "known").strip(),
+        _density("dens_s", "zs", "zq"),
+        _density("dens_k", "zk", "zq"),
+    )
+)
+#: Rounded, so that equal records stay ties whatever the order of summation.
+MEMBERSHIP_SQL = ",".join(
+    (
+        CALIBRATED_DENSITY_SQL,
+        _roc_sql(
+            f"SELECT {K}, 1 - s.holdout AS member, round(s.score - k.score, 8) AS score "
+            f"FROM dens_s s JOIN dens_k k USING ({K}, id)"
+        ).rstrip(),
+        EPSILON_SQL,
+    )
+)
+
+
 @case(
     "mia_density_calibrated",
     "site:s model:i sim:i id:i member:i score:f6",
     f"SELECT {K}, id, 1 - s.holdout AS member, s.score - k.score AS score FROM dens_s s JOIN "
     f"dens_k k USING ({K}, id)",
-    ",".join(
-        (
-            SPLIT_SQL.strip(),
-            _standardised("zq", "tested").strip(),
-            _standardised("zs", "stock").strip(),
-            _standardised("zk", "known").strip(),
-            _density("dens_s", "zs", "zq"),
-            _density("dens_k", "zk", "zq"),
-        )
-    ),
+    CALIBRATED_DENSITY_SQL,
 )
 def _(spark, folder):
     """Log density ratio of synthetic and reference."""
@@ -593,30 +636,40 @@ def _(spark, folder):
     )
 
 
-@case("membership_evaluation", "site:s model:i sim:i auc:f6 tpr_1:f6 tpr_2:f6 tpr_3:f6 epsilon:f6")
+def _membership(spark, folder):
+    scores = density.calibrated_density_scores(
+        *attack_table(spark, folder), uniform=_reference_uniform()
+    )
+    return attack.evaluate_scores(scores.withColumn("score", F.round("score", 8)))
+
+
+@case(
+    "membership_evaluation",
+    "site:s model:i sim:i auc:f6 tpr_1:f6 tpr_2:f6 tpr_3:f6 epsilon:f6",
+    f"SELECT * FROM attacked JOIN epsilons USING ({K})",
+    MEMBERSHIP_SQL,
+    recursive=True,
+)
 def _(spark, folder):
     """All measures of the calibrated density attack."""
-    scores = density.calibrated_density_scores(*attack_table(spark, folder))
-    return attack.evaluate_scores(scores)
+    return _membership(spark, folder)
 
 
 @case(
     "membership_table",
     "site:s model:i str:s",
     "SELECT site, model, ' & ' || CASE model WHEN 0 THEN 'Indep. marginals' ELSE 'Model 1' END "
-    f"|| ' & ' || {_three('auc', '%.3f')} || ' & ' || {_three('tpr_1', '%.3f')} || ' & ' || "
+    f"|| ' & ' || {_three('epsilon', '%.3f')} || ' & ' || {_three('tpr_1', '%.3f')} || ' & ' || "
     f"{_three('tpr_2', '%.3f')} || ' & ' || {_three('tpr_3', '%.3f')} || ' \\\\' AS str "
-    "FROM attacked GROUP BY site, model",
-    _roc_sql(SIMPLE_SCORES),
+    f"FROM attacked JOIN epsilons USING ({K}) GROUP BY site, model",
+    MEMBERSHIP_SQL,
+    recursive=True,
 )
 def _(spark, folder):
-    """Median (min, max) of attack measures over runs, one report row per model."""
-    points = attack.roc_points(_simple_scores(spark, folder))
-    rates = attack.roc_auc(points).join(attack.tpr_at_fpr(points), list(RUN))
-    measures = ["auc", "tpr_1", "tpr_2", "tpr_3"]
-    return report.report_rows(
-        report.membership_table(rates, measures), measures, ["site", "model"]
-    )
+    """Median (min, max) over runs of the calibrated density attack, one report row per model."""
+    measures = ["epsilon", "tpr_1", "tpr_2", "tpr_3"]
+    table = report.membership_table(_membership(spark, folder), measures)
+    return report.report_rows(table, measures, ["site", "model"])
 
 
 RATES_SQL = f"""
