@@ -672,9 +672,26 @@ def _(spark, folder):
     return report.report_rows(table, measures, ["site", "model"])
 
 
-RATES_SQL = f"""
-rates AS (SELECT {K}, CASE WHEN stage = 999 THEN 9 ELSE stage END AS class, holdout,
-    avg(status) AS rate FROM runs WHERE synth = 0 GROUP BY ALL),
+#: Stage guessed from the synthetic shares by age and sex, scores of every class.
+SHARES_SQL = f"""
+shares AS (SELECT {K}, age, sex, stage AS class, count(*) / CAST(sum(count(*)) OVER
+    (PARTITION BY {K}, age, sex) AS DOUBLE) AS score FROM runs WHERE synth = 1
+    GROUP BY {K}, age, sex, stage),
+people AS (SELECT * FROM runs WHERE synth = 0),
+class_scores AS (SELECT {", ".join(f"p.{k}" for k in RUN)}, p.id, p.holdout, p.stage, c.class,
+    coalesce(s.score, 0) AS score FROM people p,
+    (SELECT unnest([1, 2, 3, 999]) AS class) c LEFT JOIN shares s ON s.model = p.model AND
+    s.sim = p.sim AND s.age = p.age AND s.sex = p.sex AND s.class = c.class)"""
+
+RATES_SQL = f"""{SHARES_SQL},
+by_score AS (SELECT {K}, holdout, class, score, count_if(stage = class) AS pos,
+    count_if(stage <> class) AS neg FROM class_scores GROUP BY ALL),
+roc AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
+    CAST(sum(pos) OVER g AS DOUBLE) AS p, CAST(sum(neg) OVER g AS DOUBLE) AS n FROM by_score
+  WINDOW w AS (PARTITION BY {K}, holdout, class ORDER BY score DESC),
+    g AS (PARTITION BY {K}, holdout, class)),
+rates AS (SELECT {K}, holdout, CASE WHEN class = 999 THEN 9 ELSE class END AS class,
+    coalesce(max(tp / p) FILTER (fp / n <= 0.01::DOUBLE), 0) AS rate FROM roc GROUP BY ALL),
 gains AS (SELECT {K}, class, m.rate AS rate, h.rate AS baseline,
     (m.rate - h.rate) / nullif(1 - h.rate, 0) AS relative
   FROM (SELECT * FROM rates WHERE holdout = 0) m FULL OUTER JOIN
@@ -682,11 +699,35 @@ gains AS (SELECT {K}, class, m.rate AS rate, h.rate AS baseline,
 """
 
 
+def _share_predictions(real, synthetic):
+    """`guess` and `probs` of the stage from the synthetic shares by age and sex."""
+    groups = [*RUN, "age", "sex"]
+    shares = synthetic.groupBy(*groups).agg(
+        *[F.avg((F.col("stage") == s).cast("double")).alias(f"p_{s}") for s in STUDY.stages]
+    )
+    predictions = real.join(shares, groups, "left").withColumn(
+        "probs", F.array(*[F.coalesce(F.col(f"p_{s}"), F.lit(0.0)) for s in STUDY.stages])
+    )
+    best = F.array_position("probs", F.array_max("probs"))
+    guess = F.element_at(F.array(*[F.lit(s) for s in STUDY.stages]), best.cast("int"))
+    return predictions.withColumn("guess", guess)
+
+
 def _class_rates(spark, folder):
-    real, _ = attack_table(spark, folder)
-    rates = real.groupBy(
-        *RUN, "holdout", F.when(F.col("stage") == 999, 9).otherwise(F.col("stage")).alias("class")
-    ).agg(F.avg("status").alias("tpr"))
+    """Share of each stage found at 1 % false alarms, for members and for held-out rows."""
+    by = [*RUN, "holdout", "class"]
+    long = attack.class_scores(
+        _share_predictions(*attack_table(spark, folder)),
+        [*RUN, "holdout", "id"], "stage", "probs", STUDY.stages,
+    )
+    found = attack.tpr_at_fpr(attack.roc_points(long, by, positive="hit"), by)
+    rates = cut(
+        found.select(
+            *RUN, "holdout", F.col("tpr_3").alias("tpr"),
+            F.when(F.col("class") == 999, 9).otherwise(F.col("class")).alias("class"),
+        ),
+        "rates",
+    )
     return rates.filter("holdout = 0").drop("holdout"), rates.filter("holdout = 1").drop("holdout")
 
 
@@ -724,15 +765,7 @@ def _(spark, folder):
     "site:s model:i sim:i class:i auc:f9 tpr_1:f9 tpr_2:f9 tpr_3:f9 accuracy:f9",
     f"SELECT {K}, class, auc, tpr_1, tpr_2, tpr_3, accuracy FROM attacked_c JOIN accuracies "
     f"USING ({K})",
-    f"""
-shares AS (SELECT {K}, age, sex, stage AS class, count(*) / CAST(sum(count(*)) OVER
-    (PARTITION BY {K}, age, sex) AS DOUBLE) AS score FROM runs WHERE synth = 1
-    GROUP BY {K}, age, sex, stage),
-people AS (SELECT * FROM runs WHERE synth = 0),
-class_scores AS (SELECT {", ".join(f"p.{k}" for k in RUN)}, p.id, p.stage, c.class,
-    coalesce(s.score, 0) AS score FROM people p,
-    (SELECT unnest([1, 2, 3, 999]) AS class) c LEFT JOIN shares s ON s.model = p.model AND
-    s.sim = p.sim AND s.age = p.age AND s.sex = p.sex AND s.class = c.class),
+    f"""{SHARES_SQL},
 guesses AS (SELECT {K}, id, stage, class, row_number() OVER (PARTITION BY {K}, id
     ORDER BY score DESC, class) AS rn FROM class_scores),
 accuracies AS (SELECT {K}, avg(CASE WHEN stage = class THEN 1 ELSE 0 END) AS accuracy
@@ -749,18 +782,9 @@ attacked_c AS (SELECT {K}, class, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / an
 """,
 )
 def _(spark, folder):
-    """One-vs-rest measures of a stage guess from synthetic shares by age and sex."""
+    """One-vs-rest measures of the stage guess."""
     real, synthetic = real_and_synthetic(spark, folder)
-    groups = [*RUN, "age", "sex"]
-    sizes = synthetic.groupBy(*groups).agg(
-        *[F.avg((F.col("stage") == s).cast("double")).alias(f"p_{s}") for s in STUDY.stages]
-    )
-    predictions = real.join(sizes, groups, "left").withColumn(
-        "probs", F.array(*[F.coalesce(F.col(f"p_{s}"), F.lit(0.0)) for s in STUDY.stages])
-    )
-    best = F.array_position("probs", F.array_max("probs"))
-    guess = F.element_at(F.array(*[F.lit(s) for s in STUDY.stages]), best.cast("int"))
-    predictions = predictions.withColumn("guess", guess)
+    predictions = _share_predictions(real, synthetic)
     long = attack.class_scores(predictions, [*RUN, "id"], "stage", "probs", STUDY.stages)
     by = [*RUN, "class"]
     points = attack.roc_points(long, by, positive="hit")
