@@ -242,7 +242,9 @@ def repeated_passages(
     held = kept.select(
         "doc_id", "digest", F.inline(F.arrays_zip("grams", "spots")).alias("gram", "spot")
     )
-    shared = (
+    # As a table, so that the join below deals out both sides anew and Spark can split the
+    # partition of a gram that very many positions hold.
+    shared = cut(
         held.groupBy("gram")
         .agg(
             F.min("doc_id").alias("low"),
@@ -250,7 +252,8 @@ def repeated_passages(
             (F.count("*") > 2).cast("int").alias("many"),
         )
         .where("low < high")
-        .select("gram", "many")
+        .select("gram", "many"),
+        "grams",
     )
     spots = (
         held.join(shared, "gram")
