@@ -1,11 +1,12 @@
-"""Line deduplication by pairwise alignment of documents that share rare lines.
-
-Every line found in several documents points from each holder to its earliest
-holder, so a line of n documents makes n - 1 candidate entries and no pairs among
-the later ones. A candidate pair needs enough evidence, the sum of the shared lines'
-rarity; one boilerplate line is not enough, however many documents hold it. The
-pair's line hashes are aligned by patience diff and the aligned common blocks go
-from the later document. The earliest holder of a line never loses it.
+"""Line deduplication by blocks of lines that an earlier document holds.
+
+A block counts with MIN_BLOCK characters in lines that are no boilerplate, or with
+LONG_BLOCK characters in any lines. Every such block is a union of its shortest runs of
+lines that still count, one from each line onwards and one up to each line, so a block
+is shared exactly where these runs are. Runs are hashed and every run points from each
+holder to its earliest holder: n holders make n - 1 entries, no pairs among the later
+ones, however common the run is. Boilerplate is a line of more than half of all
+documents, whatever their number. The earliest holder of a line never loses it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import bisect
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,10 +27,17 @@ from pyspark.sql import types as T
 from syncohort.lineage import cut
 from syncohort.llm import words as W
 
-#: Evidence a pair needs; 1 is a line that only two documents of the corpus hold.
-EVIDENCE = 0.5
-#: Characters in a block that is worth deleting.
+#: Characters (bytes of UTF-8) in a block that is worth deleting.
 MIN_BLOCK = 40
+#: Characters in a block that goes even if all its lines are boilerplate.
+LONG_BLOCK = 100
+#: Boilerplate is a line held by more than this share of the documents, and by more than FEW.
+COMMON = 0.5
+FEW = 10
+#: Runs in one batch of rows.
+RUNS = 1 << 16
+#: Lines handled at once; a longer text makes a slice of its own.
+SLICE_LINES = 1 << 18
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,39 +125,90 @@ def common_blocks(
     return out
 
 
-def _aligned(min_block: int):
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            removed = []
-            for earlier, lines, sizes in zip(
-                batch.column("earlier").to_pylist(),
-                batch.column("lines").to_pylist(),
-                batch.column("sizes").to_pylist(),
-            ):
-                at = [k for k, x in enumerate(lines) if x is not None]
-                found = common_blocks(
-                    [x for x in earlier if x is not None],
-                    [lines[k] for k in at],
-                    [sizes[k] for k in at],
-                    min_block,
+def shortest_runs(
+    sizes: np.ndarray, rare: np.ndarray, bounds: np.ndarray, min_block: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the shortest runs of lines that count as a block.
+
+    Document d has the lines `bounds[d]:bounds[d + 1]`; `sizes` are characters, `rare`
+    the same with 0 for boilerplate.
+    """
+    count = len(sizes)
+    if not count:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    onward, backward = np.full(count, count + 1), np.full(count, -1)
+    for size, least in ((sizes, max(min_block, LONG_BLOCK)), (rare, min_block)):
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        onward = np.minimum(onward, np.searchsorted(total, total[:-1] + least, "left"))
+        backward = np.maximum(backward, np.searchsorted(total, total[1:] - least, "right") - 1)
+    at = np.arange(count)
+    first, last = onward <= bounds[of + 1], backward >= bounds[of]
+    starts = np.concatenate([at[first], backward[last]])
+    ends = np.concatenate([onward[first], at[last] + 1])
+    pairs = np.unique(np.stack([starts, ends]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = W.mixed((ends - starts).astype(np.uint64))
+    step, open_ = 0, np.arange(len(starts))
+    while len(open_):
+        total[open_] = W.mixed(total[open_] * W._STEP + lines[starts[open_] + step])
+        step += 1
+        open_ = open_[starts[open_] + step < ends[open_]]
+    return total
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with at most SLICE_LINES lines, or one row."""
+    ends = np.asarray(batch.column("lines").offsets)
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, ends[start] + SLICE_LINES, "right")) - 1
+        stop = min(max(stop, start + 1), batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def _runs(common: list[int], min_block: int):
+    """Rows (doc_id, version, run, places), a row for each shortest run."""
+    boilerplate = np.array(sorted(common), np.int64)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            held = batch.column("lines")
+            offsets = np.asarray(held.offsets).astype(np.int64)
+            flat, offsets = held.flatten(), offsets - offsets[0]
+            real = flat.is_valid().to_numpy(zero_copy_only=False)
+            lines = flat.fill_null(0).to_numpy(zero_copy_only=False)[real]
+            sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)[real]
+            bounds = np.concatenate([[0], np.cumsum(real)])[offsets]
+            number = (np.arange(len(real)) - np.repeat(offsets[:-1], np.diff(offsets)))[real]
+            rare = np.where(np.isin(lines, boilerplate), 0, sizes)
+            starts, ends = shortest_runs(sizes, rare, bounds, min_block)
+            of = np.searchsorted(bounds, starts, "right") - 1
+            hashes = _run_hashes(lines.view(np.uint64), starts, ends).view(np.int64)
+            for a in range(0, len(starts), RUNS):
+                some = slice(a, a + RUNS)
+                width = ends[some] - starts[some]
+                to = np.concatenate([[0], np.cumsum(width)])
+                inside = np.arange(to[-1]) - np.repeat(to[:-1], width)
+                places = number[np.repeat(starts[some], width) + inside]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").take(pa.array(of[some])),
+                        batch.column("version").take(pa.array(of[some])),
+                        pa.array(hashes[some]),
+                        pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(places, pa.int32())),
+                    ],
+                    names=["doc_id", "version", "run", "places"],
                 )
-                removed.append([at[k] for k in found])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("version"),
-                    batch.column("source_id"),
-                    pa.array(removed, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "version", "source_id", "removed"],
-            )
 
-    return align
+    return runs
 
 
-def overlaps(
-    docs: DataFrame, evidence: float = EVIDENCE, min_block: int = MIN_BLOCK
-) -> DataFrame:
+def overlaps(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     """(doc_id, version, source_id, removed): lines of `doc_id` also found in the earlier source.
 
     `version` is the hash of the text; `removed` holds line numbers from 0.
@@ -164,38 +224,33 @@ def overlaps(
         ).dropDuplicates(["doc_id", "version"]),
         "lines",
     )
-    key = F.struct("doc_id", "version")
-    held = lined.select(key.alias("doc"), F.explode(F.array_distinct("lines")).alias("line"))
-    held = held.where("line is not null")
-    total = lined.count() + 1
+    least = max(FEW, COMMON * lined.count())
+    # At most 1 / COMMON times the lines of a mean document.
+    common = (
+        lined.select(F.explode(F.array_distinct("lines")).alias("line"))
+        .where("line is not null")
+        .groupBy("line")
+        .count()
+        .where(F.col("count") > least)
+        .collect()
+    )
+    runs = lined.mapInArrow(
+        _runs([r.line for r in common], min_block),
+        "doc_id long, version long, run long, places array<int>",
+    ).select("run", F.struct("doc_id", "version").alias("doc"), "places")
     first = (
-        held.groupBy("line")
-        .agg(F.count("*").alias("df"), F.min("doc").alias("source"))
-        .where("df > 1")
-        .withColumn("weight", F.log(F.lit(float(total)) / F.col("df")) / F.log(F.lit(total / 2.0)))
+        runs.groupBy("run")
+        .agg(F.min("doc").alias("source"), F.max("doc").alias("latest"))
+        .where("source <> latest")
+        .select("run", "source")
     )
-    pairs = (
-        held.join(first, "line")
+    return (
+        runs.join(first, "run")
         .where("doc <> source")
-        .groupBy("doc", "source")
-        .agg(F.sum("weight").alias("evidence"))
-        .where(F.col("evidence") >= evidence)
+        .groupBy("doc", F.col("source.doc_id").alias("source_id"))
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"))
+        .select("doc.doc_id", "doc.version", "source_id", "removed")
     )
-    later = lined.withColumn("doc", key).drop("doc_id", "version")
-    earlier = lined.select(key.alias("source"), F.col("lines").alias("earlier"))
-    return (
-        pairs.join(earlier, "source")
-        .join(later, "doc")
-        .select(
-            "doc.doc_id", "doc.version", F.col("source.doc_id").alias("source_id"),
-            "earlier", "lines", "sizes",
-        )
-        .mapInArrow(
-            _aligned(min_block),
-            "doc_id long, version long, source_id long, removed array<int>",
-        )
-        .where("size(removed) > 0")
-    )
 
 
 @F.pandas_udf(T.StringType())
@@ -216,9 +271,7 @@ def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def line_dedup(
-    docs: DataFrame, evidence: float = EVIDENCE, min_block: int = MIN_BLOCK
-) -> DataFrame:
+def line_dedup(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     """`docs` with `text` freed of blocks that an earlier document holds.
 
     Earlier means a lower doc_id (then a lower hash of the text). Adds n_lines,
@@ -229,7 +282,7 @@ def line_dedup(
     the other's source and all lose the same lines. An empty table stays empty.
     """
     found = (
-        overlaps(docs, evidence, min_block)
+        overlaps(docs, min_block)
         .groupBy("doc_id", "version")
         .agg(
             F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed"),

@@ -106,3 +106,28 @@ def test_alignment(a, b):
 def test_blocks_need_size():
     assert ld.common_blocks([1, 2, 3, 4], [9, 1, 2, 8, 4], [50] * 5, 60) == [1, 2]
     assert ld.common_blocks([1, 2, 3, 4], [9, 1, 2, 8, 4], [50] * 5, 40) == [1, 2, 4]
+
+
+LONG = " ".join(f"passage{k}" for k in range(60))
+
+
+def test_frequent_passages_go_at_every_size(odd_docs):
+    """A block of a third of the documents, and a long line in most of them, whatever their number."""
+    block = LINES[:2]
+    for count in (30, 300, 3000):
+        rows = [
+            (k, "\n".join([f"Own first line of document {k}.", *([LONG] if k % 4 else []), f"Own middle {k}.", *(block if k % 3 == 0 else []), f"Own end {k}."]))
+            for k in range(count)
+        ]
+        got = run(odd_docs(rows))
+        for k, text in rows:
+            gone = (2 if k % 3 == 0 and k > 0 else 0) + (1 if k % 4 and k > 1 else 0)
+            assert got[k].n_removed == gone, (count, k)
+            assert f"Own middle {k}." in got[k].text and f"Own end {k}." in got[k].text
+
+
+def test_rare_share_of_short_lines_goes_at_every_size(odd_docs):
+    notice = "This notice stands in one of a hundred documents, not in all of them."
+    for count in (1000, 20000):
+        rows = [(k, f"Own text of document {k}." + ("\n" + notice if k % 100 == 5 else "")) for k in range(count)]
+        assert sum(r.n_removed for r in run(odd_docs(rows)).values()) == count // 100 - 1
