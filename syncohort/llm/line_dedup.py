@@ -86,7 +86,10 @@ def _anchors(a: Sequence, b: Sequence, a0: int, a1: int, b0: int, b1: int) -> li
 
 
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
-    """Aligned positions (i, j), increasing in both, of equal entries of `a` and `b`."""
+    """Aligned positions (i, j), increasing in both, of equal entries of `a` and `b`.
+
+    One increasing chain: moved and repeated blocks are not in it, `common_blocks` has them.
+    """
     out: list[tuple[int, int]] = []
     ranges = [(0, len(a), 0, len(b))]
     while ranges:
@@ -107,24 +110,6 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(
-    earlier: Sequence, later: Sequence, sizes: Sequence[int], min_block: int
-) -> list[int]:
-    """Positions in `later` of aligned blocks with at least `min_block` characters."""
-    out: list[int] = []
-    block: list[int] = []
-    last = None
-    for i, j in [*patience(earlier, later), (None, None)]:
-        if block and (i is None or (i - 1, j - 1) != last):
-            if sum(sizes[k] for k in block) >= min_block:
-                out.extend(block)
-            block = []
-        if i is not None:
-            block.append(j)
-        last = (i, j)
-    return out
-
-
 def shortest_runs(
     sizes: np.ndarray, rare: np.ndarray, bounds: np.ndarray, min_block: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +135,25 @@ def shortest_runs(
     return pairs[0], pairs[1]
 
 
+def common_blocks(
+    earlier: Sequence, later: Sequence, sizes: Sequence[int], min_block: int
+) -> list[int]:
+    """Positions in `later` of blocks with at least `min_block` characters that `earlier` holds.
+
+    However often and in whatever order either side has them.
+    """
+    sizes = np.asarray(sizes, np.int64)
+    runs = shortest_runs(sizes, sizes, np.array([0, len(sizes)]), min_block)
+    runs = list(zip(*(x.tolist() for x in runs)))
+    held = {
+        tuple(earlier[i : i + n])
+        for n in {end - start for start, end in runs}
+        for i in range(len(earlier) - n + 1)
+    }
+    found = {k for a, b in runs if tuple(later[a:b]) in held for k in range(a, b)}
+    return sorted(found)
+
+
 def _run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = W.mixed((ends - starts).astype(np.uint64))
     step, open_ = 0, np.arange(len(starts))

@@ -131,3 +131,29 @@ def test_rare_share_of_short_lines_goes_at_every_size(odd_docs):
     for count in (1000, 20000):
         rows = [(k, f"Own text of document {k}." + ("\n" + notice if k % 100 == 5 else "")) for k in range(count)]
         assert sum(r.n_removed for r in run(odd_docs(rows)).values()) == count // 100 - 1
+
+
+def test_repeated_and_moved_blocks(odd_docs):
+    p, a, b = LINES[:3], LINES[10:13], LINES[20:23]
+    rows = [
+        (1, ["u of its own", *p, "v of its own"]), (2, ["x", *p, "y", *p, "z"]),
+        (3, ["r of its own", *a, "s of its own", *a]), (4, ["c", *a, "d"]), (5, [*a, "e", *a, *a]),
+        (6, [*b, *LINES[30:33]]), (7, [*LINES[30:33], *b]),
+    ]
+    got = run(odd_docs([(k, "\n".join(lines)) for k, lines in rows]))
+    assert [got[k].n_removed for k in range(1, 8)] == [0, 6, 0, 3, 9, 0, 6]
+    assert got[2].text == "x\ny\nz" and got[4].text == "c\nd" and got[5].text == "e" and got[7].text == ""
+    assert ld.common_blocks("uPQRv", "xPQRyPQRz", [50] * 9, 100) == [1, 2, 3, 5, 6, 7]
+    assert ld.common_blocks("ABCDEF", "DEFABC", [20] * 6, 60) == [0, 1, 2, 3, 4, 5]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=20), st.lists(st.integers(0, 5), max_size=20), st.integers(1, 60))
+def test_all_common_blocks(a, b, least):
+    sizes = [5 + 7 * x for x in b]
+    want = set()
+    for i in range(len(b)):
+        for j in range(i + 1, len(b) + 1):
+            if sum(sizes[i:j]) >= least and any(a[k : k + j - i] == b[i:j] for k in range(len(a))):
+                want |= set(range(i, j))
+    assert ld.common_blocks(a, b, sizes, least) == sorted(want)
