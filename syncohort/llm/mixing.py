@@ -3,23 +3,28 @@
 A source's texts, in an order fixed by hashes, make a stream of characters that is cut
 into blocks. With weight w its i-th block is released at floor(i / w) and due at
 ceil((i + 1) / w); serving the released block with the earliest deadline keeps every
-source within less than one block of its weight at any time. Weights are multiples of
-one over the schedule's length, so the schedule repeats and one round of it is worked
-out, whatever the size of the corpus; a document's place follows from its place in its
-source. The schedule ends when every source has been read completely; until then a
-source that ends earlier starts again, so no document is lost.
+source within less than one block of its weight at any time. Weights are exact
+rationals, so neither a rounding nor a smallest share adds up over a long schedule; a
+few numbers per block are worked out, in pieces that are written as a table, and a
+document's place follows from its place in its source. The schedule ends when every
+source has been read completely; until then a source that ends earlier starts again, so
+no document is lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from syncohort.lineage import cut
+from syncohort.lineage import cut, scratch_path
 
 BLOCK_CHARS = 1 << 16
-#: Slots of one round, and so the number of sources at most.
-SLOTS = 1000
+#: Slots worked out and written at once.
+SLOTS = 1 << 17
 #: Default weights are in proportion to a source's characters to this power.
 EXPONENT = 0.9
 #: Documents of a source that are ordered in one group.
@@ -84,22 +89,71 @@ def quotas(weights: DataFrame, slots: int) -> DataFrame:
     )
 
 
-def schedule(quota: DataFrame, slots: int) -> DataFrame:
-    """(source, quota, places): the slots of each source in one round, ascending."""
-    order = F.sort_array(F.collect_list(F.struct("source", "quota")))
-    rounds = quota.agg(order.alias("sources")).where("size(sources) > 0").select(
-        "sources", round_of_slots(F.transform("sources", lambda s: s["quota"]), slots).alias("served")
-    )
-    return rounds.select("served", F.posexplode("sources").alias("k", "s")).select(
-        "s.source", "s.quota",
-        F.transform(
-            F.filter(
-                F.transform("served", lambda x, i: F.struct(x.alias("k"), i.cast("long").alias("slot"))),
-                lambda x: x["k"] == F.col("k"),
-            ),
-            lambda x: x["slot"],
-        ).alias("places"),
-    )
+def shares(weights: Sequence[float]) -> tuple[list[int], int]:
+    """Integers in exactly the proportions of `weights`, and their sum."""
+    exact = [Fraction(w) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("weights must be above 0")
+    common = max((w.denominator for w in exact), default=1)  # powers of two
+    parts = [int(w * common) for w in exact]
+    return parts, sum(parts)
+
+
+def schedule(
+    weights: Sequence[float], chars: Sequence[int], block_chars: int
+) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source number, block, release, deadline, slot) of every slot, ascending.
+
+    Ties between deadlines go to the lower number. Slots are filled until each source's
+    weight has covered its characters; then come the blocks that are begun by then but
+    not served, at most one of a source, all within their deadlines.
+    """
+    parts, whole = shares(weights)
+    # The first slot at which n characters are covered: n / (block_chars * weight).
+    end = max((-(-n * whole // (block_chars * p)) for n, p in zip(chars, parts)), default=0)
+    waiting: dict[int, list[tuple[int, int, int]]] = {0: []}
+    ready = [(-(-whole // p), k, 0, 0) for k, p in enumerate(parts)]
+    heapq.heapify(ready)
+    for slot in range(end):
+        for later in waiting.pop(slot, ()):
+            heapq.heappush(ready, later)
+        due, k, block, release = heapq.heappop(ready)
+        yield k, block, release, due, slot
+        block += 1
+        release = block * whole // parts[k]
+        later = (-(-(block + 1) * whole // parts[k]), k, block, release)
+        if release <= slot + 1:
+            heapq.heappush(ready, later)
+        else:
+            waiting.setdefault(release, []).append(later)
+    slot = end
+    for due, k, block, release in sorted(ready):
+        if block * block_chars < chars[k]:
+            yield k, block, release, due, slot
+            slot += 1
+
+
+_PLACES = "_k long, block long, release long, deadline long, slot long"
+
+
+def _written(
+    spark: SparkSession, rows: Iterator[tuple[int, ...]], served: list[int], slots: int
+) -> DataFrame:
+    """`rows` of a schedule as a table; counts each source's blocks in `served`."""
+    path = scratch_path(spark, "schedule")
+    piece: list[tuple[int, ...]] = []
+
+    def write() -> None:
+        spark.createDataFrame(piece, _PLACES).write.mode("append").parquet(path)
+        piece.clear()
+
+    for row in rows:
+        served[row[0]] += 1
+        piece.append(row)
+        if len(piece) >= slots:
+            write()
+    write()
+    return spark.read.schema(_PLACES).parquet(path)
 
 
 def mix(
@@ -122,7 +176,8 @@ def mix(
     characters to the power `exponent`. A null source is a source of its own; null
     and empty texts count one character, so they have a place. Repeated rows and null
     doc_ids have places of their own. Columns of `docs` with the added names are
-    replaced; an empty table stays empty. More sources than `slots` stop the job.
+    replaced; an empty table stays empty. Any number of sources; `slots` only sets how
+    much of the schedule is written at once, the result does not depend on it.
     """
     added = ["copy", "block", "release", "deadline", "slot", "offset"]
     columns = [c for c in docs.columns if c not in added]
@@ -157,51 +212,41 @@ def mix(
         joined = totals.join(named, F.col("source").eqNullSafe(F.col("_named")), "left")
         lowest = F.coalesce(F.min("weight").over(Window.partitionBy()), F.lit(1.0))
         target = joined.withColumn("weight", F.coalesce("weight", lowest))
-    plan = cut(schedule(quotas(target.select("source", "weight"), slots), slots), "schedule")
-    blocks = F.ceil(F.col("chars") / F.lit(block_chars))
-    last = F.floor((F.col("blocks") - 1) / F.col("quota")) * slots + F.element_at(
-        "places", (F.pmod(F.col("blocks") - 1, F.col("quota")) + 1).cast("int")
+    sources = target.select("source", "chars", "weight").orderBy(F.col("source").asc_nulls_first()).collect()
+    chars = [r.chars for r in sources]
+    spark, served = docs.sparkSession, [0] * len(sources)
+    blocks_served = schedule([r.weight for r in sources], chars, block_chars)
+    plan = _written(spark, blocks_served, served, slots).withColumnRenamed("block", "_block")
+    rounds = spark.createDataFrame(
+        [(k, r.source, -(-r.chars // block_chars), served[k]) for k, r in enumerate(sources)],
+        f"_number long, _name {docs.schema['source'].dataType.simpleString()}, blocks long, served long",
     )
-    rounds = totals.withColumnRenamed("source", "_name").join(
-        plan, F.col("_name").eqNullSafe(F.col("source"))
-    ).withColumn("blocks", blocks)
-    ending = F.max(last).over(Window.partitionBy())
-    rounds = rounds.withColumn("_ending", ending).select(
-        F.col("source").alias("_name"), "quota", "places", "blocks",
-        (
-            F.floor(F.col("_ending") / slots) * F.col("quota")
-            + F.size(F.filter("places", lambda p: p <= F.pmod(F.col("_ending"), F.lit(slots))))
-        ).alias("served"),
-    )
     running = F.sum("_size").over(
         Window.partitionBy("source", "_part")
         .orderBy("_hash")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # Every text moves once, to its source's part; the sides of both joins below it are
-    # sums per part, and one row per source, of which there are `slots` at most.
+    # The other sides of both joins have a row for each part and a row for each block.
+    known = before.join(rounds, F.col("_source").eqNullSafe(F.col("_name")))
     placed = (
         sized.withColumn("_place", running - F.col("_size"))
         .join(
-            before,
+            known,
             F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")),
         )
         .withColumn("_place", F.col("_place") + F.col("_before"))
-        .join(F.broadcast(rounds), F.col("source").eqNullSafe(F.col("_name")))
         .withColumn("_first", F.floor(F.col("_place") / F.lit(block_chars)))
         .withColumn("_copies", F.floor((F.col("served") - 1 - F.col("_first")) / F.col("blocks")))
         .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies"))))
         .withColumn("block", F.col("_first") + F.col("copy") * F.col("blocks"))
+        .join(plan, (F.col("_number") == F.col("_k")) & (F.col("block") == F.col("_block")))
     )
     return placed.select(
         *[F.col(f"row.`{c}`") for c in columns],
         "copy",
         "block",
-        F.floor(F.col("block") * slots / F.col("quota")).alias("release"),
-        F.ceil((F.col("block") + 1) * slots / F.col("quota")).alias("deadline"),
-        (
-            F.floor(F.col("block") / F.col("quota")) * slots
-            + F.element_at("places", (F.pmod("block", "quota") + 1).cast("int"))
-        ).alias("slot"),
+        "release",
+        "deadline",
+        "slot",
         F.pmod("_place", F.lit(block_chars).cast("long")).alias("offset"),
     )

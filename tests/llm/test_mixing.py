@@ -99,3 +99,42 @@ def test_parts(corpus, monkeypatch):
         for r in sorted(own, key=lambda r: (r.block, r.offset)):
             assert r.block * 700 + r.offset == start
             start += max(len(r.text or ""), 1)
+
+
+@pytest.mark.parametrize(
+    "weights", [[1 / 3] + [2 / 57] * 19, [0.5] + [0.5 / 1499] * 1499, [0.7, 0.3 - 1e-6, 1e-6], [3.0, 2.0, 1.0]]
+)
+def test_exact_weights(weights):
+    """Every source within one block of its weight at any time, over many slots and sources."""
+    parts, whole = mixing.shares(weights)
+    chars = [max(1, 20000 * p // whole) * 10 for p in parts]
+    done, last = [0] * len(weights), -1
+    for k, block, release, due, slot in mixing.schedule(weights, chars, 10):
+        assert block == done[k] and slot == last + 1 and release <= slot < due
+        assert release == block * whole // parts[k] and due == -(-(block + 1) * whole // parts[k])
+        done[k], last = block + 1, slot
+        if slot % 997 == 0:
+            assert all(abs(d * whole - (slot + 1) * p) < whole for d, p in zip(done, parts))
+    assert all(10 * d >= n for d, n in zip(done, chars))
+
+
+def test_schedule_is_the_earliest_deadline_first():
+    for quota in ([1], [3, 7], [333, 500, 167], [1] * 10 + [90]):
+        got = [row[0] for row in mixing.schedule(quota, quota, 1)]
+        assert got == brute.served(quota, sum(quota))
+
+
+def test_many_small_sources(spark, odd_docs):
+    """More than a thousand sources; a hot source keeps its weight, tiny ones are read once."""
+    rows = [(k, "x" * 100, "hot") for k in range(1500)] + [(10000 + k, "x" * 100, f"s{k:04}") for k in range(1500)]
+    weights = spark.createDataFrame(
+        [("hot", 0.5), *[(f"s{k:04}", 0.5 / 1500) for k in range(1500)]], "source string, weight double"
+    )
+    got = mixing.mix(odd_docs(rows), weights, block_chars=100).orderBy("slot").collect()
+    assert len(got) in (3000, 3001) and len({r.doc_id for r in got}) == 3000
+    hot = 0
+    for t, r in enumerate(got, 1):
+        hot += r.source == "hot"
+        assert abs(hot - t / 2) <= 1
+    tiny = odd_docs([(k, "x" * 1000, "big") for k in range(50)] + [(99, "x", "tiny")])
+    assert [r.copy for r in mixing.mix(tiny, block_chars=100).collect() if r.source == "tiny"] == [0]
