@@ -9,11 +9,12 @@ by pair.
 from __future__ import annotations
 
 import hashlib
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Known texts, fixed values: short notices and complete short licences.
+#: Known texts, fixed values: short notices and complete licences.
 KNOWN = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -41,6 +42,38 @@ NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE US
 THIS SOFTWARE.""",
 }
 
+
+def _standard() -> dict[str, str]:
+    """Whole texts of `license_texts`, and the forms in which their files occur.
+
+    -terms ends with the terms, without the advice on how to apply them; -titled has
+    the title line that other copies lack, -untitled lacks it.
+    """
+    folder = Path(__file__).with_name("license_texts")
+    texts = {f"{p.stem}-text": p.read_text("utf-8") for p in sorted(folder.glob("*.txt"))}
+    title, _, bsd = texts["BSD-3-Clause-text"].partition("\n")
+    third, after = bsd.index("3. Neither"), bsd.index("THIS SOFTWARE IS PROVIDED BY")
+    bsd2 = bsd[:third] + bsd[after:]
+    out = {"BSD-3-Clause-text-untitled": bsd, "BSD-2-Clause-text-untitled": bsd2}
+    # Bullets instead of numbers, as many copies have them.
+    for number, body in (("3", bsd), ("2", bsd2)):
+        bullets = body.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+        out[f"BSD-{number}-Clause-text-bullets"] = f"BSD {number}-Clause License\n{bullets}"
+        out[f"BSD-{number}-Clause-text-bullets-untitled"] = bullets
+    out["BSD-2-Clause-text"] = f"BSD 2-Clause License\n{bsd2}"
+    for name, body in (("MIT", KNOWN["MIT-text"]), ("ISC", KNOWN["ISC-text"])):
+        out[f"{name}-text-titled"] = f"{name} License\n\n{body}"
+        out[f"{name}-text-titled-the"] = f"The {name} License\n\n{body}"
+        out[f"{name}-text-titled-twice"] = f"The {name} License ({name})\n\n{body}"
+    for name, text in texts.items():
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out[f"{name}-terms"] = terms + end
+    return texts | out
+
+
+KNOWN |= _standard()
+
 #: Spellings that count as the same, as whole words after lower-casing.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing",
@@ -50,11 +83,13 @@ SPELLINGS = {
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that states a copyright, on lower-cased text between line breaks.
+#: A line that states a copyright, also in a comment, on lower-cased text between line breaks.
 COPYRIGHT = (
-    r"\n[\t ]*(copyright[\t ]+(\(c\)|©|by |[12][0-9][0-9][0-9])|\(c\)|©|all rights reserved)[^\n]*"
+    r"\n[\t #/*;%!<>-]*(copyright[\t ]+(\(c\)|©|by |[12][0-9][0-9][0-9])|\(c\)|©|all rights reserved)[^\n]*"
 )
 _NOTHING = hashlib.sha256(b" ").hexdigest()
+#: One or more lines without letters and digits (not lower-cased), also of comment signs.
+BLANK_LINES = r"\n[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]*\n"
 SIGNS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 
 
@@ -83,7 +118,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license_id, n_notices, notices) for every row of `docs`.
 
     license_id is the known text that the whole text equals canonically, n_notices and
-    notices (sorted, comma-joined ids) those that a whole line equals. Null and empty
+    notices (sorted, comma-joined ids) those that a whole line or a paragraph, wrapped over
+    lines, equals. Null and empty
     texts, and texts of copyright lines or punctuation only, have a null digest and
     match nothing; an empty `known` matches nothing. Of known texts with one digest the
     lowest id counts. Rows that repeat a doc_id, or have a null one, are looked up one
@@ -102,9 +138,9 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
         F.xxhash64("text").alias("version"),
         F.col("text").cast("string").alias("text"),
     )
-    lines = texts.select(
-        "doc_id", "version", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")
-    )
+    paragraphs = F.filter(F.split("text", BLANK_LINES), lambda p: p.contains("\n"))
+    parts = F.array_distinct(F.concat(F.split("text", "\n"), paragraphs))
+    lines = texts.select("doc_id", "version", F.explode(parts).alias("line"))
     notices = (
         # Never null, so that no filter works the form out a second time.
         lines.select(

@@ -37,3 +37,24 @@ def test_spellings_side_by_side(odd_docs, spark):
     )
     got = licenses.license_scan(odd_docs([(1, "License LICENCE: while licence")]), known).first()
     assert got.license_id == "a"
+
+
+def test_standard_files(odd_docs):
+    """Whole files with and without title, in comments; notices wrapped inside a longer file."""
+    body = licenses.KNOWN["MIT-text"]
+    standard = [k for k in licenses.KNOWN if k.endswith("-text")]
+    assert {"Apache-2.0-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "GPL-3.0-text", "LGPL-2.1-text",
+            "MPL-2.0-text", "Unlicense-text", "CC0-1.0-text"} <= set(standard)
+    wrapped = "Intro words.\n\n// Licensed under the\n// Apache License,\n// Version 2.0.\n//\n// More words.\nint x;"
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Someone\n\n" + body),
+        (2, "ISC License\n\nCopyright 2020 Someone\n\n" + licenses.KNOWN["ISC-text"]),
+        (3, "# Copyright (c) 2020 Someone\n#\n" + "".join(f"# {x}\n" for x in body.split("\n"))),
+        (4, "// Copyright 2020 Someone\n// " + body.replace("\n", "\n// ")),
+        (5, wrapped), (6, "Some code\n\n" + body + "\n\nmore code"),
+        *[(100 + k, licenses.KNOWN[name]) for k, name in enumerate(standard)],
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(odd_docs(rows)).collect()}
+    assert [got[k].license_id for k in range(1, 7)] == ["MIT-text-titled", "ISC-text-titled", "MIT-text", "MIT-text", None, None]
+    assert got[5].notices == "Apache-2.0" and got[6].notices == "MIT-text"
+    assert [got[100 + k].license_id for k in range(len(standard))] == standard
