@@ -16,6 +16,7 @@ from syncohort.llm import (
     packing,
     pii,
     quality,
+    secrets,
     suffixes,
     urls,
 )
@@ -75,10 +76,14 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_fingerprints, op3_minhash, op4_mixing, op5_packing, op6_licenses,
-        op7_quality, op8_pii, op9_suffixes, op10_urls,
+        op7_quality, op8_pii, op9_suffixes, op10_urls, op11_secrets,
     )
 }
