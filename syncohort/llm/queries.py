@@ -19,6 +19,7 @@ from syncohort.llm import (
     secrets,
     suffixes,
     urls,
+    whitening,
 )
 from syncohort.llm.checks import CHECKS as CHECKS
 
@@ -80,10 +81,14 @@ def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secrets(table(spark, folder, "documents"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_fingerprints, op3_minhash, op4_mixing, op5_packing, op6_licenses,
-        op7_quality, op8_pii, op9_suffixes, op10_urls, op11_secrets,
+        op7_quality, op8_pii, op9_suffixes, op10_urls, op11_secrets, op12_whitening,
     )
 }
