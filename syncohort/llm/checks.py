@@ -108,8 +108,34 @@ SELECT p.page_id, p.host, p.path, b.rule,
 FROM parts p LEFT JOIN best b ON b.host = p.host AND b.path = p.path"""
 
 
+def hard_negatives_sql() -> str:
+    """All scores of the anchors, then the first rows by window."""
+    return """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER near AS INTEGER) AS rank,
+  n.id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+QUALIFY row_number() OVER near <= 5
+WINDOW near AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)"""
+
+
 CHECKS = {
     "op3_minhash": near_duplicates_sql(4, 80),
     "op6_licenses": licenses_sql(),
     "op10_urls": urls_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
 }

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from syncohort.llm import (
     fingerprints,
+    hard_negatives,
     licenses,
     line_dedup,
     mixing,
@@ -85,10 +87,18 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(
+        table(spark, folder, "embeddings").withColumn("label", label)
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_fingerprints, op3_minhash, op4_mixing, op5_packing, op6_licenses,
         op7_quality, op8_pii, op9_suffixes, op10_urls, op11_secrets, op12_whitening,
+        op13_hard_negatives,
     )
 }
