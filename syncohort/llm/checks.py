@@ -129,8 +129,8 @@ SELECT p.anchor_id, p.positive_id,
   n.id AS negative_id, p.positive_score, n.score AS negative_score
 FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
   AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
-QUALIFY row_number() OVER near <= 5
-WINDOW near AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)"""
+WINDOW near AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER near <= 5"""
 
 
 CHECKS = {
