@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from syncohort.lineage import cut, scratch_path
 
+#: Characters of a block at least, and blocks that all characters make at most.
 BLOCK_CHARS = 1 << 16
+BLOCKS = 1 << 20
 #: Slots worked out and written at once.
 SLOTS = 1 << 17
 #: Default weights are in proportion to a source's characters to this power.
@@ -31,64 +33,6 @@ EXPONENT = 0.9
 ORDERED = 2000
 
 
-def round_of_slots(quota: Column, slots: int) -> Column:
-    """Array of the source (0-based) served in each of `slots` slots.
-
-    `quota` is an array with the blocks of each source in a round; they add up to
-    `slots`. Ties between deadlines go to the lower number.
-    """
-    ceil_div = lambda a, b: F.floor((a + b - 1) / b)  # noqa: E731  exact below 2^53
-    start = F.struct(
-        F.transform(quota, lambda q: F.lit(0).cast("long")).alias("done"),
-        F.array().cast("array<int>").alias("served"),
-    )
-
-    def step(state: Column, slot: Column) -> Column:
-        due = F.transform(
-            F.arrays_zip(state["done"].alias("done"), quota.alias("quota")),
-            lambda x, k: F.when(
-                (x["done"] < x["quota"]) & (F.floor(x["done"] * slots / x["quota"]) <= slot),
-                F.struct(
-                    ceil_div((x["done"] + 1) * slots, x["quota"]).alias("due"),
-                    k.cast("int").alias("k"),
-                ),
-            ),
-        )
-        chosen = F.array_min(due)["k"]
-        return F.struct(
-            F.transform(
-                state["done"], lambda d, k: d + (k == chosen).cast("long")
-            ).alias("done"),
-            F.concat(state["served"], F.array(chosen)).alias("served"),
-        )
-
-    slot = F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))
-    return F.aggregate(slot, start, step, lambda s: s["served"])
-
-
-def quotas(weights: DataFrame, slots: int) -> DataFrame:
-    """(source, quota): `weights` (source, weight) as blocks of `slots`, at least one each.
-
-    One block goes to every source and the rest by largest remainders, ties to the
-    lower source. More sources than slots stop the job.
-    """
-    everything = Window.partitionBy()
-    spare = F.lit(slots) - F.count("*").over(everything)
-    ideal = F.col("weight") / F.sum("weight").over(everything) * spare
-    shared = weights.withColumn(
-        "_ideal",
-        F.when(spare >= 0, ideal).otherwise(
-            F.raise_error(F.lit(f"more than {slots} sources")).cast("double")
-        ),
-    ).withColumn("_base", F.floor("_ideal"))
-    rest = spare - F.sum("_base").over(everything)
-    by_rest = Window.orderBy((F.col("_ideal") - F.col("_base")).desc(), F.col("source").asc_nulls_first())
-    more = (F.row_number().over(by_rest) <= F.col("_rest")).cast("long")
-    return shared.withColumn("_rest", rest).select(
-        "source", (1 + F.col("_base") + more).cast("long").alias("quota")
-    )
-
-
 def shares(weights: Sequence[float]) -> tuple[list[int], int]:
     """Integers in exactly the proportions of `weights`, and their sum."""
     exact = [Fraction(w) for w in weights]
@@ -156,10 +100,15 @@ def _written(
     return spark.read.schema(_PLACES).parquet(path)
 
 
+def _key(source: Column) -> Column:
+    """A source as a string that is never null; a null comes before all others."""
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
+
+
 def mix(
     docs: DataFrame,
     weights: DataFrame | None = None,
-    block_chars: int = BLOCK_CHARS,
+    block_chars: int | None = None,
     slots: int = SLOTS,
     exponent: float = EXPONENT,
 ) -> DataFrame:
@@ -169,71 +118,71 @@ def mix(
     deadline (in slots), slot (where the block is served) and offset (characters before
     the document in its block, on the first reading). A document belongs to the block
     it begins in; ordering by (slot, offset) gives the mix. Every row of `docs` has
-    exactly one copy 0.
+    exactly one copy 0. Columns that are not selected from the result do not move.
 
     `weights` is (source, weight > 0); a source of `docs` it does not name, or names with
-    a null, gets the lowest weight named. Without `weights` they are the sources'
-    characters to the power `exponent`. A null source is a source of its own; null
-    and empty texts count one character, so they have a place. Repeated rows and null
-    doc_ids have places of their own. Columns of `docs` with the added names are
-    replaced; an empty table stays empty. Any number of sources; `slots` only sets how
-    much of the schedule is written at once, the result does not depend on it.
+    a null, gets the lowest weight named, one it names more than once the highest. Without
+    `weights` they are the sources' characters to the power `exponent`. A null source is
+    a source of its own; null and empty texts count one character, so they have a place.
+    Repeated rows and null doc_ids have places of their own. Columns of `docs` with the
+    added names are replaced; an empty table stays empty. Any number of sources. A block
+    has `block_chars` characters, by default BLOCK_CHARS or as many more as make one
+    reading of everything BLOCKS blocks. `slots` only sets how much of the schedule is
+    written at once, the result does not depend on it.
     """
     added = ["copy", "block", "release", "deadline", "slot", "offset"]
     columns = [c for c in docs.columns if c not in added]
-    count = docs.count()
-    parts = max(1, count // ORDERED)
+    parts = max(1, docs.count() // ORDERED)
+    # Names of their own, so that no column clashes; those nobody reads are pruned.
     sized = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        "source",
+        *[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(columns)],
+        _key(F.col("source")).alias("_key"),
         F.xxhash64(F.lit(17), "doc_id", "text").alias("_hash"),
         F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)).cast("long").alias("_size"),
     ).withColumn(
         "_part", F.shiftright(F.shiftrightunsigned("_hash", 33) * F.lit(parts).cast("long"), 31)
     )
-    sums = cut(sized.groupBy("source", "_part").agg(F.sum("_size").alias("_sum")), "sums")
+    sums = cut(sized.groupBy("_key", "_part").agg(F.sum("_size").alias("_sum")), "sums")
+    earlier = (
+        Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    )
     before = sums.select(
-        F.col("source").alias("_source"),
-        F.col("_part").alias("_of"),
-        F.coalesce(
-            F.sum("_sum").over(
-                Window.partitionBy("source")
-                .orderBy("_part")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
+        "_key", "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
     )
-    totals = sums.groupBy("source").agg(F.sum("_sum").alias("chars"))
+    totals = sums.groupBy("_key").agg(F.sum("_sum").alias("chars"))
     if weights is None:
         target = totals.withColumn("weight", F.pow("chars", F.lit(exponent)))
     else:
-        named = weights.select(F.col("source").alias("_named"), F.col("weight").cast("double"))
-        joined = totals.join(named, F.col("source").eqNullSafe(F.col("_named")), "left")
+        named = weights.groupBy(_key(F.col("source")).alias("_key")).agg(
+            F.max(F.col("weight").cast("double")).alias("weight")
+        )
         lowest = F.coalesce(F.min("weight").over(Window.partitionBy()), F.lit(1.0))
-        target = joined.withColumn("weight", F.coalesce("weight", lowest))
-    sources = target.select("source", "chars", "weight").orderBy(F.col("source").asc_nulls_first()).collect()
+        target = totals.join(named, "_key", "left").withColumn("weight", F.coalesce("weight", lowest))
+    sources = target.select("_key", "chars", "weight").orderBy("_key").collect()
     chars = [r.chars for r in sources]
+    if block_chars is None:
+        block_chars = max(BLOCK_CHARS, -(-sum(chars) // BLOCKS))
     spark, served = docs.sparkSession, [0] * len(sources)
     blocks_served = schedule([r.weight for r in sources], chars, block_chars)
     plan = _written(spark, blocks_served, served, slots).withColumnRenamed("block", "_block")
-    rounds = spark.createDataFrame(
-        [(k, r.source, -(-r.chars // block_chars), served[k]) for k, r in enumerate(sources)],
-        f"_number long, _name {docs.schema['source'].dataType.simpleString()}, blocks long, served long",
+    # Written, as Spark then knows how small it is.
+    rounds = cut(
+        spark.createDataFrame(
+            [(k, r["_key"], -(-r.chars // block_chars), served[k]) for k, r in enumerate(sources)],
+            "_number long, _key string, blocks long, served long",
+        ),
+        "rounds",
     )
     running = F.sum("_size").over(
-        Window.partitionBy("source", "_part")
+        Window.partitionBy("_key", "_part")
         .orderBy("_hash")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # The other sides of both joins have a row for each part and a row for each block.
-    known = before.join(rounds, F.col("_source").eqNullSafe(F.col("_name")))
+    # The other sides of both joins have a row for each part and a row for each block; the
+    # first join has the window's keys, so its rows stay where they are.
     placed = (
         sized.withColumn("_place", running - F.col("_size"))
-        .join(
-            known,
-            F.col("source").eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_of")),
-        )
+        .join(before.join(rounds, "_key"), ["_key", "_part"])
         .withColumn("_place", F.col("_place") + F.col("_before"))
         .withColumn("_first", F.floor(F.col("_place") / F.lit(block_chars)))
         .withColumn("_copies", F.floor((F.col("served") - 1 - F.col("_first")) / F.col("blocks")))
@@ -242,7 +191,7 @@ def mix(
         .join(plan, (F.col("_number") == F.col("_k")) & (F.col("block") == F.col("_block")))
     )
     return placed.select(
-        *[F.col(f"row.`{c}`") for c in columns],
+        *[F.col(f"_c{k}").alias(c) for k, c in enumerate(columns)],
         "copy",
         "block",
         "release",

@@ -1,33 +1,9 @@
 import brute
 import pytest
-from pyspark.sql import functions as F
 
 from syncohort.llm import mixing
 
 
-@pytest.mark.parametrize("quota", [[1], [3, 7], [1, 1, 8], [5, 5], [333, 500, 167], [1] * 10 + [90]])
-def test_round(spark, quota):
-    slots = sum(quota)
-    frame = spark.range(1).select(
-        mixing.round_of_slots(F.array(*[F.lit(q).cast("long") for q in quota]), slots).alias("x")
-    )
-    got = frame.first().x
-    assert got == brute.served(quota, slots)
-    done = [0] * len(quota)
-    for t, k in enumerate(got, 1):
-        done[k] += 1
-        assert all(abs(d - t * q / slots) < 1 for d, q in zip(done, quota))
-        assert done[k] - 1 <= t * quota[k] / slots
-
-
-def test_quotas(spark):
-    weights = spark.createDataFrame([("a", 0.5), ("b", 0.3), (None, 0.2), ("c", 1e-9)], "source string, weight double")
-    got = {r.source: r.quota for r in mixing.quotas(weights, 100).collect()}
-    assert sum(got.values()) == 100 and got["c"] == 1 and got["a"] == 49
-    with pytest.raises(Exception, match="more than 2 sources"):
-        mixing.quotas(weights, 2).collect()
-
-
 def place_all(rows, limit):
     """Every source's blocks, each with the place of its documents, from the result."""
     by_source = {}
