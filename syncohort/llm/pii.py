@@ -56,9 +56,14 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
+def _parts(address: str) -> list[str]:
+    """Parts without leading zeros, of which there may be more digits than a number takes."""
+    return [p.lstrip("0") for p in address.split(".")]
+
+
 def ips(text: str) -> Iterator[tuple[int, int]]:
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in _parts(m[0])):
             yield m.span()
 
 

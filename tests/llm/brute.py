@@ -92,7 +92,7 @@ def personal(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         spans.append((m.start(), 0, m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
+        if all(int(p.lstrip("0")[:4] or 0) <= 255 for p in m[0].split(".")):
             spans.append((m.start(), 1, m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         digits = [int(c) for c in m[0] if c.isdigit()]

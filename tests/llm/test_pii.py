@@ -89,3 +89,12 @@ def test_plain_numbers_are_no_secrets(word):
     weights = pii.train(rows, pii.estimate(counts))
     assert weights[pii.features(word, "of")].sum() < 0
     assert weights[pii.features("password=ef5f08a44296d48198", "a")].sum() > 2.2
+
+
+def test_very_long_numbers_are_read(odd_docs):
+    zeros = "0" * 5000
+    rows = [(1, f"a 1.2.3.{zeros}1 b"), (2, f"a 1.2.3.{zeros}256 b"), (3, f"a {'9' * 6000}.2.3.4 b")]
+    got = {r.doc_id: r for r in pii.personal_data(odd_docs(rows)).collect()}
+    assert [got[k].n_ip for k in (1, 2, 3)] == [1, 0, 0]
+    for k, text in rows:
+        assert brute.personal(text)[0][1] == got[k].n_ip
