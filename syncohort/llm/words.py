@@ -6,6 +6,7 @@ size, so a task's memory does not depend on how many long texts meet in a batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,10 +21,22 @@ SLICE_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the system.
+
+    Workers go on from task to task and would otherwise keep the most they ever had.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Consecutive parts of `batch` with at most SLICE_BYTES of text, or one row."""
     if not batch.num_rows:
         return
+    release()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for row, size in enumerate(sizes.tolist()):
@@ -111,6 +124,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         for start, end in zip(starts, starts[1:]):
             yield table.slice(start, end - start)
         rest = table.slice(starts[-1])
+        release()
     if rest is not None:
         yield rest
 
