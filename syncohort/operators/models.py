@@ -8,18 +8,17 @@ covariance are the only things that reach the driver.
 from __future__ import annotations
 
 import math
-import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,9 +27,10 @@ from syncohort.functions.columns import clip, dot, run_keys
 from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
-from syncohort.functions.splines import equally_spaced_knots, spline_basis
+from syncohort.functions.splines import equally_spaced_knots, spline_basis, spline_values
 from syncohort.lineage import cut, scratch_path
-from syncohort.operators.frequencies import CUTS, event_exposure
+from syncohort.operators import newton
+from syncohort.operators.frequencies import event_exposure
 from syncohort.operators.stats import percentile_type2
 from syncohort.operators.synthesis import (
     draw_diagnosis_date,
@@ -126,7 +126,10 @@ def cohort_codings(
 
 @dataclass
 class Fit:
-    """Coefficients with their covariance; `classes` for a multinomial model."""
+    """Coefficients with their covariance; `classes` for a multinomial model.
+
+    `converged` is false where the iterations ended before the fit did.
+    """
 
     beta: np.ndarray
     covariance: np.ndarray
@@ -135,6 +138,7 @@ class Fit:
     residual_df: float = 0.0
     knots: list[float] = field(default_factory=list)
     limits: tuple[float, float] = (0.0, 0.0)
+    converged: bool = True
 
 
 def _weighted_gram(frame: DataFrame, width: int, blocks: int) -> np.ndarray:
@@ -167,33 +171,26 @@ def _weighted_gram(frame: DataFrame, width: int, blocks: int) -> np.ndarray:
     return out
 
 
-def _report_convergence(variable: str, used: int, allowed: int) -> None:
-    if used >= allowed:
-        warnings.warn(f"model of {variable} has not converged after {allowed} iterations")
-
-
-def _decorrelating(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of the design (its last column is the constant) and a matrix that turns it into
-    uncorrelated columns of unit variance; directions without variance are left out."""
-    moments = _weighted_gram(rows.select("x", F.array("n").alias("w")), width, 1)
-    total = moments[-1, -1]
-    mean = moments[-1, :-1] / total
-    values, vectors = np.linalg.eigh(moments[:-1, :-1] / total - np.outer(mean, mean))
-    kept = values > 1e-10 * max(values.max(), 1e-300)
-    return mean, vectors[:, kept] / np.sqrt(values[kept])
-
-
-def _turned(rows: DataFrame, mean: np.ndarray, turn: np.ndarray) -> DataFrame:
-    """`rows` (`x` and doubles) with the uncorrelated columns `z` in place of `x`."""
+def _design(columns: Sequence[Column]) -> Column:
+    return F.array(*[c.cast("double") for c in (*columns, F.lit(1.0))])
 
-    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                z = (np.stack(batch["x"].to_list())[:, :-1] - mean) @ turn
-                yield batch.drop(columns="x").assign(z=list(z))
 
-    kept = [c for c in rows.columns if c != "x"]
-    return rows.mapInPandas(turned, ", ".join([f"{c} double" for c in kept] + ["z array<double>"]))
+def _categorical(
+    counts: DataFrame, name: str, variable: str, terms: Sequence[Term],
+    codings: Mapping[str, Sequence[Column]],
+) -> tuple[DataFrame, newton.Problem, list[int]]:
+    """Patterns of a multinomial logit, from `counts` with the covariates and n."""
+    used = sorted({v for term in terms for v in term})
+    patterns = counts.groupBy(*used, variable).agg(F.sum("n").cast("double").alias("n"))
+    # The levels of one covariate, a handful of values.
+    classes = sorted(r[0] for r in counts.select(variable).distinct().collect())
+    columns = term_columns(terms, codings)
+    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(variable)) - 1
+    rows = patterns.select(
+        F.lit(name).alias("fit"), label.cast("double").alias("label"), "n",
+        _design(columns).alias("x"),
+    )
+    return rows, newton.Problem(len(classes), len(columns) + 1), classes
 
 
 def fit_categorical(
@@ -201,60 +198,22 @@ def fit_categorical(
     variable: str,
     terms: Sequence[Term],
     codings: Mapping[str, Sequence[Column]],
-    max_iter: int = 100,
+    ridge: float = 1e-6,
 ) -> Fit:
     """Multinomial logit from counts per covariate pattern and class.
 
     Coefficients are relative to the first class: one row per other class, the
-    columns being the design and the constant. A fit that does not converge is warned of.
+    columns being the design and the constant.
     """
     used = sorted({v for term in terms for v in term})
     counts = cut(cohort.groupBy(*used, variable).agg(F.count("*").alias("n")), "patterns")
-    classes = sorted(r[0] for r in counts.select(variable).distinct().collect())
-    design = [*term_columns(terms, codings), F.lit(1.0)]
-    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(variable)) - 1
-    rows = counts.select(
-        label.cast("double").alias("label"), F.col("n").cast("double").alias("n"),
-        F.array(*[c.cast("double") for c in design]).alias("x"),
-    )
-    width, others = len(design), len(classes) - 1
-    if width == 1:
-        totals = {r["label"]: r["s"] for r in rows.groupBy("label").agg(F.sum("n").alias("s")).collect()}
-        beta = np.array([[math.log(totals[k + 1.0] / totals[0.0])] for k in range(others)])
-    else:
-        mean, turn = _decorrelating(rows, width)
-        fitted = LogisticRegression(
-            family="multinomial", weightCol="n", featuresCol="features", maxIter=max_iter,
-            fitIntercept=True, tol=1e-8,
-        ).fit(
-            _turned(rows, mean, turn).withColumn("features", array_to_vector("z"))
-        )
-        _report_convergence(variable, fitted.summary.totalIterations, max_iter)
-        weights = fitted.coefficientMatrix.toArray() @ turn.T
-        constants = np.asarray(fitted.interceptVector.toArray()).reshape(-1, 1)
-        full = np.hstack([weights, constants - (weights @ mean).reshape(-1, 1)])
-        beta = full[1:] - full[0]
-    gram = _weighted_gram(_multinomial_weights(rows, beta), width, others)
-    return Fit(beta, np.linalg.pinv(gram, hermitian=True), classes)
-
-
-def _multinomial_weights(rows: DataFrame, beta: np.ndarray) -> DataFrame:
-    """n (diag(p) - p p') per pattern, as a flat array."""
-    patterns = rows.groupBy("x").agg(F.sum("n").alias("n"))
-    exps = [F.exp(dot(F.col("x"), F.array(*[F.lit(float(b)) for b in row]))) for row in beta]
-    patterns = patterns.withColumn("_e", F.array(*exps))
-    total = F.aggregate("_e", F.lit(1.0), lambda a, v: a + v)
-    patterns = patterns.withColumn("_t", total).withColumn(
-        "p", F.transform("_e", lambda e: e / F.col("_t"))
-    )
-    size = len(beta)
-    cells = [
-        F.col("n")
-        * ((F.col("p")[a] if a == b else F.lit(0.0)) - F.col("p")[a] * F.col("p")[b])
-        for a in range(size)
-        for b in range(size)
-    ]
-    return patterns.select("x", F.array(*cells).alias("w"))
+    rows, problem, classes = _categorical(counts, variable, variable, terms, codings)
+    return _fit(newton.solve(rows, {variable: problem}, ridge)[variable], classes)
+
+
+def _fit(solved: newton.Solution, classes: Sequence[int] = ()) -> Fit:
+    beta = solved.beta if classes else solved.beta[0]
+    return Fit(beta, solved.covariance, list(classes), converged=solved.converged)
 
 
 def normal_scores(cohort: DataFrame, value: str, keys: Sequence[str] = ("site",)) -> DataFrame:
@@ -306,97 +265,131 @@ def continuous_design(score: str | Column, knots: Sequence[float]) -> list[Colum
     return [linear, *[c / F.lit(scale) for c in cubic]]
 
 
+@dataclass(frozen=True)
+class TimeScale:
+    """Interval starts in years, the last one open, and how effects vary over intervals.
+
+    A varying effect is a combination of functions of time; `weights` has a row for each
+    with its value in every interval.
+    """
+
+    cuts: tuple[float, ...]
+    weights: tuple[tuple[float, ...], ...]
+
+
+def time_scale(cohort: DataFrame, level: ModelLevel) -> TimeScale:
+    """Intervals with equal shares of the events, and splines of log time over them.
+
+    Borders are percentiles of the event times of `cohort`, one site; `level.df` intervals
+    unless ties leave fewer. The splines are evaluated at the middle percentile of each
+    interval, with knots at equal steps of those. Without events there is one interval.
+    """
+    pieces = level.df
+    asked = {
+        **{f"b{i}": max(1, round(100 * i / pieces)) for i in range(1, pieces)},
+        **{f"m{i}": max(1, round(100 * (i + 0.5) / pieces)) for i in range(pieces)},
+    }
+    events = cohort.filter("status = 1").withColumn("_all", F.lit(0))
+    row = percentile_type2(events, ["_all"], "t", asked).first()
+    if row is None:
+        return TimeScale((0.0,), ())
+    borders = sorted({row[f"b{i}"] for i in range(1, pieces)} - {0.0})
+    middles = sorted(row[f"m{i}"] for i in range(pieces))
+    starts = (0.0, *borders)
+    inside = [
+        [m for m in middles if lo < m <= hi] or [lo / 2 + min(hi, 2 * lo + 1) / 2]
+        for lo, hi in zip(starts, (*borders, math.inf))
+    ]
+    logs = np.log([np.median(x) for x in inside])
+    spans = min(level.df_tvc, len(starts) - 1)
+    if not spans:
+        return TimeScale(starts, ())
+    unit = (logs - logs[0]) / (logs[-1] - logs[0])
+    knots = np.quantile(unit, np.linspace(0, 1, spans + 1))
+    values = spline_values(unit, knots.tolist()).T
+    return TimeScale(starts, tuple(tuple(row) for row in values.tolist()))
+
+
 def survival_parts(
-    level: ModelLevel, codings: Mapping[str, Sequence[Column]], intervals: int
-) -> tuple[list[Column], list[Column], int]:
-    """Covariate terms, covariates whose effect varies, and over how many intervals."""
+    level: ModelLevel, codings: Mapping[str, Sequence[Column]]
+) -> tuple[list[Column], list[Column]]:
+    """Covariate terms, and covariates whose effect varies over time."""
     terms = model_terms(level, [v for v in ("age", "sex", "stage", "daar_grp") if v in codings])
     varying = [c for v in level.tvc for c in codings[v]]
-    return term_columns(terms, codings), varying, max(1, min(level.df_tvc, intervals - 1))
+    return term_columns(terms, codings), varying
 
 
 def survival_design(
-    level: ModelLevel, codings: Mapping[str, Sequence[Column]], intervals: int
+    level: ModelLevel, codings: Mapping[str, Sequence[Column]], scale: TimeScale
 ) -> list[Column]:
-    """Interval dummies, covariate terms, changes of covariate effects over time, constant."""
+    """Interval dummies, covariate terms, covariates times functions of time, constant."""
+    intervals = len(scale.cuts)
     steps = [(F.col("interval") == F.lit(j)).cast("double") for j in range(1, intervals)]
-    terms, varying, spans = survival_parts(level, codings, intervals)
-    # A varying effect changes at the start of an interval and lasts; the last one is open.
-    late = [(F.col("interval") >= F.lit(j)).cast("double") for j in range(1, spans + 1)]
-    return [*steps, *terms, *[s * c for s in late for c in varying], F.lit(1.0)]
+    terms, varying = survival_parts(level, codings)
+    over_time = [
+        F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col("interval"))
+        for weights in scale.weights
+    ]
+    return [*steps, *terms, *[s * c for s in over_time for c in varying], F.lit(1.0)]
 
 
 def interval_hazards(
-    beta: Column, terms: Column, varying: Column, sizes: tuple[int, int], spans: int, intervals: int
+    beta: Column, terms: Column, varying: Column, sizes: tuple[int, int], scale: TimeScale
 ) -> Column:
     """Hazard of every interval from the coefficients of `survival_design` and the values of
     its terms and varying covariates (arrays of the given sizes)."""
     n_terms, n_varying = sizes
+    intervals = len(scale.cuts)
     first = intervals - 1
-    last = first + n_terms + spans * n_varying
+    last = first + n_terms + len(scale.weights) * n_varying
     shared = F.get(beta, F.lit(last))
     if n_terms:
         shared = shared + dot(F.slice(beta, first + 1, n_terms), terms)
+    effects = [
+        dot(F.slice(beta, first + n_terms + k * n_varying + 1, n_varying), varying)
+        for k in range(len(scale.weights) if n_varying else 0)
+    ]
     hazards = []
     for j in range(intervals):
         eta = shared
         if j > 0:
             eta = eta + F.get(beta, F.lit(j - 1))
-        for change in range(min(j, spans) if n_varying else 0):
-            start = first + n_terms + change * n_varying
-            eta = eta + dot(F.slice(beta, start + 1, n_varying), varying)
+        for weights, effect in zip(scale.weights, effects):
+            eta = eta + F.lit(float(weights[j])) * effect
         hazards.append(F.exp(eta))
     return F.array(*hazards)
 
 
-def survival_cuts(level: ModelLevel) -> tuple[float, ...]:
-    """Interval starts; more degrees of freedom give a finer baseline."""
-    return CUTS if level.df <= 5 else (0.0, 0.25, 0.5, 0.75, 1.0, 2.0, 3.0, 5.0)
+def _survival(
+    spent: DataFrame, name: str, level: ModelLevel, codings: Mapping[str, Sequence[Column]],
+    scale: TimeScale,
+) -> tuple[DataFrame, newton.Problem]:
+    """Patterns of a Poisson regression, from events and exposure per pattern and interval."""
+    *columns, _ = survival_design(level, codings, scale)
+    rows = spent.filter("exposure > 0").select(
+        F.lit(name).alias("fit"), F.col("d").cast("double").alias("label"),
+        F.col("exposure").alias("n"), _design(columns).alias("x"),
+    )
+    return rows, newton.Problem(0, len(columns) + 1)
 
 
 def fit_survival(
     cohort: DataFrame,
     level: ModelLevel,
     codings: Mapping[str, Sequence[Column]],
+    scale: TimeScale | None = None,
     ridge: float = 1e-6,
-    max_iter: int = 50,
 ) -> Fit:
     """Piecewise exponential hazard with time-varying effects, as a Poisson regression
-    on events and person-years per pattern and interval.
+    on events and person-years per pattern and interval (`time_scale` by default).
 
     `ridge` keeps effects finite where a cell has no events. It applies to the decorrelated
-    design, a share of the mean information per row. A fit that does not converge is warned of.
+    design, as a share of the events.
     """
-    cuts = survival_cuts(level)
-    used = sorted(codings)
-    spent = event_exposure(cohort, used, cuts).filter("exposure > 0")
-    design = survival_design(level, codings, len(cuts))
-    width = len(design)
-    rows = cut(
-        spent.select(
-            F.col("d").cast("double").alias("label"),
-            F.ln("exposure").alias("offset"),
-            F.col("exposure").alias("n"),
-            F.array(*[c.cast("double") for c in design]).alias("x"),
-        ),
-        "episodes",
-    )
-    mean, turn = _decorrelating(rows, width)
-    fitted = GeneralizedLinearRegression(
-        family="poisson", link="log", offsetCol="offset", regParam=ridge, maxIter=max_iter
-    ).fit(_turned(rows, mean, turn).withColumn("features", array_to_vector("z")))
-    _report_convergence("t", fitted.summary.numIterations, max_iter)
-    kept = turn.shape[1]
-    back = np.zeros((width, kept + 1))
-    back[:-1, :kept], back[-1, :kept], back[-1, kept] = turn, -mean @ turn, 1.0
-    beta = back @ np.append(fitted.coefficients.toArray(), fitted.intercept)
-    expected = F.exp(
-        F.col("offset") + dot(F.col("x"), F.array(*[F.lit(float(b)) for b in beta]))
-    )
-    information = _weighted_gram(rows.select("x", F.array(expected).alias("w")), width, 1)
-    penalty = np.diag(np.append(np.full(kept, ridge * information[-1, -1]), 0.0))
-    covariance = np.linalg.pinv(back.T @ information @ back + penalty, hermitian=True)
-    return Fit(beta, back @ covariance @ back.T)
+    scale = scale or time_scale(cohort, level)
+    spent = event_exposure(cohort, sorted(codings), scale.cuts)
+    rows, problem = _survival(spent, "t", level, codings, scale)
+    return _fit(newton.solve(rows, {"t": problem}, ridge)["t"])
 
 
 def draw_coefficients(fit: Fit, draws: int, seed: int | Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -480,31 +473,64 @@ class FittedChain:
     codings: dict[str, list[Column]]
     terms: dict[str, list[Term]]
     fits: dict[str, Fit]
+    scale: TimeScale
 
     @property
     def cuts(self) -> tuple[float, ...]:
-        return survival_cuts(self.level)
+        return self.scale.cuts
+
+    @property
+    def converged(self) -> bool:
+        return all(fit.converged for fit in self.fits.values())
 
 
 def fit_chains(
-    cohort: DataFrame, settings: StudySettings, models: Sequence[int]
+    cohort: DataFrame,
+    settings: StudySettings,
+    models: Sequence[int],
+    ridge: float = 1e-6,
 ) -> dict[int, FittedChain]:
     """Age, then each later variable given the earlier ones, then time, for all models.
 
-    `cohort` holds one site and is read several times: pass a written table.
+    `cohort` holds one site and is read several times: pass a written table. The
+    submodels of all models are fitted by the same jobs.
     """
-    chains = {}
     age_fit = fit_continuous(cohort)
+    covariates = sorted({"age", *settings.sequence[1:]})
+    counts = cut(cohort.groupBy(*covariates).agg(F.count("*").alias("n")), "counts")
+    scales = {level: time_scale(cohort, level) for level in {MODEL_LEVELS[m] for m in models}}
+    spent = {
+        cuts: cut(event_exposure(cohort, covariates, cuts), "episodes")
+        for cuts in {s.cuts for s in scales.values()}
+    }
+    # Levels with the same knots share their codings.
+    coded = {
+        df: cohort_codings(cohort, next(x for x in scales if x.df_age == df), settings)
+        for df in {level.df_age for level in scales}
+    }
+    chains, parts, problems, classes = {}, [], {}, {}
     for model in models:
         level = MODEL_LEVELS[model]
-        codings = cohort_codings(cohort, level, settings)
-        fits, terms, earlier = {"age": age_fit}, {}, ["age"]
+        codings, scale = coded[level.df_age], scales[level]
+        terms, earlier = {}, ["age"]
         for variable in settings.sequence[1:]:
             terms[variable] = model_terms(level, earlier)
-            fits[variable] = fit_categorical(cohort, variable, terms[variable], codings)
+            name = f"{model} {variable}"
+            rows, problems[name], classes[name] = _categorical(
+                counts, name, variable, terms[variable], codings
+            )
+            parts.append(rows)
             earlier.append(variable)
-        fits["t"] = fit_survival(cohort, level, codings)
-        chains[model] = FittedChain(level, codings, terms, fits)
+        rows, problems[f"{model} t"] = _survival(
+            spent[scale.cuts], f"{model} t", level, codings, scale
+        )
+        parts.append(rows)
+        chains[model] = FittedChain(level, codings, terms, {"age": age_fit}, scale)
+    solved = newton.solve(reduce(DataFrame.unionByName, parts), problems, ridge)
+    for model, chain in chains.items():
+        for variable in (*settings.sequence[1:], "t"):
+            name = f"{model} {variable}"
+            chain.fits[variable] = _fit(solved[name], classes.get(name, ()))
     return chains
 
 
@@ -536,7 +562,7 @@ def synthesize_fitted(
     out = None
     for model in models:
         level, codings = chains[model].level, chains[model].codings
-        cuts, fits = chains[model].cuts, chains[model].fits
+        scale, fits = chains[model].scale, chains[model].fits
         # In the drawn table each coded column is computed once, under a name.
         named = {
             v: [F.col(f"_{v}_{i}") for i in range(len(columns))] for v, columns in codings.items()
@@ -563,7 +589,7 @@ def synthesize_fitted(
                 rows = rows.withColumn("_x", F.array(*design))
                 rows = rows.withColumn("age", predicted_value(fit, beta, F.col("_x")))
             elif variable == "t":
-                terms, varying, spans = survival_parts(level, named, len(cuts))
+                terms, varying = survival_parts(level, named)
                 none = F.array().cast("array<double>")
                 rows = rows.withColumns(
                     {
@@ -571,11 +597,10 @@ def synthesize_fitted(
                         "_v": F.array(*varying) if varying else none,
                     }
                 )
-                hazards = interval_hazards(
-                    beta, F.col("_x"), F.col("_v"), (len(terms), len(varying)), spans, len(cuts)
-                )
+                sizes = len(terms), len(varying)
+                hazards = interval_hazards(beta, F.col("_x"), F.col("_v"), sizes, scale)
                 rows = rows.withColumn("_rates", hazards)
-                days = draw_survival_time("_rates", u, cuts, settings.max_follow_up)
+                days = draw_survival_time("_rates", u, scale.cuts, settings.max_follow_up)
                 rows = rows.withColumn("_days", days)
             else:
                 design = designs[variable]
