@@ -392,16 +392,24 @@ def fit_survival(
     return _fit(newton.solve(rows, {"t": problem}, ridge)["t"])
 
 
-def draw_coefficients(fit: Fit, draws: int, seed: int | Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+def covariance_root(fit: Fit) -> np.ndarray:
+    """A matrix whose product with its transpose is the covariance."""
+    values, vectors = np.linalg.eigh((fit.covariance + fit.covariance.T) / 2)
+    return vectors * np.sqrt(np.clip(values, 0.0, None))
+
+
+def draw_coefficients(
+    fit: Fit, draws: int, seed: int | Sequence[int], root: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(draws x coefficients, draws residual spreads) from the normal approximation.
 
     Directions without variance keep their estimate. For a regression the spread is
-    redrawn from its chi-square distribution first.
+    redrawn from its chi-square distribution first. `root` is `covariance_root(fit)`, where
+    it is known already.
     """
     rng = np.random.default_rng(seed)
-    values, vectors = np.linalg.eigh((fit.covariance + fit.covariance.T) / 2)
-    root = vectors * np.sqrt(np.clip(values, 0.0, None))
-    noise = rng.standard_normal((draws, len(values)))
+    root = covariance_root(fit) if root is None else root
+    noise = rng.standard_normal((draws, len(root)))
     spread = np.full(draws, fit.rmse)
     if fit.residual_df:
         spread = fit.rmse * np.sqrt(fit.residual_df / rng.chisquare(fit.residual_df, draws))
@@ -542,17 +550,20 @@ def synthesize_fitted(
     site: str,
     seed: int = 0,
     chains: Mapping[int, FittedChain] | None = None,
+    members: Column | None = None,
 ) -> DataFrame:
     """Synthetic cohorts of all requested models and runs.
 
     Only rows of `site` are fitted and drawn. Each model is fitted once (or given as
-    `chains`); each run uses its own coefficient draw. The cohort's
-    numbered rows serve as slots, so a run has as many persons as the cohort.
+    `chains`) to the rows for which `members` is true, all by default; each run uses its
+    own coefficient draw. The cohort's numbered rows serve as slots, so a run has as many
+    persons as the whole cohort.
     """
     spark = cohort.sparkSession
     cohort = cut(cohort.filter(F.col("site") == site), "cohort")
     if chains is None:
-        chains = fit_chains(cohort, settings, models)
+        fitted = cohort if members is None else cut(cohort.filter(members), "members")
+        chains = fit_chains(fitted, settings, models)
     slots = cut(
         row_numbers(cohort.select("site", "id"), ["site"], ["id"], "slot").select(
             "site", F.col("slot").alias("id")

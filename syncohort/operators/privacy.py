@@ -11,12 +11,25 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from syncohort.functions.columns import dot, log_sum_exp, run_keys
 from syncohort.functions.splines import spline_basis
 from syncohort.operators.cohort import lookup_join
+from syncohort.operators.evidence import (
+    NEEDED,
+    PATTERN,
+    PATTERNS,
+    SCENARIO,
+    Tables,
+    block_of,
+    log_ratios,
+    meet,
+    weighed,
+)
 from syncohort.operators.frequencies import (
     CUTS,
     event_exposure,
@@ -27,7 +40,6 @@ from syncohort.operators.stats import median_run
 from syncohort.settings import MISSING_STAGE, RUN, StudySettings
 
 _DEFAULTS = StudySettings()
-PATTERN = ("age", "sex", "daar_grp")
 RATE_BY = ("sex",)
 
 
@@ -282,61 +294,61 @@ def synthetic_loglik(
     )
 
 
-def _candidates(
-    persons: DataFrame,
-    p_cov: DataFrame,
-    rates: DataFrame,
-    keys: Sequence[str],
-    cuts: Sequence[float],
-    rate_by: Sequence[str],
+def _tables(
+    p_cov: DataFrame, rates: DataFrame, keys: Sequence[str], rate_by: Sequence[str], intervals: int
 ) -> DataFrame:
-    """Persons with `cand`: per candidate stage the log ratio to the truth for each draw."""
-    logs = p_cov.select(
-        *keys, *PATTERN, "stage", "h",
-        F.when(F.col("p_cov") > 0, F.ln("p_cov")).alias("l"),
-    )
-    by_stage = logs.groupBy(*keys, *PATTERN, "stage").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("h", "l"))), lambda c: c["l"]).alias("l")
-    )
-    patterns = by_stage.groupBy(*keys, *PATTERN).agg(
-        F.sort_array(F.collect_list(F.struct("stage", "l"))).alias("_cov")
+    """Scenarios with arrays over the draws: log probability, and hazards by interval."""
+    log = F.when(F.col("p_cov") > 0, F.ln("p_cov"))
+    logs = p_cov.groupBy(*keys, *PATTERN, "stage").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("h", log.alias("l")))), lambda c: c["l"]
+        ).alias("logs")
     )
+    by_interval = F.array(*[F.max(F.when(F.col("interval") == j, F.col("rate"))) for j in range(intervals)])
     hazards = (
-        _draw_arrays(rates, [*keys, *rate_by, "stage"])
-        .groupBy(*keys, *rate_by)
+        rates.groupBy(*keys, *rate_by, "stage", "h")
+        .agg(by_interval.alias("r"))
+        .groupBy(*keys, *rate_by, "stage")
         .agg(
-            F.map_from_entries(F.collect_list(F.struct("stage", "_rates"))).alias("_hazards")
+            F.flatten(
+                F.transform(F.sort_array(F.collect_list(F.struct("h", "r"))), lambda c: c["r"])
+            ).alias("rates")
         )
     )
-    # A person without probabilities would make the largest loss too small: that stops the job.
-    joined = lookup_join(persons, patterns, [*keys, *PATTERN])
-    joined = lookup_join(joined, hazards, [*keys, *rate_by])
-    joined = joined.withColumns(
-        {"_exposure": interval_exposure("t", cuts), "_interval": interval_index("t", cuts)}
-    )
+    # As many blocks as the run with most patterns needs.
+    patterns = logs.groupBy(*keys).agg(F.count("*").alias("_n"))
+    patterns = patterns.agg(F.ceil(F.max("_n") / (4 * PATTERNS)).alias("_blocks"))
+    joined = logs.join(hazards, [*keys, *rate_by, "stage"], "left")
+    return joined.join(patterns).withColumn("block", block_of()).drop("_blocks")
 
-    def with_time(entry: Column) -> Column:
-        return F.struct(
-            entry["stage"].alias("stage"),
-            F.zip_with(
-                entry["l"],
-                F.try_element_at(F.col("_hazards"), entry["stage"]),
-                lambda l, r: l
-                + _log_time(r, F.col("_exposure"), F.col("_interval"), F.col("status")),
-            ).alias("l"),
-        )
 
-    joined = joined.withColumn("_log_pi", F.transform("_cov", with_time))
-    truth = F.get(F.filter("_log_pi", lambda c: c["stage"] == F.col("stage")), F.lit(0))["l"]
-    joined = joined.withColumn("_truth", truth)
-    ratios = F.transform(
-        "_log_pi",
-        lambda c: F.struct(
-            c["stage"].alias("stage"),
-            F.zip_with(c["l"], F.col("_truth"), lambda a, b: a - b).alias("ratio"),
-        ),
+def _filled(rows: Sequence, size: int) -> np.ndarray:
+    """Lists as rows of numbers, nan for a missing list or entry."""
+    out = np.full((len(rows), size), np.nan)
+    for k, row in enumerate(rows):
+        if row is not None:
+            out[k, : len(row)] = [np.nan if v is None else v for v in row]
+    return out
+
+
+def _gathered(tables: pd.DataFrame, cuts: Sequence[float]) -> Tables:
+    draws = max(map(len, tables["logs"]))
+    return Tables(
+        tables[list(SCENARIO)].to_numpy(np.int64),
+        _filled(tables["logs"].to_list(), draws),
+        _filled(tables["rates"].to_list(), draws * len(cuts)).reshape(-1, draws, len(cuts)),
+        tuple(cuts),
     )
-    return joined.select(*persons.columns, ratios.alias("cand"))
+
+
+def _needed(persons: DataFrame, keys: Sequence[str]) -> DataFrame:
+    names = [c for c in NEEDED if c not in keys]
+    return persons.select(*keys, *names)
+
+
+def _types(persons: DataFrame, keys: Sequence[str]) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in persons.schema}
+    return ", ".join(f"{c} {kinds[c]}" for c in NEEDED if c not in keys)
 
 
 def candidate_ratio(
@@ -347,15 +359,33 @@ def candidate_ratio(
     cuts: Sequence[float] = CUTS,
     rate_by: Sequence[str] = RATE_BY,
 ) -> DataFrame:
-    """(keys, id, stage, h, ratio): candidate over true probability, one row per draw."""
+    """(keys, id, stage, h, ratio): candidate over true probability, one row per draw.
+
+    A person without probabilities or hazards stops the job.
+    """
     keys = run_keys(persons.columns, keys)
-    wide = _candidates(persons, p_cov, rates, keys, cuts, rate_by)
-    long = wide.select(*keys, "id", F.inline("cand"))
-    return long.select(
-        *keys, "id", "stage", F.posexplode("ratio").alias("h", "l")
-    ).select(
-        *keys, "id", "stage", (F.col("h") + 1).alias("h"),
-        F.coalesce(F.exp("l"), F.lit(0.0)).alias("ratio"),
+
+    def judge(key: tuple, persons: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for some, stages, ratio in log_ratios(persons, _gathered(tables, cuts)):
+            ids = persons["id"].to_numpy()[some]
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "id": np.repeat(ids, len(stages)),
+                        "stage": np.tile(stages, len(ids)),
+                        "ratio": list(np.nan_to_num(np.exp(ratio)).reshape(-1, ratio.shape[2])),
+                    }
+                )
+            )
+        return pd.concat(parts)
+
+    wide = meet(
+        _needed(persons, keys), _tables(p_cov, rates, keys, rate_by, len(cuts)), keys, judge,
+        "id long, stage int, ratio array<double>",
+    )
+    return wide.select(*keys, "id", "stage", F.posexplode("ratio").alias("h", "ratio")).withColumn(
+        "h", F.col("h") + 1
     )
 
 
@@ -368,31 +398,45 @@ def candidate_evidence(
     cuts: Sequence[float] = CUTS,
     rate_by: Sequence[str] = RATE_BY,
 ) -> DataFrame:
-    """Persons with `cand`: (stage, correct, loglik, log_prior) per candidate.
+    """Persons (keys, id, covariates, status, t) with `cand`: (stage, correct, loglik,
+    log_prior) per candidate.
 
     A draw has weight ratio / sum of ratios; `loglik` is the log of the weighted
     sum of the synthetic table's probability over the draws. Hazards depend on the
-    covariates `rate_by` and the stage.
+    covariates `rate_by` and the stage. A person without probabilities or hazards would
+    make the largest loss too small: that stops the job.
     """
     keys = run_keys(persons.columns, keys)
     table = loglik.groupBy(*keys).agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("h", "log_p"))), lambda c: c["log_p"]
-        ).alias("_log_p")
+        ).alias("whole")
     )
-    wide = _candidates(persons, p_cov, rates, keys, cuts, rate_by).join(table, keys)
 
-    def evidence(c: Column) -> Column:
-        total = log_sum_exp(c["ratio"])
-        weighted = F.zip_with(c["ratio"], F.col("_log_p"), lambda r, p: r + p)
-        return F.struct(
-            c["stage"].alias("stage"),
-            (c["stage"] == F.col("stage")).cast("int").alias("correct"),
-            (log_sum_exp(weighted) - total).alias("loglik"),
-            total.alias("log_prior"),
-        )
+    def judge(key: tuple, persons: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
+        gathered = _gathered(tables, cuts)
+        whole = _filled(tables["whole"].to_list()[:1], gathered.logs.shape[1])[0]
+        return weighed(persons, gathered, whole)
+
+    found = meet(
+        _needed(persons, keys), _tables(p_cov, rates, keys, rate_by, len(cuts)).join(table, keys), keys, judge,
+        f"{_types(persons, keys)}, stages array<int>, loglik array<double>, log_prior array<double>",
+    )
+    return with_candidates(found)
+
 
-    return wide.select(*persons.columns, F.transform("cand", evidence).alias("cand"))
+def with_candidates(found: DataFrame) -> DataFrame:
+    """Arrays over candidates as `cand`, an array of structs."""
+    cand = F.transform(
+        F.arrays_zip("stages", "loglik", "log_prior"),
+        lambda c: F.struct(
+            c["stages"].alias("stage"),
+            (c["stages"] == F.col("stage")).cast("int").alias("correct"),
+            c["loglik"].alias("loglik"),
+            c["log_prior"].alias("log_prior"),
+        ),
+    )
+    return found.withColumn("cand", cand).drop("stages", "loglik", "log_prior")
 
 
 def _shares(logs: Column) -> Column:

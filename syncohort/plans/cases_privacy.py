@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from syncohort.lineage import cut
+from syncohort.lineage import cut, scratch_path
+from syncohort.operators import fitted_privacy, models, privacy, utility
 from syncohort.operators import frequencies as freq
-from syncohort.operators import privacy, utility
+from syncohort.operators.draw_store import DrawStore
 from syncohort.plans.cases import case
 from syncohort.plans.cases_utility import PMSE_SQL, cell_propensity
-from syncohort.plans.derived import cohort, run_table
+from syncohort.plans.derived import SIMS, STUDY, cohort, run_table
 from syncohort.settings import RUN
 
-DRAWS = 5
+DRAWS = STUDY.draws
 K = "site, model, sim"
 SUBMODELS = (("age", ()), ("sex", ()), ("stage", ("sex",)), ("daar_grp", ("stage",)))
 
@@ -184,7 +185,7 @@ def _(spark, folder):
     "FROM (SELECT g.age, g.sex, h, class, b0 + 0.01::DOUBLE * h * g.sex + "
     "0.002::DOUBLE * (class % 4) * g.age AS eta FROM (SELECT DISTINCT age, sex FROM cohort) g, "
     "(SELECT stage AS class, ln(count(*) / CAST((SELECT count(*) FROM cohort WHERE stage = 1) "
-    "AS DOUBLE)) AS b0 FROM cohort GROUP BY stage), (SELECT unnest(range(1, 6)) AS h))",
+    f"AS DOUBLE)) AS b0 FROM cohort GROUP BY stage), (SELECT unnest(range(1, {DRAWS + 1})) AS h))",
 )
 def _(spark, folder):
     """Multinomial logit probabilities from log ratios of stage counts."""
@@ -211,10 +212,10 @@ def _(spark, folder):
         f"exp(-0.5 * power((age + {-0.45 + 0.1 * j:.2f} - mu) / rmse, 2))" for j in range(10)
     ) + ") / 10 END) / (rmse * sqrt(2 * pi())) * exp(-0.5 * x * x) / sqrt(2 * pi()) * 0.01) AS p "
     "FROM targets JOIN grid USING (h) WHERE abs(x - c) <= 2.0::DOUBLE GROUP BY h, age",
-    """
+    f"""
 fit AS (SELECT h, avg(age) AS b2, stddev_pop(age) * (1 + h / 100.0::DOUBLE) AS b0,
     0.1::DOUBLE * h AS b1, 2.0::DOUBLE + h / 10.0::DOUBLE AS rmse
-  FROM cohort, (SELECT unnest(range(1, 6)) AS h) GROUP BY h),
+  FROM cohort, (SELECT unnest(range(1, {DRAWS + 1})) AS h) GROUP BY h),
 grid AS (SELECT h, rmse, x, b0 * x + b1 * (power(greatest(x, 0), 3)
     - 0.5 * power(greatest(x + 2, 0), 3) - 0.5 * power(greatest(x - 2, 0), 3)) + b2 AS mu
   FROM (SELECT *, -4.5::DOUBLE + (i + 0.5::DOUBLE) * 0.01::DOUBLE AS x
@@ -427,3 +428,29 @@ def _(spark, folder):
     p_cov = privacy.covariate_probability(privacy.scenario_grid(real), tables)
     p_cov, rates = privacy.valid_draws(cut(p_cov, "p_cov"), cut(rates, "rates"), DRAWS)
     return privacy.synthetic_loglik(synthetic, p_cov, rates)
+
+
+def _fitted_site(spark, folder):
+    return cut(cohort(spark, folder).withColumn("site", F.lit("main")), "cohort")
+
+
+@case("coefficient_draws", "site:s model:i sim:i h:i attempt:i submodel:s term:i beta:f6")
+def _(spark, folder):
+    """Coefficient vectors of all six fitted models from their store, one row a coefficient."""
+    chains = models.fit_chains(_fitted_site(spark, folder), STUDY, range(6))
+    store = DrawStore(
+        spark, scratch_path(spark, "draws"), fitted_privacy.draws_schema(chains)
+    )
+    requests = fitted_privacy.draw_requests(spark, "main", range(6), SIMS, STUDY.draws)
+    store.put(fitted_privacy.coefficient_draws(requests, chains))
+    found = store.manifest().select(*RUN, "h", "attempt")
+    return fitted_privacy.long_coefficients(store.read()).join(found, [*RUN, "h"])
+
+
+@case("mlpl_fitted", "site:s model:i sim:i bayesian:f6 ll_diff:f6 bayesian_max:f6")
+def _(spark, folder):
+    """Largest privacy loss of every run of all six fitted models."""
+    evidence = fitted_privacy.fitted_evidence(
+        _fitted_site(spark, folder), STUDY, range(6), SIMS, "main"
+    )
+    return privacy.maximum_local_privacy_loss(evidence)

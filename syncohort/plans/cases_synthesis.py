@@ -377,9 +377,21 @@ def _(spark, folder):
     "site:s model:i sim:i id:i age:i sex:i stage:i daar:i diag_date:s exit:s status:i t:f6",
 )
 def _(spark, folder):
-    """Synthetic cohorts of all six fitted models, two runs each."""
+    """Synthetic cohorts of all runs of all six fitted models."""
     people = _site(spark, folder)
-    return models.synthesize_fitted(people, STUDY, models=range(6), sims=2, site="main")
+    return models.synthesize_fitted(people, STUDY, models=range(6), sims=STUDY.runs, site="main")
+
+
+@case(
+    "synthesize_holdout",
+    "site:s model:i sim:i id:i age:i sex:i stage:i daar:i diag_date:s exit:s status:i t:f6",
+)
+def _(spark, folder):
+    """The same from fits to the rows that are not held out, as many persons as the cohort."""
+    people = _site(spark, folder)
+    return models.synthesize_fitted(
+        people, STUDY, models=range(6), sims=STUDY.runs, site="main", members=F.col("id") % 5 != 0
+    )
 
 
 @case("discriminator_auc", "site:s model:i sim:i auc:f6 pmse:f6 tested:i")
