@@ -113,10 +113,10 @@ def hard_negatives_sql() -> str:
     return """
 WITH vectors AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, c -> floor(256 * CAST(c AS DOUBLE))) AS x
+    [floor(256 * CAST(c AS DOUBLE)) FOR c IN embedding] AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+    AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
 scored AS (
   SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
     CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
