@@ -1,11 +1,10 @@
-"""Running totals and row numbers over groups of any size.
+"""Running totals and row numbers over groups of any size, by a scan of sorted ranges.
 
-A window over a whole run would put that run into one task. Here every group is
-first cut into value ranges by splitters that are a pure function of the data
-(the value with the smallest hash in each of a fixed number of hash slots), then
-totals per range give each range its starting offset, and only the rows of one
-range meet in one task. All passes agree on the ranges because nothing is
-sampled at random.
+A window over a whole run would put that run into one task. Here the rows are dealt into
+ranges of (group, order) of even size and written in that order. Every range adds up its
+own rows; what the earlier ranges of a group hold together is a table with a row per
+range and group, which gives each range its starting offset. A group may span any
+number of ranges, and a range any number of groups.
 """
 
 from __future__ import annotations
@@ -15,41 +14,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of a group at least; more with more shuffle partitions, which follow the data.
-SPLITS = 64
-_GROUP = 8
+from syncohort.lineage import cut
 
+#: Ranges that rows are dealt into: Spark's shuffle partitions, which follow the data.
+SPLITS = 0
 
-def _with_ranges(
-    frame: DataFrame, keys: Sequence[str], order: Sequence[str], splits: int
-) -> DataFrame:
-    partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    splits = max(splits, 4 * partitions)
-    value = F.struct(*order)
-    slot = F.pmod(F.xxhash64(*order), F.lit(splits)).alias("_slot")
-    picks = frame.groupBy(*keys, slot).agg(
-        F.min(F.struct(F.xxhash64(F.lit(1), *order).alias("h"), value.alias("v"))).alias("_pick")
-    )
-    # At most `splits` values per group; the first level has every _GROUP-th of them.
-    bounds = picks.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.col("_pick.v"))).alias("_fine")
-    ).withColumn("_coarse", F.filter("_fine", lambda _, i: F.pmod(i, F.lit(_GROUP)) == 0))
-    joined = frame.join(bounds, list(keys))
-    major = F.size(F.filter("_coarse", lambda b: b <= value))
-    minor = F.when(
-        F.col("_major") > 0,
-        F.size(
-            F.filter(
-                F.slice("_fine", (F.col("_major") - 1) * _GROUP + 1, _GROUP),
-                lambda b: b <= value,
-            )
-        ),
-    ).otherwise(0)
-    return (
-        joined.withColumn("_major", major)
-        .withColumn("_range", F.col("_major") * _GROUP + minor)
-        .drop("_fine", "_coarse", "_major")
-    )
+
+def ranges(frame: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`frame` with `_range`: ascending numbers of ranges of about equal size.
+
+    The rows are written, so every later step sees the same ranges.
+    """
+    dealt = frame.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order)])
+    return cut(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def running_totals(
@@ -63,9 +40,10 @@ def running_totals(
     """Add inclusive running sums of `totals` along `order` within `keys`.
 
     `frame` must hold one row per (keys, order): aggregate first, so that a hot
-    value is one row. With `splits=None` a plain window is used; only for groups
-    whose size is bounded by the study design.
+    value is one row. No keys make all rows one group. With `splits=None` a plain
+    window is used; only for groups whose size is bounded by the study design.
     """
+    keys = list(keys)
     sort = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
     measures = {n: F.col(c) if isinstance(c, str) else c for n, c in totals.items()}
     if splits is None:
@@ -76,27 +54,31 @@ def running_totals(
         )
         return frame.select("*", *[F.sum(c).over(window).alias(n) for n, c in measures.items()])
 
-    ranged = _with_ranges(frame, keys, order, splits)
+    ranged = ranges(frame, keys, order)
     range_sort = F.col("_range").desc() if descending else F.col("_range").asc()
+    # A group has a row per range it reaches into, the whole table at most one more per group.
     before = Window.partitionBy(*keys).orderBy(range_sort).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys, "_range")
-        .agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-        .select(
-            *keys,
-            "_range",
+    sums = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+    offsets = cut(
+        sums.select(
+            *[F.col(k).alias(f"_of_{k}") for k in keys],
+            F.col("_range").alias("_at"),
             *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in measures],
-        )
+        ),
+        "offsets",
     )
     within = (
-        Window.partitionBy(*keys, "_range")
+        Window.partitionBy("_range", *keys)
         .orderBy(*sort)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = ranged.join(offsets, [*keys, "_range"])
-    return joined.select(
+    own = F.col("_range") == F.col("_at")
+    for key in keys:
+        own = own & F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    numbered = ranged.select("*", *[F.sum(c).over(within).alias(f"_own_{n}") for n, c in measures.items()])
+    return numbered.join(offsets, own).select(
         *frame.columns,
-        *[(F.col(f"_before_{n}") + F.sum(c).over(within)).alias(n) for n, c in measures.items()],
+        *[(F.col(f"_before_{n}") + F.col(f"_own_{n}")).alias(n) for n in measures],
     )
 
 

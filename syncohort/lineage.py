@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,3 +41,19 @@ def cut(frame: DataFrame, name: str = "step") -> DataFrame:
     path = scratch_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def join_constants(
+    frame: DataFrame, constants: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Give the rows of `frame` the constants of their group, without moving them if possible.
+
+    `constants` is written first. Spark then knows its size: below its own limit it goes
+    to the rows, and only beyond it the rows go to their group, whose skew Spark splits.
+    No keys mean one row of constants for all.
+    """
+    small, keys = cut(constants, "constants"), list(keys)
+    if keys:
+        return frame.join(small, keys, how)
+    one = F.lit(0).alias("_one")
+    return frame.select("*", one).join(small.select("*", one), "_one", how).drop("_one")

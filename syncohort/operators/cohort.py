@@ -18,6 +18,7 @@ from syncohort.functions.columns import (
     years_between,
 )
 from syncohort.functions.ordered import row_numbers, running_totals
+from syncohort.lineage import join_constants
 from syncohort.operators.stats import percentile_type2
 from syncohort.settings import RUN, StudySettings
 
@@ -109,18 +110,13 @@ def with_surrogate_id(
     cohort: DataFrame, order: Sequence[str], keys: Sequence[str] = (), name: str = "id"
 ) -> DataFrame:
     """Consecutive ids along a stated unique order, without a one-task sort."""
-    keys = list(keys)
-    if keys:
-        return row_numbers(cohort, keys, order, name)
-    numbered = row_numbers(cohort.withColumn("_all", F.lit(0)), ["_all"], order, name)
-    return numbered.drop("_all")
+    return row_numbers(cohort, keys, order, name)
 
 
 def with_group_id(frame: DataFrame, columns: Sequence[str], name: str = "grp") -> DataFrame:
     """Dense id 1..k over the distinct tuples of `columns`, in sorted order."""
-    tuples = frame.select(*columns).distinct().withColumn("_all", F.lit(0))
-    ids = running_totals(tuples, ["_all"], list(columns), {name: F.lit(1).cast("bigint")})
-    return frame.join(ids.drop("_all"), list(columns))
+    ids = row_numbers(frame.select(*columns).distinct(), [], list(columns), name)
+    return join_constants(frame, ids, columns)
 
 
 def spread_over_runs(
@@ -135,13 +131,8 @@ def spread_over_runs(
     if not missing:
         return real
     shared = run_keys(real.columns, present)
-    runs = synthetic.select(*present).distinct()
-    if shared:
-        return real.join(runs, shared)
-    everything = F.lit(0).alias("_all")
-    return (
-        real.select("*", everything).join(runs.select("*", everything), "_all").drop("_all")
-    )
+    return join_constants(real, synthetic.select(*present).distinct(), shared)
+
 
 
 def union_with_source(
@@ -167,7 +158,7 @@ def with_run_minimum_delta(
     """
     keys = run_keys(frame.columns, keys)
     starts = frame.groupBy(*keys).agg(*[F.min(c).alias(f"_start_{c}") for c in columns])
-    return frame.join(starts, keys).select(
+    return join_constants(frame, starts, keys).select(
         *[c for c in frame.columns if c not in columns],
         *[F.datediff(c, f"_start_{c}").alias(f"{c}_delta") for c in columns],
     )
@@ -189,7 +180,7 @@ def with_equal_width_bins(
         ]
     )
     return (
-        frame.join(widths, keys)
+        join_constants(frame, widths, keys)
         .withColumns({f"{c}{suffix}": bin_index(c, f"_width_{c}") for c in columns})
         .drop(*[f"_width_{c}" for c in columns])
     )
@@ -208,25 +199,31 @@ def winsorize(
 ) -> DataFrame:
     """Clip to the `percent` and `100 - percent` percentiles, or to min and max for 0."""
     keys = list(keys)
-    source = frame if keys else frame.withColumn("_all", F.lit(0))
-    groups = keys or ["_all"]
-    out = source
-    for column in columns:
-        if percent > 0:
-            limits = percentile_type2(
-                source, groups, column, {"_low": percent, "_high": 100 - percent}
-            )
-        else:
-            limits = source.groupBy(*groups).agg(
-                F.min(column).cast("double").alias("_low"),
-                F.max(column).cast("double").alias("_high"),
-            )
-        out = (
-            out.join(limits, groups)
-            .withColumn(f"{column}_adj", clip(F.col(column).cast("double"), "_low", "_high"))
-            .drop("_low", "_high")
-        )
-    return out.drop("_all")
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns]
+    )
+    # One pass over all columns: the column is a further key.
+    long = frame.select(*keys, F.inline(cells))
+    groups = [*keys, "_column"]
+    if percent > 0:
+        limits = percentile_type2(long, groups, "_value", {"_low": percent, "_high": 100 - percent})
+    else:
+        limits = long.groupBy(*groups).agg(F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+    wide = limits.groupBy(*keys).agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("_column", F.struct("_low", "_high")))
+        ).alias("_limits")
+    )  # an entry per column
+
+    def adjusted(column: str) -> Column:
+        limit = F.try_element_at(F.col("_limits"), F.lit(column))
+        return clip(F.col(column).cast("double"), limit["_low"], limit["_high"])
+
+    return (
+        join_constants(frame, wide, keys)
+        .withColumns({f"{c}_adj": adjusted(c) for c in columns})
+        .drop("_limits")
+    )
 
 
 def one_hot(frame: DataFrame, column: str, values: Sequence[int]) -> DataFrame:
@@ -253,14 +250,11 @@ def ordinal_encode(
     """
     keys = list(keys)
     categories = fitted_on.select(*keys, column).filter(F.col(column).isNotNull()).distinct()
-    groups = keys
-    if not keys:
-        categories, groups = categories.withColumn("_all", F.lit(0)), ["_all"]
     codes = running_totals(
-        categories, groups, [column], {"_code": F.lit(1).cast("bigint")}, splits=splits
-    ).drop("_all")
+        categories, keys, [column], {"_code": F.lit(1).cast("bigint")}, splits=splits
+    )
     return (
-        frame.join(codes, [*keys, column], "left")
+        join_constants(frame, codes, [*keys, column], "left")
         .withColumn(name, F.coalesce(F.col("_code") - 1, F.lit(unknown)))
         .drop("_code")
     )
@@ -281,7 +275,7 @@ def standard_scale(
         return (F.col(c).cast("double") - F.col(f"_mean_{c}")) / sd
 
     return (
-        frame.join(measures, keys)
+        join_constants(frame, measures, keys)
         .withColumns({f"{c}_z": scaled(c) for c in columns})
         .drop(*[f"_{m}_{c}" for m in ("mean", "sd") for c in columns])
     )
@@ -326,7 +320,7 @@ def range_scale(
         return F.when(span > 0, value).when(F.col(c).isNotNull(), F.lit(0.0))
 
     return (
-        frame.join(ranges, keys)
+        join_constants(frame, ranges, keys)
         .withColumns({f"{c}{suffix}": scaled(c) for c in columns})
         .drop(*[f"_{m}_{c}" for m in ("min", "span") for c in columns])
     )

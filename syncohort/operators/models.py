@@ -107,10 +107,7 @@ def cohort_codings(
     """Spline columns for age (clipped to its outer percentiles), dummies for the rest."""
     outer = settings.winsor_percent
     inner = {f"k{i}": round(100 * i / level.df_age) for i in range(1, level.df_age)}
-    one = cohort.withColumn("_all", F.lit(0))
-    row = percentile_type2(
-        one, ["_all"], "age", {"lo": outer, **inner, "hi": 100 - outer}
-    ).first()
+    row = percentile_type2(cohort, [], "age", {"lo": outer, **inner, "hi": 100 - outer}).first()
     knots = sorted({row["lo"], *[row[k] for k in inner], row["hi"]})
     unit = (clip(F.col("age").cast("double"), F.lit(knots[0]), F.lit(knots[-1])) - knots[0]) / (
         knots[-1] - knots[0]
@@ -289,9 +286,8 @@ def time_scale(cohort: DataFrame, level: ModelLevel) -> TimeScale:
         **{f"b{i}": max(1, round(100 * i / pieces)) for i in range(1, pieces)},
         **{f"m{i}": max(1, round(100 * (i + 0.5) / pieces)) for i in range(pieces)},
     }
-    events = cohort.filter("status = 1").withColumn("_all", F.lit(0))
-    row = percentile_type2(events, ["_all"], "t", asked).first()
-    if row is None:
+    row = percentile_type2(cohort.filter("status = 1"), [], "t", asked).first()
+    if row["m0"] is None:
         return TimeScale((0.0,), ())
     borders = sorted({row[f"b{i}"] for i in range(1, pieces)} - {0.0})
     middles = sorted(row[f"m{i}"] for i in range(pieces))

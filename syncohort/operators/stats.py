@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from syncohort.functions.columns import as_column, format_fixed, format_interval, ratio
 from syncohort.functions.ordered import SPLITS, running_totals
+from syncohort.lineage import join_constants
 
 
 def percentile_type2(
@@ -35,7 +36,7 @@ def percentile_type2(
         ranked = ranked.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
     else:
         sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-        ranked = ranked.join(sizes, keys)
+        ranked = join_constants(ranked, sizes, keys)
 
     def at_rank(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") >= rank, F.col("_x")))
@@ -177,11 +178,11 @@ def with_group_stats(
 ) -> DataFrame:
     """Group statistics kept on every row: aggregate, then join back.
 
-    Map-side aggregation and a join that can be split beat a window when one
-    group holds a large share of the rows.
+    Map-side aggregation and a join that leaves the rows where they are beat a window when
+    one group holds a large share of the rows.
     """
     totals = frame.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return frame.join(totals, list(keys))
+    return join_constants(frame, totals, keys)
 
 
 def dedupe_first(
