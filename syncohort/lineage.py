@@ -43,6 +43,13 @@ def cut(frame: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to `path` to its end."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return marker.getFileSystem(conf).exists(marker)
+
+
 def join_constants(
     frame: DataFrame, constants: DataFrame, keys: Sequence[str], how: str = "inner"
 ) -> DataFrame:

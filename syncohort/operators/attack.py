@@ -11,7 +11,7 @@ from syncohort.functions.columns import ratio, run_keys
 from syncohort.functions.draws import hash_uniform
 from syncohort.functions.ordered import running_totals
 from syncohort.functions.special import binomial_lower, binomial_upper
-from syncohort.lineage import cut
+from syncohort.lineage import cut, join_constants
 from syncohort.settings import RUN
 
 
@@ -77,19 +77,57 @@ def tpr_at_fpr(
     return points.groupBy(*keys).agg(*best)
 
 
-def empirical_epsilon(points: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Largest lower bound of epsilon over all thresholds, floored at 0.
+#: Boxes that the corners of a curve are bounded in.
+BOXES = 4096
+
+
+def epsilon_corners(points: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """(keys, positives, negatives, tp, fp): thresholds that can have the largest bound.
 
-    The bound grows with true and falls with false positives, so per count of
-    one kind only the best count of the other is evaluated.
+    The bound grows with true and falls with false positives. So per count of one kind
+    only the best count of the other matters, and of a box of neighbouring corners none
+    is better than its most true with its fewest false positives. A box counts only
+    where that reaches the largest bound of the corners that stand first in a box.
     """
     keys = run_keys(points.columns, keys)
     sizes = ["positives", "negatives"]
     usable = points.filter((F.col("fp") > 0) & (F.col("tp") > 0))
     corners = usable.groupBy(*keys, *sizes, "fp").agg(F.max("tp").alias("tp"))
     corners = corners.groupBy(*keys, *sizes, "tp").agg(F.min("fp").alias("fp"))
+    box = F.floor(F.col("tp") * F.lit(BOXES) / F.col("positives")).alias("_box")
+    boxes = corners.groupBy(*keys, *sizes, box).agg(
+        F.max("tp").alias("_most"),
+        F.min("fp").alias("_fewest"),
+        F.max_by("tp", -F.col("fp")).alias("_first"),
+    )
+    shared = binomial_upper("_fewest", "negatives")
+    bounded = cut(
+        boxes.select(
+            *keys, "_box",
+            F.ln(binomial_lower("_most", "positives") / shared).alias("_possible"),
+            F.ln(binomial_lower("_first", "positives") / shared).alias("_sure"),
+        ),
+        "boxes",
+    )
+    sure = bounded.groupBy(*keys).agg(F.max("_sure").alias("_least"))
+    open_ = (
+        join_constants(bounded, sure, keys)
+        .filter(F.col("_possible") >= F.col("_least") - F.lit(1e-12))
+        .select(*keys, "_box")
+    )
+    return corners.select("*", box).join(open_, [*keys, "_box"], "left_semi").drop("_box")
+
+
+def empirical_epsilon(points: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """Largest lower bound of epsilon over all thresholds, floored at 0."""
+    keys = run_keys(points.columns, keys)
     bound = F.ln(binomial_lower("tp", "positives") / binomial_upper("fp", "negatives"))
-    found = corners.withColumn("bound", bound).groupBy(*keys).agg(F.max("bound").alias("bound"))
+    found = (
+        epsilon_corners(points, keys)
+        .withColumn("bound", bound)
+        .groupBy(*keys)
+        .agg(F.max("bound").alias("bound"))
+    )
     return (
         points.select(*keys).distinct().join(found, keys, "left")
         .select(*keys, F.greatest(F.coalesce("bound", F.lit(0.0)), F.lit(0.0)).alias("epsilon"))
@@ -105,16 +143,18 @@ def evaluate_scores(
 ) -> DataFrame:
     """AUC, true positive rates and epsilon of one attack, one row per run.
 
-    Scores and curve are written out: scores are expensive to compute again, and the
-    three measures read the same curve.
+    Rows without a score are in no curve; `unscored` says how many a run has, and a run of
+    which no row has a score keeps its row, without measures. Scores and curve are written
+    out: scores are expensive to compute again, and the three measures read the same curve.
     """
     keys = run_keys(scores.columns, keys)
     scores = cut(scores.select(*keys, score, positive), "scores")
     points = cut(roc_points(scores, keys, score, positive), "roc")
+    unscored = scores.groupBy(*keys).agg(F.count_if(F.col(score).isNull()).alias("unscored"))
     return (
-        roc_auc(points, keys)
-        .join(tpr_at_fpr(points, keys, levels), keys)
-        .join(empirical_epsilon(points, keys), keys)
+        unscored.join(roc_auc(points, keys), keys, "left")
+        .join(tpr_at_fpr(points, keys, levels), keys, "left")
+        .join(empirical_epsilon(points, keys), keys, "left")
     )
 
 

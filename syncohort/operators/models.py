@@ -28,7 +28,7 @@ from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
 from syncohort.functions.splines import equally_spaced_knots, spline_basis, spline_values
-from syncohort.lineage import cut, scratch_path
+from syncohort.lineage import cut, is_written, scratch_path
 from syncohort.operators import newton
 from syncohort.operators.frequencies import event_exposure
 from syncohort.operators.stats import percentile_type2
@@ -633,18 +633,22 @@ def per_run(
     fit: Callable[[DataFrame, DataFrame], DataFrame],
     keys: Sequence[str] = RUN,
     at_once: int = 3,
+    path: str | None = None,
 ) -> DataFrame:
     """`fit(real, synthetic)` of every run of `synthetic`, with the run's keys.
 
-    Each run is a fit of its own, `at_once` of them at a time; its rows are written out.
-    Real rows may carry fewer keys than synthetic ones. A run without real rows is fitted
-    on none and fails.
+    Each run is a fit of its own, `at_once` of them at a time; its rows are written to a
+    folder of its own below `path` (by default a fresh one). A study that was stopped goes
+    on from the same `path`: runs that ended are read, not fitted again; one that was
+    being written is written anew. Real rows may carry fewer keys than synthetic ones. A
+    run without real rows is fitted on none and fails.
     """
     spark = synthetic.sparkSession
     keys = run_keys(synthetic.columns, keys)
     # One row per run, bounded by the study's design.
     runs = sorted(synthetic.select(*keys).distinct().collect())
-    folder = scratch_path(spark, "per_run")
+    folder = (path or scratch_path(spark, "per_run")).rstrip("/")
+    paths = [f"{folder}/" + "-".join(f"{k}={run[k]}" for k in keys) for run in runs]
 
     def only(frame: DataFrame, run: Row) -> DataFrame:
         for key in keys:
@@ -652,17 +656,16 @@ def per_run(
                 frame = frame.filter(F.col(key) == run[key])
         return frame
 
-    def fitted(number: int) -> DataFrame:
+    def fitted(number: int) -> None:
         run = runs[number]
         out = fit(only(real, run), only(synthetic, run)).drop(*keys)
         out = out.select(*[F.lit(run[k]).alias(k) for k in keys], *out.columns)
-        out.write.parquet(f"{folder}/{number}")
-        return out
+        out.write.mode("overwrite").parquet(paths[number])
 
+    left = [n for n, p in enumerate(paths) if not is_written(spark, p)]
     with ThreadPoolExecutor(at_once) as pool:
-        frames = list(pool.map(fitted, range(len(runs))))
-    paths = [f"{folder}/{number}" for number in range(len(runs))]
-    return spark.read.schema(frames[0].schema).parquet(*paths)
+        list(pool.map(fitted, left))
+    return spark.read.parquet(*paths)
 
 
 def discriminator_scores(

@@ -534,6 +534,25 @@ def _(spark, folder):
     return exact_match(real, synthetic, ["age", "sex", "stage", "daar", "status"])
 
 
+_FEATURES = (*STUDY.numeric, *STUDY.categorical)
+
+
+@case(
+    "exact_match_features",
+    "site:s model:i sim:i id:i",
+    "SELECT s.site, s.model, s.sim, s.id FROM (SELECT * FROM attack WHERE synth = 1 UNION ALL "
+    "SELECT * FROM attack WHERE synth = 0 AND id % 10 = 0) s WHERE EXISTS (SELECT 1 FROM attack r "
+    "WHERE r.synth = 0 AND r.model = s.model AND r.sim = s.sim AND "
+    + " AND ".join(f"r.{c} IS NOT DISTINCT FROM s.{c}" for c in _FEATURES)
+    + ")",
+)
+def _(spark, folder):
+    """Matches on all features of the study, in a synthetic table that leaked some real rows."""
+    real, synthetic = attack_table(spark, folder)
+    leaked = real.filter("id % 10 = 0").drop("holdout")
+    return exact_match(real, synthetic.unionByName(leaked), list(_FEATURES))
+
+
 @case(
     "holdout_subsets",
     "site:s model:i sim:i part:s persons:i",

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from syncohort.functions.columns import dot
 from syncohort.functions.draws import portable_uniform, portable_uniform_sql
 from syncohort.functions.splines import spline_basis
-from syncohort.lineage import cut
-from syncohort.operators import attack, models, utility
+from syncohort.lineage import cut, scratch_path
+from syncohort.operators import attack, fitted_privacy, models, privacy, report, survival, utility
 from syncohort.operators import frequencies as freq
 from syncohort.operators import synthesis as synth
+from syncohort.operators.cohort import spread_over_runs, with_run_minimum_delta
+from syncohort.operators.draw_store import DrawStore
+from syncohort.operators.stats import with_group_stats
 from syncohort.plans.cases import case
 from syncohort.plans.derived import STUDY, attack_table, cohort
 from syncohort.settings import RUN
@@ -357,6 +361,76 @@ def _(spark, folder):
     return _coefficients(spark, {"stage": models.fit_categorical(people, "stage", terms, codings)})
 
 
+@case(
+    "saturated_shares",
+    "sex:i stage:i daar_grp:i p:f6",
+    "SELECT sex, stage, g.daar_grp, count(*) FILTER (cohort.daar_grp = g.daar_grp) / "
+    "CAST(count(*) AS DOUBLE) AS p FROM cohort, (SELECT DISTINCT daar_grp FROM cohort) g "
+    "GROUP BY sex, stage, g.daar_grp",
+)
+def _(spark, folder):
+    """A logit with all interactions predicts the share of every class in every pattern."""
+    people = cut(_site(spark, folder), "cohort")
+    codings = {
+        "sex": models.dummies("sex", [0, 1]), "stage": models.dummies("stage", STUDY.stages),
+    }
+    terms = [("sex",), ("stage",), ("sex", "stage")]
+    fit = models.fit_categorical(people, "daar_grp", terms, codings, ridge=0.0)
+    design = F.array(*models.term_columns(terms, codings), F.lit(1.0))
+    betas = spark.createDataFrame(
+        [(c, [0.0] * fit.beta.shape[1]) for c in fit.classes[:1]]
+        + [(c, [float(x) for x in b]) for c, b in zip(fit.classes[1:], fit.beta)],
+        "daar_grp int, b array<double>",
+    )
+    patterns = people.select("sex", "stage").distinct().select("sex", "stage", design.alias("x"))
+    # Patterns and classes, both bounded by the covariates.
+    scored = (
+        patterns.withColumn("daar_grp", F.explode(F.array(*[F.lit(c) for c in fit.classes])))
+        .join(betas, "daar_grp")
+        .withColumn("e", F.exp(dot(F.col("b"), F.col("x"))))
+    )
+    total = with_group_stats(scored, ["sex", "stage"], {"total": F.sum("e")})
+    return total.select("sex", "stage", "daar_grp", (F.col("e") / F.col("total")).alias("p"))
+
+
+_EVENT_CUTS = ", ".join(
+    f"CASE WHEN n * {p} % 100 = 0 THEN (x[n * {p} // 100] + x[n * {p} // 100 + 1]) / 2 "
+    f"ELSE x[n * {p} // 100 + 1] END AS c{i}"
+    for i, p in enumerate((20, 40, 60, 80), start=1)
+)
+
+
+@case(
+    "saturated_hazards",
+    "sex:i interval:i since:f9 rate:f6",
+    "SELECT sex, j AS interval, any_value(lo) AS since, sum(CASE WHEN t > lo AND t <= hi THEN status "
+    "ELSE 0 END) / sum(greatest(least(t, hi) - lo, 0)) AS rate FROM cohort, spans GROUP BY sex, j",
+    f"""
+events AS (SELECT list(t ORDER BY t) AS x, count(*) AS n FROM cohort WHERE status = 1),
+borders AS (SELECT {_EVENT_CUTS} FROM events),
+spans AS (SELECT j, [0.0::DOUBLE, c1, c2, c3, c4][j + 1] AS lo,
+    [c1, c2, c3, c4, 1e9::DOUBLE][j + 1] AS hi
+  FROM borders, (SELECT unnest(range(0, 5)) AS j))
+""",
+)
+def _(spark, folder):
+    """A hazard with an effect of sex in every interval is events over person-years, in
+    intervals that hold a fifth of the events each."""
+    people = cut(_site(spark, folder), "cohort")
+    level = models.ModelLevel("main", df=5, tvc=("sex",), df_tvc=4)
+    codings = {"sex": models.dummies("sex", [0, 1])}
+    scale = models.time_scale(people, level)
+    fit = models.fit_survival(people, level, codings, scale, ridge=0.0)
+    terms, varying = models.survival_parts(level, codings)
+    rates = models.interval_hazards(
+        F.array(*[F.lit(float(b)) for b in fit.beta]), F.array(*terms), F.array(*varying), (1, 1), scale
+    )
+    since = F.array(*[F.lit(float(c)) for c in scale.cuts])
+    return people.select("sex").distinct().select("sex", F.posexplode(rates).alias("interval", "rate")).withColumn(
+        "since", F.get(since, F.col("interval"))
+    )
+
+
 @case("fit_continuous", _FIT_COLUMNS)
 def _(spark, folder):
     """Age on splines of its normal score."""
@@ -427,3 +501,70 @@ def _(spark, folder):
         .join(attack.tpr_at_fpr(points, by), by)
         .join(attack.accuracy(predictions, groups, "stage", "guess"), groups)
     )
+
+
+def _discriminated(real, synthetic):
+    """Propensity error of boosted trees for every run."""
+    scores = models.per_run(
+        real, synthetic, lambda r, s: models.discriminator_scores(r, s, STUDY)
+    )
+    return utility.pmse(scores, RUN, "score")
+
+
+@case("utility_table_discriminator", "site:s model:i str:s")
+def _(spark, folder):
+    """All utility metrics in one report row per model, with the trees' propensity error."""
+    real, synthetic = attack_table(spark, folder)
+    table = utility.utility_table(
+        utility.jsd_total(utility.jsd_univariate(real, synthetic)),
+        utility.pcd(real, synthetic),
+        _discriminated(real, synthetic),
+        survival.survival_difference(real, synthetic, 2.0),
+    )
+    return report.report_rows(table, ["jsd", "pcd", "pmse", "mean_diff"], ["site", "model"])
+
+
+@case("trade_off_fitted", "site:s model:i sim:i pmse:f6 ll_diff:f6 mean_pmse:f6 mean_ll_diff:f6")
+def _(spark, folder):
+    """Trees' propensity error against privacy loss, for every run of the fitted models."""
+    people = cut(_site(spark, folder), "cohort")
+    chains = models.fit_chains(people, STUDY, range(6))
+    synthetic = cut(
+        models.synthesize_fitted(people, STUDY, range(6), SIMS, "main", chains=chains), "synthetic"
+    )
+    store = DrawStore(spark, scratch_path(spark, "draws"), fitted_privacy.draws_schema(chains))
+    requests = fitted_privacy.draw_requests(spark, "main", range(6), SIMS, STUDY.draws)
+    store.put(fitted_privacy.coefficient_draws(requests, chains))
+    evidence = fitted_privacy.chain_evidence(people, synthetic, chains, store)
+    loss = privacy.maximum_local_privacy_loss(evidence)
+    both = with_run_minimum_delta(
+        synthetic.withColumn("real", F.lit(0)).unionByName(
+            spread_over_runs(people, synthetic).withColumn("real", F.lit(1)), allowMissingColumns=True
+        ),
+        ["exit"],
+        RUN,
+    )
+    both = cut(both, "both")
+    score = _discriminated(both.filter("real = 1").drop("real"), both.filter("real = 0").drop("real"))
+    return utility.trade_off(score, loss, "pmse", "ll_diff")
+
+
+@case(
+    "attribute_inference_table_forest",
+    "site:s model:i " + " ".join(f"{k}_{c}:s" for c in STUDY.stages for k in ("abs", "rel")),
+)
+def _(spark, folder):
+    """Rates of the forest's guesses for members against those for held-out rows."""
+    predictions = models.per_run(
+        *attack_table(spark, folder),
+        lambda real, synthetic: models.attribute_predictions(synthetic, real, STUDY).select(
+            "id", "holdout", "stage", "guess", "probs"
+        ),
+    )
+    by = [*RUN, "holdout", "class"]
+    long = attack.class_scores(predictions, [*RUN, "holdout", "id"], "stage", "probs", STUDY.stages)
+    rates = cut(
+        attack.tpr_at_fpr(attack.roc_points(long, by, positive="hit"), by, STUDY.fpr_levels), "rates"
+    )
+    members, held_out = (rates.filter(F.col("holdout") == h).drop("holdout") for h in (0, 1))
+    return report.attribute_inference_table(members, held_out, "tpr_3", classes=STUDY.stages)

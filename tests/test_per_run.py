@@ -39,3 +39,33 @@ def test_real_rows_with_fewer_keys(spark):
     assert sorted(map(tuple, out.select("sim", "id").collect())) == [
         (s, i) for s in (1, 2) for i in range(10)
     ]
+
+
+def test_a_stopped_study_goes_on(spark, tmp_path):
+    real, synthetic = rows(spark, 10, 0), rows(spark, 10, 0)
+    seen = []
+
+    def fit(stop):
+        def one(r, s):
+            sim = s.first().sim
+            seen.append(sim)
+            if sim == stop:
+                raise RuntimeError("stopped")
+            return r.select("id")
+
+        return one
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        models.per_run(real, synthetic, fit(2), at_once=1, path=str(tmp_path))
+    out = models.per_run(real, synthetic, fit(None), at_once=1, path=str(tmp_path))
+    assert seen == [1, 2, 2]  # the run that ended is not fitted again
+    assert sorted(map(tuple, out.select("sim", "id").collect())) == [(s, i) for s in (1, 2) for i in range(10)]
+    models.per_run(real, synthetic, fit(None), path=str(tmp_path))
+    assert seen == [1, 2, 2]
+
+
+def test_rows_without_a_score_are_counted(spark):
+    data = [(1, 0.5, 1), (1, None, 0), (1, 0.1, 0), (1, 0.9, 1), (2, None, 1), (2, None, 0)]
+    scores = spark.createDataFrame(data, "sim int, score double, member int")
+    got = {r.sim: r for r in attack.evaluate_scores(scores, ["sim"]).collect()}
+    assert (got[1].unscored, got[1].auc) == (1, 1.0) and (got[2].unscored, got[2].auc) == (2, None)

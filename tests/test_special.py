@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pytest
 
 from syncohort.functions.special import exact_lower, exact_upper, regularised_beta
-from syncohort.operators.attack import empirical_epsilon
+from syncohort.operators.attack import empirical_epsilon, epsilon_corners, roc_points
 
 
 def test_exact_binomial_limits():
@@ -48,3 +49,17 @@ def test_epsilon_over_all_thresholds(spark):
     )
     got = empirical_epsilon(points, ["sim"]).first()["epsilon"]
     assert abs(got - want) < 1e-12
+
+
+def test_few_thresholds_are_evaluated_and_the_largest_is_among_them(spark):
+    rng = np.random.default_rng(3)
+    score = np.concatenate([rng.normal(0.7, 1, 15000), rng.normal(0, 1, 15000)])
+    rows = list(zip([1] * 30000, score.tolist(), [1] * 15000 + [0] * 15000))
+    points = roc_points(spark.createDataFrame(rows, "sim int, score double, member int"), ["sim"])
+    corners = epsilon_corners(points, ["sim"]).count()
+    whole = points.select("tp", "fp").toPandas()
+    whole = whole[(whole.tp > 0) & (whole.fp > 0)].sort_values("fp")
+    assert corners < 0.05 * len(whole)
+    thin = whole.groupby("fp", as_index=False).tp.max().groupby("tp", as_index=False).fp.min()
+    bounds = np.log(exact_lower(thin.tp, 15000.0) / exact_upper(thin.fp, 15000.0))
+    assert empirical_epsilon(points, ["sim"]).first()["epsilon"] == pytest.approx(bounds.max(), abs=1e-9)
