@@ -1,11 +1,13 @@
 """Merkle fingerprints of texts: clauses, paragraphs, sections, root.
 
 A paragraph is a line; its leaves are the clauses in it, cut after `.`, `!`, `?`, `;`,
-`:` and `,`. A paragraph's digest is the hash of its leaves' digests, a section's that of
-its paragraphs' (a section ends after a paragraph whose digest is divisible by four, so
-an edit does not move the borders of others), and the root that of the sections'.
-Equal roots mean equal texts; where roots differ, only sections, then paragraphs, with
-differing digests need a look. All of it is built-in column functions.
+`:` and `,` and their ideographic forms; a long clause is cut further after words whose
+hash is divisible by eight, and inside of words every 32 characters, so that an edit
+hardly moves other borders. A paragraph's digest is the
+hash of its leaves' digests, a section's that of its paragraphs' (a section ends after a
+paragraph whose digest is divisible by four), and the root that of the sections'.
+Equal roots mean equal texts; where roots differ, the search goes down into sections whose
+digests differ, and only there into paragraphs. All of it is built-in column functions.
 """
 
 from __future__ import annotations
@@ -15,23 +17,61 @@ from pyspark.sql import functions as F
 
 from syncohort.lineage import cut
 
-_CLAUSE_END = r"(?<=[.!?;:,])"
+_CLAUSE_END = r"(?<=[.!?;:,。！？；：，、])"
+#: After blanks, and every 32 characters of a run without any.
+_WORD_END = r"(?<=[\x20\t])|(?<=\G[^\x20\t]{32})"
+#: Characters of a leaf that is not cut further, words in a piece of a longer one on average.
+_LEAF, _PER_LEAF = 160, 8
 _PER_SECTION = 4
+#: Digests in a bucket of an index on average, and its bits at most.
+_BUCKET, _BITS = 4, 20
 _NO_ID = -(2**63)
 
 
 def tree(text: Column) -> Column:
-    """Struct (leaves, sizes, paragraphs, sections, root) of a text; a null is empty.
+    """Struct (leaves, sizes, paragraphs, ends, sections, root) of a text; a null is empty.
 
-    `leaves` are all leaf digests in order, `sizes` how many each paragraph has.
+    `leaves` are all leaf digests in order, `sizes` how many each paragraph has; `ends`
+    are the numbers (from 1) of the sections' last paragraphs.
     """
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     leaves = F.transform(
-        lines, lambda p: F.transform(F.split(p, _CLAUSE_END, -1), lambda x: F.xxhash64(x))
+        lines, lambda p: F.flatten(F.transform(F.split(p, _CLAUSE_END, -1), _pieces))
     )
     return _with(leaves, _from_leaves)
 
 
+def _pieces(clause: Column) -> Column:
+    """Digests of a clause: one, or of its runs of words if it is long."""
+    long = _with(
+        F.split(clause, _WORD_END, -1),
+        lambda words: _grouped(
+            words,
+            lambda i: (F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(_PER_LEAF)) == 0)
+            | (F.length(F.element_at(words, i)) >= 32),
+        )["digests"],
+    )
+    return F.when(F.length(clause) <= _LEAF, F.array(F.xxhash64(clause))).otherwise(long)
+
+
+def _grouped(items: Column, last) -> Column:
+    """Struct (ends, digests) of the runs of `items` that end where `last(number)` says."""
+    numbers = F.sequence(F.lit(1), F.size(items))
+    return _with(
+        F.filter(numbers, lambda i: (i == F.size(items)) | last(i)),
+        lambda ends: F.struct(
+            ends.alias("ends"),
+            F.transform(
+                ends,
+                lambda e, k: _with(
+                    F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1)))).otherwise(0),
+                    lambda b: F.xxhash64(F.slice(items, b + 1, e - b)),
+                ),
+            ).alias("digests"),
+        ),
+    )
+
+
 def _with(value: Column, build) -> Column:
     """`build(value)` with `value` worked out once."""
     return F.transform(F.array(value), build)[0]
@@ -41,26 +81,17 @@ def _from_leaves(leaves: Column) -> Column:
     return _with(
         F.transform(leaves, lambda p: F.xxhash64(p)),
         lambda paragraphs: _with(
-            F.filter(
-                F.sequence(F.lit(1), F.size(paragraphs)),
-                lambda i: (i == F.size(paragraphs))
-                | (F.pmod(F.element_at(paragraphs, i), F.lit(_PER_SECTION)) == 0),
+            _grouped(
+                paragraphs,
+                lambda i: F.pmod(F.element_at(paragraphs, i), F.lit(_PER_SECTION)) == 0,
             ),
-            lambda ends: _with(
-                F.transform(
-                    ends,
-                    lambda e, k: _with(
-                        F.when(k > 0, F.element_at(ends, F.greatest(k, F.lit(1)))).otherwise(0),
-                        lambda b: F.xxhash64(F.slice(paragraphs, b + 1, e - b)),
-                    ),
-                ),
-                lambda sections: F.struct(
-                    F.flatten(leaves).alias("leaves"),
-                    F.transform(leaves, F.size).alias("sizes"),
-                    paragraphs.alias("paragraphs"),
-                    sections.alias("sections"),
-                    F.sha2(_hex(sections), 256).alias("root"),
-                ),
+            lambda sections: F.struct(
+                F.flatten(leaves).alias("leaves"),
+                F.transform(leaves, F.size).alias("sizes"),
+                paragraphs.alias("paragraphs"),
+                sections["ends"].alias("ends"),
+                sections["digests"].alias("sections"),
+                F.sha2(_hex(sections["digests"]), 256).alias("root"),
             ),
         ),
     )
@@ -87,11 +118,85 @@ def tree_likeness(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], 1.0).otherwise(likeness(a["leaves"], b["leaves"]))
 
 
+def _index(digests: Column) -> Column:
+    """Struct (bits, entries, starts): the digests in sorted buckets of their first bits.
+
+    Among the sorted digests stands a mark before each bucket, so the places of the marks
+    say where a bucket begins: no step looks at more than a bucket.
+    """
+    wanted = F.ceil(F.log2((F.size(digests) + 1) / F.lit(float(_BUCKET))))
+    bits = F.greatest(F.least(wanted, F.lit(_BITS)), F.lit(1)).cast("int")
+    return _with(
+        bits,
+        lambda bits: _with(
+            F.array_sort(
+                F.concat(
+                    F.transform(digests, lambda d: F.struct(d.alias("d"), F.lit(1).alias("kind"))),
+                    F.transform(
+                        F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), bits) - 1),
+                        lambda j: F.struct(
+                            F.call_function(
+                                "shiftleft",
+                                j.cast("long") - F.call_function("shiftleft", F.lit(1), bits - 1),
+                                64 - bits,
+                            ).alias("d"),
+                            F.lit(0).alias("kind"),
+                        ),
+                    ),
+                )
+            ),
+            lambda entries: F.struct(
+                bits.alias("bits"),
+                entries.alias("entries"),
+                F.filter(
+                    F.sequence(F.lit(1), F.size(entries)),
+                    lambda k: F.element_at(entries, k)["kind"] == 0,
+                ).alias("starts"),
+            ),
+        ),
+    )
+
+
+def _holds(index: Column, digest: Column) -> Column:
+    half = F.call_function("shiftleft", F.lit(1), index["bits"] - 1)
+    bucket = F.call_function("shiftright", digest, 64 - index["bits"]).cast("int") + half + 1
+    start = F.element_at(index["starts"], bucket)
+    end = F.coalesce(
+        F.try_element_at(index["starts"], bucket + 1), F.size(index["entries"]) + 1
+    )
+    return F.exists(
+        F.slice(index["entries"], start + 1, end - start - 1), lambda x: x["d"] == digest
+    )
+
+
 def changed_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of paragraphs of tree `b` whose digest tree `a` does not have."""
-    numbered = F.transform(b["paragraphs"], lambda d, i: F.struct(d.alias("d"), i.alias("i")))
-    differing = F.filter(numbered, lambda x: ~F.array_contains(a["paragraphs"], x["d"]))
-    found = F.transform(differing, lambda x: x["i"])
+    """Numbers (from 0) of paragraphs of tree `b` whose digest tree `a` does not have.
+
+    Sections that `a` has are passed over with all their paragraphs.
+    """
+    numbers = _with(
+        _index(a["sections"]),
+        lambda known: F.filter(
+            F.sequence(F.lit(1), F.size(b["sections"])),
+            lambda k: ~_holds(known, F.element_at(b["sections"], k)),
+        ),
+    )
+    below = F.flatten(
+        F.transform(
+            numbers,
+            lambda k: F.sequence(
+                F.when(k > 1, F.element_at(b["ends"], F.greatest(k - 1, F.lit(1)))).otherwise(0) + 1,
+                F.element_at(b["ends"], k),
+            ),
+        )
+    )
+    found = _with(
+        _index(a["paragraphs"]),
+        lambda known: F.transform(
+            F.filter(below, lambda i: ~_holds(known, F.element_at(b["paragraphs"], i))),
+            lambda i: i - 1,
+        ),
+    )
     return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(found)
 
 

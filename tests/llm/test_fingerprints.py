@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import brute
 import pytest
@@ -89,3 +91,35 @@ def test_partitions(spark, corpus, corpus_rows):
 def test_likeness_of_itself(spark, text):
     frame = spark.createDataFrame([(text,)], "t string").select(fp.tree(F.col("t")).alias("t"))
     assert frame.select(fp.tree_likeness(F.col("t"), F.col("t")).alias("x")).first().x == 1.0
+
+
+def test_changed_equals_a_plain_difference(spark, corpus, corpus_rows):
+    got = rows_of(fp.edited_fingerprints(corpus))
+    for d, text in brute.edited(corpus_rows).items():
+        own = set((dict(corpus_rows)[d] or "").split("\n"))
+        want = [k for k, x in enumerate(text.split("\n")) if x not in own]
+        assert got[d].changed == want, d
+
+
+def test_very_many_paragraphs_take_seconds(spark):
+    lines = [f"Line {k}, of very many {k * 7919}." for k in range(200_000)]
+    other = [x if k % 50_000 else "changed" for k, x in enumerate(lines)] + ["new"]
+    mixed = [f"Another line {k}." for k in range(200_000)]
+    frame = spark.createDataFrame([("\n".join(lines), "\n".join(x)) for x in (other, mixed)], "a string, b string")
+    started = time.time()
+    trees = frame.select(fp.tree(F.col("a")).alias("a"), fp.tree(F.col("b")).alias("b"))
+    got = [r[0] for r in trees.select(fp.changed_paragraphs(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == [0, 50_000, 100_000, 150_000, 200_000] and got[1] == list(range(200_000))
+    assert time.time() - started < 60
+
+
+def test_prose_without_signs_keeps_its_leaves(spark):
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(900))
+    signs = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(3000))
+    texts = [(prose, prose[: len(prose) * 3 // 4] + " other words"), (signs, signs[:2300] + prose[:700])]
+    frame = spark.createDataFrame(texts, "a string, b string").select(
+        fp.tree(F.col("a")).alias("a"), fp.tree(F.col("b")).alias("b")
+    )
+    for row in frame.select(fp.tree_likeness(F.col("a"), F.col("b")).alias("like"), F.size("a.leaves").alias("n")).collect():
+        assert row.like > 0.5 and row.n > 20
