@@ -1,12 +1,16 @@
-"""Line deduplication by blocks of lines that an earlier document holds.
-
-A block counts with MIN_BLOCK characters in lines that are no boilerplate, or with
-LONG_BLOCK characters in any lines. Every such block is a union of its shortest runs of
-lines that still count, one from each line onwards and one up to each line, so a block
-is shared exactly where these runs are. Runs are hashed and every run points from each
-holder to its earliest holder: n holders make n - 1 entries, no pairs among the later
-ones, however common the run is. Boilerplate is a line of more than half of all
-documents, whatever their number. The earliest holder of a line never loses it.
+"""Line deduplication: documents that share lines are aligned, later copies of blocks go.
+
+1. A block is worth deleting with MIN_BLOCK characters, however often it occurs. Every
+   such block is a union of its shortest runs of lines that still count, one from each
+   line onwards and one up to each line. Runs are hashed, and every run points from each
+   holder to its earliest holder: n holders make n - 1 pairs of documents, none among
+   the later ones, so a run is evidence however rare or common it is.
+2. Each pair is aligned by patience diff on its lines, told apart by 96 bits and their
+   sizes. Aligned common blocks of enough characters go from the later document. Lines
+   that stand elsewhere in the earlier document too, repeated or moved, are matched
+   block by block.
+
+A source that very many documents point to is copied, so that its pairs are many groups.
 """
 
 from __future__ import annotations
@@ -29,35 +33,36 @@ from syncohort.llm import words as W
 
 #: Characters (bytes of UTF-8) in a block that is worth deleting.
 MIN_BLOCK = 40
-#: Characters in a block that goes even if all its lines are boilerplate.
-LONG_BLOCK = 100
-#: Boilerplate is a line held by more than this share of the documents, and by more than FEW.
-COMMON = 0.5
-FEW = 10
+#: Pairs of one source in a group.
+PAIRS = 512
 #: Runs in one batch of rows.
 RUNS = 1 << 16
 #: Lines handled at once; a longer text makes a slice of its own.
 SLICE_LINES = 1 << 18
 
 
+_LOW = (1 << 64) - 1
+
+
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in W.slices(batch):
             lists = pc.split_pattern(part.column("text"), "\n")
             lines = pc.ascii_trim_whitespace(lists.flatten()).cast(pa.binary())
-            hashes = [
-                xxhash.xxh3_64_intdigest(x) - (1 << 63) if x else None for x in lines.to_pylist()
-            ]
-            sizes = pc.binary_length(lines)
+            digests = [xxhash.xxh3_128_intdigest(x) if x else None for x in lines.to_pylist()]
+            hashes = [None if x is None else (x & _LOW) - (1 << 63) for x in digests]
+            # 32 further bits beside the size tell lines with equal hashes apart.
+            more = np.array([0 if x is None else x >> 96 for x in digests], np.int64)
+            checks = (pc.binary_length(lines).to_numpy().astype(np.int64) << 32) | more
             offsets = pc.subtract(lists.offsets, lists.offsets[0])
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
                     part.column("version"),
                     pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.int64())),
-                    pa.ListArray.from_arrays(offsets, sizes.cast(pa.int32())),
+                    pa.ListArray.from_arrays(offsets, pa.array(checks)),
                 ],
-                names=["doc_id", "version", "lines", "sizes"],
+                names=["doc_id", "version", "lines", "checks"],
             )
 
 
@@ -111,22 +116,19 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
 
 def shortest_runs(
-    sizes: np.ndarray, rare: np.ndarray, bounds: np.ndarray, min_block: int
+    sizes: np.ndarray, bounds: np.ndarray, min_block: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the shortest runs of lines that count as a block.
 
-    Document d has the lines `bounds[d]:bounds[d + 1]`; `sizes` are characters, `rare`
-    the same with 0 for boilerplate.
+    Document d has the lines `bounds[d]:bounds[d + 1]`; `sizes` are characters.
     """
     count = len(sizes)
     if not count:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    onward, backward = np.full(count, count + 1), np.full(count, -1)
-    for size, least in ((sizes, max(min_block, LONG_BLOCK)), (rare, min_block)):
-        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        onward = np.minimum(onward, np.searchsorted(total, total[:-1] + least, "left"))
-        backward = np.maximum(backward, np.searchsorted(total, total[1:] - least, "right") - 1)
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    onward = np.searchsorted(total, total[:-1] + min_block, "left")
+    backward = np.searchsorted(total, total[1:] - min_block, "right") - 1
     at = np.arange(count)
     first, last = onward <= bounds[of + 1], backward >= bounds[of]
     starts = np.concatenate([at[first], backward[last]])
@@ -143,7 +145,7 @@ def common_blocks(
     However often and in whatever order either side has them.
     """
     sizes = np.asarray(sizes, np.int64)
-    runs = shortest_runs(sizes, sizes, np.array([0, len(sizes)]), min_block)
+    runs = shortest_runs(sizes, np.array([0, len(sizes)]), min_block)
     runs = list(zip(*(x.tolist() for x in runs)))
     held = {
         tuple(earlier[i : i + n])
@@ -154,6 +156,29 @@ def common_blocks(
     return sorted(found)
 
 
+def aligned_blocks(
+    earlier: Sequence, later: Sequence, sizes: Sequence[int], min_block: int
+) -> list[int]:
+    """Positions in `later` of blocks with at least `min_block` characters that `earlier` holds.
+
+    Blocks of the alignment first. Where lines that are left stand in `earlier` too, every
+    other common block is looked for, so the result is that of `common_blocks`.
+    """
+    found: set[int] = set()
+    pairs = patience(earlier, later)
+    start = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or pairs[k] != (pairs[k - 1][0] + 1, pairs[k - 1][1] + 1):
+            block = range(pairs[start][1], pairs[k - 1][1] + 1)
+            if sum(sizes[j] for j in block) >= min_block:
+                found.update(block)
+            start = k
+    known = set(earlier)
+    if any(j not in found and line in known for j, line in enumerate(later)):
+        found.update(common_blocks(earlier, later, sizes, min_block))
+    return sorted(found)
+
+
 def _run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = W.mixed((ends - starts).astype(np.uint64))
     step, open_ = 0, np.arange(len(starts))
@@ -175,43 +200,70 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def _runs(common: list[int], min_block: int):
-    """Rows (doc_id, version, run, places), a row for each shortest run."""
-    boilerplate = np.array(sorted(common), np.int64)
+def _real(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and checks of the lines that are not blank, and where each text's begin."""
+    held = batch.column("lines")
+    offsets = np.asarray(held.offsets).astype(np.int64)
+    flat, offsets = held.flatten(), offsets - offsets[0]
+    real = flat.is_valid().to_numpy(zero_copy_only=False)
+    lines = flat.fill_null(0).to_numpy(zero_copy_only=False)[real]
+    checks = batch.column("checks").flatten().to_numpy(zero_copy_only=False)[real]
+    return lines, checks, np.concatenate([[0], np.cumsum(real)])[offsets]
+
+
+def _runs(min_block: int):
+    """Rows (run, doc_id, version), a row for each shortest run."""
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _slices(whole)):
-            held = batch.column("lines")
-            offsets = np.asarray(held.offsets).astype(np.int64)
-            flat, offsets = held.flatten(), offsets - offsets[0]
-            real = flat.is_valid().to_numpy(zero_copy_only=False)
-            lines = flat.fill_null(0).to_numpy(zero_copy_only=False)[real]
-            sizes = batch.column("sizes").flatten().to_numpy(zero_copy_only=False)[real]
-            bounds = np.concatenate([[0], np.cumsum(real)])[offsets]
-            number = (np.arange(len(real)) - np.repeat(offsets[:-1], np.diff(offsets)))[real]
-            rare = np.where(np.isin(lines, boilerplate), 0, sizes)
-            starts, ends = shortest_runs(sizes, rare, bounds, min_block)
+            lines, checks, bounds = _real(batch)
+            starts, ends = shortest_runs(checks >> 32, bounds, min_block)
             of = np.searchsorted(bounds, starts, "right") - 1
             hashes = _run_hashes(lines.view(np.uint64), starts, ends).view(np.int64)
             for a in range(0, len(starts), RUNS):
                 some = slice(a, a + RUNS)
-                width = ends[some] - starts[some]
-                to = np.concatenate([[0], np.cumsum(width)])
-                inside = np.arange(to[-1]) - np.repeat(to[:-1], width)
-                places = number[np.repeat(starts[some], width) + inside]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(hashes[some]),
                         batch.column("doc_id").take(pa.array(of[some])),
                         batch.column("version").take(pa.array(of[some])),
-                        pa.array(hashes[some]),
-                        pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(places, pa.int32())),
                     ],
-                    names=["doc_id", "version", "run", "places"],
+                    names=["run", "doc_id", "version"],
                 )
 
     return runs
 
 
+def _aligned(min_block: int):
+    """Rows with both texts' lines in, line numbers of the later one's common blocks out."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                mine = row.select(["lines", "checks"])
+                other = row.select(["source_lines", "source_checks"]).rename_columns(["lines", "checks"])
+                lines, checks, _ = _real(mine)
+                source, source_checks, _ = _real(other)
+                keys = np.stack([np.concatenate([source, lines]), np.concatenate([source_checks, checks])])
+                codes = np.unique(keys, axis=1, return_inverse=True)[1].ravel().tolist()
+                gone = aligned_blocks(
+                    codes[: len(source)], codes[len(source) :], (checks >> 32).tolist(), min_block
+                )
+                if not gone:
+                    continue
+                numbers = np.flatnonzero(mine.column("lines").flatten().is_valid())[gone]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[row.column(c) for c in ("doc_id", "version", "source_id")],
+                        pa.array([numbers.tolist()], pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "version", "source_id", "removed"],
+                )
+
+    return align
+
+
 def overlaps(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     """(doc_id, version, source_id, removed): lines of `doc_id` also found in the earlier source.
 
@@ -224,36 +276,49 @@ def overlaps(docs: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
     ).where("doc_id is not null and text is not null")
     lined = cut(
         texts.mapInArrow(
-            _line_hashes, "doc_id long, version long, lines array<long>, sizes array<int>"
+            _line_hashes, "doc_id long, version long, lines array<long>, checks array<long>"
         ).dropDuplicates(["doc_id", "version"]),
         "lines",
     )
-    least = max(FEW, COMMON * lined.count())
-    # At most 1 / COMMON times the lines of a mean document.
-    common = (
-        lined.select(F.explode(F.array_distinct("lines")).alias("line"))
-        .where("line is not null")
-        .groupBy("line")
-        .count()
-        .where(F.col("count") > least)
-        .collect()
+    runs = cut(
+        lined.mapInArrow(_runs(min_block), "run long, doc_id long, version long").select(
+            "run", F.struct("doc_id", "version").alias("doc")
+        ),
+        "runs",
     )
-    runs = lined.mapInArrow(
-        _runs([r.line for r in common], min_block),
-        "doc_id long, version long, run long, places array<int>",
-    ).select("run", F.struct("doc_id", "version").alias("doc"), "places")
-    first = (
+    # Written, so that the join below stands alone and Spark can split a frequent run.
+    first = cut(
         runs.groupBy("run")
         .agg(F.min("doc").alias("source"), F.max("doc").alias("latest"))
         .where("source <> latest")
-        .select("run", "source")
+        .select("run", "source"),
+        "holders",
+    )
+    pairs = cut(runs.join(first, "run").where("doc <> source").select("doc", "source").distinct(), "pairs")
+    shares = cut(
+        pairs.groupBy("source").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("shares")), "shares"
+    )
+    part = F.pmod(F.xxhash64("doc"), "shares").cast("int").alias("part")
+    later = (
+        pairs.join(shares, "source")
+        .select("doc.*", "source", part)
+        .join(lined, ["doc_id", "version"])
+    )
+    sources = (
+        lined.join(shares, (F.col("source.doc_id") == F.col("doc_id")) & (F.col("source.version") == F.col("version")))
+        .select(
+            "source",
+            F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"),
+            F.col("lines").alias("source_lines"),
+            F.col("checks").alias("source_checks"),
+        )
     )
     return (
-        runs.join(first, "run")
-        .where("doc <> source")
-        .groupBy("doc", F.col("source.doc_id").alias("source_id"))
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("removed"))
-        .select("doc.doc_id", "doc.version", "source_id", "removed")
+        later.join(sources, ["source", "part"])
+        .withColumn("source_id", F.col("source.doc_id"))
+        .mapInArrow(
+            _aligned(min_block), "doc_id long, version long, source_id long, removed array<int>"
+        )
     )
 
 
