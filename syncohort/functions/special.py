@@ -1,6 +1,6 @@
 """Probability functions Spark has no expression for.
 
-They run as vectorised pandas UDFs on aggregated frames.
+All but the normal quantile run as vectorised pandas UDFs on aggregated frames.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from syncohort.functions.columns import as_column
+
 
 def _log_gamma(values: np.ndarray) -> np.ndarray:
     """ln of the gamma function of positive numbers: Stirling's series from 10 upwards."""
@@ -154,9 +157,57 @@ def _upper_tail(x: np.ndarray) -> np.ndarray:
     return np.where(x < 2.5, series, density / fraction)
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(prob: pd.Series) -> pd.Series:
-    return pd.Series(normal_quantiles(prob.to_numpy()))
+#: Published rational approximation of the normal quantile, fixed values: centre, tails and
+#: far tails, each the numerator and the denominator without its constant 1.
+QUANTILE_CENTRE = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3),
+    (4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3),
+)
+QUANTILE_TAILS = (
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9),
+)
+QUANTILE_FAR = (
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0,
+     2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3,
+     2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7,
+     2.04426310338993978564e-15),
+)
+
+
+def normal_quantile(prob: str | Column) -> Column:
+    """`normal_quantiles` as a column expression; null outside of (0, 1)."""
+    prob = as_column(prob).cast("double")
+    away = prob - F.lit(0.5)
+
+    def ratio(parts: tuple, x: Column) -> Column:
+        top, bottom = parts
+        return horner(top, x) / horner((1.0, *bottom), x)
+
+    def horner(terms: tuple, x: Column) -> Column:
+        out = F.lit(terms[-1])
+        for term in reversed(terms[:-1]):
+            out = out * x + F.lit(term)
+        return out
+
+    depth = F.sqrt(-F.ln(F.least(prob, F.lit(1.0) - prob)))
+    tail = F.when(depth <= 5.0, ratio(QUANTILE_TAILS, depth - F.lit(1.6))).otherwise(
+        ratio(QUANTILE_FAR, depth - F.lit(5.0))
+    )
+    centre = away * ratio(QUANTILE_CENTRE, F.lit(0.180625) - away * away)
+    return F.when(F.abs(away) <= F.lit(0.425), centre).when(
+        (prob > 0) & (prob < 1), F.signum(away) * tail
+    )
 
 
 @F.pandas_udf(T.DoubleType())

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from syncohort.functions.columns import dot
 from syncohort.functions.draws import portable_uniform, portable_uniform_sql
+from syncohort.functions.special import QUANTILE_CENTRE, QUANTILE_TAILS
 from syncohort.functions.splines import spline_basis
 from syncohort.lineage import cut, scratch_path
 from syncohort.operators import attack, fitted_privacy, models, privacy, report, survival, utility
@@ -297,32 +298,13 @@ def _ratio_sql(top: tuple, bottom: tuple, x: str) -> str:
     return f"{horner(top)} / {horner((1.0, *bottom))}"
 
 
-#: Published rational approximation of the normal quantile, fixed values: centre and tails.
-_CENTRE = (
-    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
-     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
-     3.3430575583588128105e4, 2.5090809287301226727e3),
-    (4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
-     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
-     5.2264952788528545610e3),
-)
-_TAILS = (
-    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
-     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
-     2.27238449892691845833e-2, 7.74545014278341407640e-4),
-    (2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
-     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
-     1.05075007164441684324e-9),
-)
-
-
 @case(
     "unique_rank_normal_score",
     "id:i age:i score:f9",
     "SELECT id, age, CASE WHEN abs(q) <= 0.425 THEN q * "
-    + _ratio_sql(*_CENTRE, "(0.180625::DOUBLE - q * q)")
+    + _ratio_sql(*QUANTILE_CENTRE, "(0.180625::DOUBLE - q * q)")
     + " ELSE sign(q) * "
-    + _ratio_sql(*_TAILS, "(sqrt(-ln(0.5::DOUBLE - abs(q))) - 1.6::DOUBLE)")
+    + _ratio_sql(*QUANTILE_TAILS, "(sqrt(-ln(0.5::DOUBLE - abs(q))) - 1.6::DOUBLE)")
     + " END AS score FROM (SELECT id, age, (row_number() OVER (ORDER BY age, id) - 0.5::DOUBLE) "
     "/ count(*) OVER () - 0.5::DOUBLE AS q FROM cohort)",
 )

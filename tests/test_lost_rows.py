@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from syncohort.functions import special
-from syncohort.operators import distance, privacy, stats
+from syncohort.operators import density, distance, privacy, stats
 
 PERSONS = "site string, model int, sim int, id long, age int, sex int, daar_grp int, stage int, t double, status int"
 
@@ -75,6 +75,25 @@ def test_normal_quantiles():
     assert np.isnan(special.normal_quantiles(np.array([0.0, 1.0, -1.0, np.nan]))).all()
 
 
+def test_normal_quantile_column(spark):
+    p = [10.0**-k for k in range(1, 300, 7)] + [k / 1000 for k in range(1, 1000)] + [1 - 10.0**-k for k in range(1, 15)]
+    frame = spark.createDataFrame([(x,) for x in p], "p double").select(special.normal_quantile("p").alias("z"))
+    got = np.array([r.z for r in frame.collect()])
+    assert np.allclose(got, [NormalDist().inv_cdf(x) for x in p], rtol=1e-13, atol=1e-14)
+    outside = spark.createDataFrame([(x,) for x in (0.0, 1.0, -1.0, 2.0, None)], "p double")
+    assert {r[0] for r in outside.select(special.normal_quantile("p")).collect()} == {None}
+
+
+def test_runs_and_samples_without_a_density_stay(spark):
+    """Run 2 has no spread in y, and one sample of run 1 lacks a value."""
+    data = [("a", 1, s, i, float(i * i % 7), float(i % 5) if s == 1 else 1.0) for s in (1, 2) for i in range(12)]
+    schema = "site string, model int, sim int, id long, x double, y double"
+    samples = spark.createDataFrame([*data, ("a", 1, 1, 99, None, 1.0)], schema)
+    found = density.log_density(spark.createDataFrame(data, schema), samples, ["x", "y"]).collect()
+    assert len(found) == 25
+    assert all((r.log_density is None) == (r.sim == 2 or r.id == 99) for r in found)
+
+
 def test_log_gamma():
     x = np.concatenate([np.linspace(0.05, 30, 600), [1e3, 1e6, 1e12]])
     want = np.array([math.lgamma(v) for v in x])
