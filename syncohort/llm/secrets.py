@@ -201,7 +201,7 @@ def _count(kind: str) -> Column:
 
 
 def secrets(docs: DataFrame, rules: Sequence[SecretRule] = MORE_RULES) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of `docs`.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_spans) for every row of `docs`.
 
     The fixed rules' spans are counted and digested; `rules` add theirs to `spans`. Odd
     rows are treated as by `secret_spans`; without spans the digest is that of an empty
@@ -215,4 +215,5 @@ def secrets(docs: DataFrame, rules: Sequence[SecretRule] = MORE_RULES) -> DataFr
         *counts,
         F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"),
         _digest(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
