@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -668,44 +668,6 @@ def per_run(
     return spark.read.parquet(*paths)
 
 
-def discriminator_scores(
-    real: DataFrame,
-    synthetic: DataFrame,
-    settings: StudySettings,
-    rounds: int = 40,
-    test_share: float = 0.3,
-    seed: int = 42,
-) -> DataFrame:
-    """Test-set probabilities of boosted trees that tell real (1) from synthetic (0).
-
-    The rows held out for testing and for choosing the number of rounds depend on
-    the run and the row only.
-    """
-    both = real.withColumn("real", F.lit(1)).unionByName(
-        synthetic.withColumn("real", F.lit(0)), allowMissingColumns=True
-    )
-    codes = {f"stage_{s}": (F.col("stage") == s).cast("double") for s in settings.stages}
-    features = [*settings.numeric, *codes]
-    u = hash_uniform(*run_keys(both.columns, RUN), "id", "real", seed)
-    table = cut(
-        VectorAssembler(inputCols=features, outputCol="features")
-        .transform(both.withColumns(codes).withColumn("_u", u))
-        .select("id", "real", "features", "_u"),
-        "features",
-    )
-    train = table.filter(F.col("_u") >= test_share).withColumn(
-        "_validate", F.col("_u") >= 1.0 - 0.1 * (1.0 - test_share)
-    )
-    trees = GBTClassifier(
-        labelCol="real", maxDepth=3, stepSize=0.2, subsamplingRate=0.75, minInstancesPerNode=5,
-        featureSubsetStrategy="0.75", maxIter=rounds, validationIndicatorCol="_validate", seed=seed,
-    ).fit(train)
-    scored = trees.transform(table.filter(F.col("_u") < test_share))
-    return scored.select(
-        "id", F.col("real").alias("member"), vector_to_array("probability")[1].alias("score")
-    )
-
-
 def attribute_predictions(
     synthetic: DataFrame,
     real: DataFrame,

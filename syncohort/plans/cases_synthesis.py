@@ -10,7 +10,16 @@ from syncohort.functions.draws import portable_uniform, portable_uniform_sql
 from syncohort.functions.special import QUANTILE_CENTRE, QUANTILE_TAILS
 from syncohort.functions.splines import spline_basis
 from syncohort.lineage import cut, scratch_path
-from syncohort.operators import attack, fitted_privacy, models, privacy, report, survival, utility
+from syncohort.operators import (
+    attack,
+    boosting,
+    fitted_privacy,
+    models,
+    privacy,
+    report,
+    survival,
+    utility,
+)
 from syncohort.operators import frequencies as freq
 from syncohort.operators import synthesis as synth
 from syncohort.operators.cohort import spread_over_runs, with_run_minimum_delta
@@ -450,15 +459,13 @@ def _(spark, folder):
     )
 
 
-@case("discriminator_auc", "site:s model:i sim:i auc:f6 pmse:f6 tested:i")
+@case("discriminator_auc", "site:s model:i sim:i auc:f6 pmse:f6 tested:i rounds:i")
 def _(spark, folder):
-    """Boosted trees against every run: AUC and mean squared propensity error."""
-    scores = models.per_run(
-        *attack_table(spark, folder),
-        lambda real, synthetic: models.discriminator_scores(real, synthetic, STUDY),
-    )
+    """Boosted trees against every run: AUC, mean squared propensity error, rounds of ten folds."""
+    real, synthetic = attack_table(spark, folder)
+    scores = cut(boosting.discriminator_scores(real, synthetic, STUDY), "scores")
     auc = attack.roc_auc(attack.roc_points(scores))
-    sizes = scores.groupBy(*RUN).agg(F.count("*").alias("tested"))
+    sizes = scores.groupBy(*RUN).agg(F.count("*").alias("tested"), F.max("rounds").alias("rounds"))
     return auc.join(utility.pmse(scores, RUN, "score"), list(RUN)).join(sizes, list(RUN))
 
 
@@ -487,9 +494,7 @@ def _(spark, folder):
 
 def _discriminated(real, synthetic):
     """Propensity error of boosted trees for every run."""
-    scores = models.per_run(
-        real, synthetic, lambda r, s: models.discriminator_scores(r, s, STUDY)
-    )
+    scores = boosting.discriminator_scores(real, synthetic, STUDY)
     return utility.pmse(scores, RUN, "score")
 
 
