@@ -19,9 +19,11 @@ from syncohort.operators.blocks import (
     block_pairs,
     box_distances,
     curve_position,
-    decode_points,
     into_blocks,
     nearest_block,
+    points_of,
+    tiled,
+    tiles_of,
 )
 from syncohort.operators.cohort import column_ranges, spread_over_runs
 from syncohort.operators.stats import top_k
@@ -109,7 +111,56 @@ def _smallest(distance: np.ndarray, ids: np.ndarray, wanted: int):
     return np.stack(found_d, axis=1), np.stack(found_i, axis=1)
 
 
-_QUERY_CHUNK = 256
+#: Points of a block that are compared at once.
+_CHUNK = 128
+_TOLERANCE = 1e-9
+
+
+def _add_nearest(
+    best: tuple[np.ndarray, np.ndarray], queries: np.ndarray, ids: np.ndarray, data: np.ndarray,
+    limits: np.ndarray, numeric: int,
+) -> None:
+    """Merge the nearest points of a block of data into `best`, (distances, ids) per query.
+
+    Points follow the curve, so chunks of them have boxes of their own: the nearest come
+    first, and only queries that a box may still serve are compared with its points.
+    Points beyond the `limits` may be missing.
+    """
+    found, found_ids = best
+    wanted = found.shape[1]
+    starts = np.arange(0, len(data), _CHUNK)
+    lo, hi = np.minimum.reduceat(data, starts), np.maximum.reduceat(data, starts)
+    chunks = []
+    for start in starts:
+        order = start + np.argsort(ids[start : start + _CHUNK])
+        chunks.append((ids[order], data[order]))
+    for start in range(0, len(queries), _CHUNK):
+        part = slice(start, start + _CHUNK)
+        x, known, known_ids, limit = queries[part], found[part], found_ids[part], limits[part]
+        gap = np.maximum(0.0, np.maximum(lo - x.max(axis=0), x.min(axis=0) - hi))
+        lower = _mean_difference(gap, numeric)
+        for j in np.argsort(lower, kind="stable"):
+            reach = np.minimum(limit, known[:, -1]) + _TOLERANCE
+            if lower[j] > reach.max():
+                break
+            gap = np.maximum(0.0, np.maximum(lo[j] - x, x - hi[j]))
+            rows = np.flatnonzero(_mean_difference(gap, numeric) <= reach)
+            if not len(rows):
+                continue
+            own_ids, own = chunks[j]
+            distance, did = _smallest(_gower(x[rows], own, numeric), own_ids, wanted)
+            distance = np.concatenate([known[rows], distance], axis=1)
+            did = np.concatenate([known_ids[rows], did], axis=1)
+            order = np.lexsort((did, distance))[:, :wanted]
+            known[rows] = np.take_along_axis(distance, order, 1)
+            known_ids[rows] = np.take_along_axis(did, order, 1)
+
+
+def _nothing_yet(count: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    return (
+        np.full((count, wanted), np.inf),
+        np.full((count, wanted), np.iinfo(np.int64).max, np.int64),
+    )
 
 
 def _search(
@@ -141,16 +192,12 @@ def _search(
     def evaluate_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                qids, qx, _ = decode_points(row, "q", dims)
-                dids, dx, _ = decode_points(row, "d", dims)
-                parts = [
-                    _smallest(_gower(qx[s : s + _QUERY_CHUNK], dx, numeric), dids, wanted)
-                    for s in range(0, len(qids), _QUERY_CHUNK)
-                ]
-                distance = np.concatenate([p[0] for p in parts])
-                did = np.concatenate([p[1] for p in parts])
-                full = distance.shape[1] == wanted
-                limits = distance[:, -1] if full else np.full(len(qids), np.inf)
+                qids, qx, _ = points_of(row, dims, "q_")
+                dids, dx, _ = points_of(row, dims, "d_")
+                best = _nothing_yet(len(qids), wanted)
+                _add_nearest(best, qx, dids, dx, np.full(len(qids), np.inf), numeric)
+                distance, did = (b[:, : min(wanted, len(dids))] for b in best)
+                limits = best[0][:, -1]
                 out = {k: getattr(row, k) for k in (*keys, "q_block", "d_block")}
                 out |= {
                     "worst": float(limits.max()),
@@ -166,14 +213,9 @@ def _search(
         block_pairs(first, queries, data, keys).mapInPandas(evaluate_first, first_schema), "pilot"
     )
 
-    tolerance = 1e-9
-    further = (
-        candidates.join(
-            pilot.select(*keys, "q_block", F.col("d_block").alias("_done"), "worst", "limits"),
-            [*keys, "q_block"],
-        )
-        .filter((F.col("d_block") != F.col("_done")) & (F.col("lower") <= F.col("worst") + tolerance))
-        .select(*keys, "q_block", "d_block", "limits")
+    payload = pilot.select(*keys, "q_block", F.col("d_block").alias("done"), "worst", "limits")
+    further = candidates.join(payload, [*keys, "q_block"]).filter(
+        (F.col("d_block") != F.col("done")) & (F.col("lower") <= F.col("worst") + _TOLERANCE)
     )
     rest_schema = T.StructType(
         [
@@ -184,30 +226,33 @@ def _search(
         ]
     )
 
-    def evaluate_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                qids, qx, _ = decode_points(row, "q", dims)
-                dids, dx, _ = decode_points(row, "d", dims)
+    def evaluate_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for run, rows, others in tiles_of(batches, keys):
+            own = []
+            for row in rows:
+                qids, qx, _ = points_of(row, dims)
+                box = qx.min(axis=0), qx.max(axis=0)
                 limits = np.frombuffer(row.limits)
+                own.append((row, qids, qx, box, limits, _nothing_yet(len(qids), wanted)))
+            for other in others:
+                dids, dx, _ = points_of(other, dims)
                 lo, hi = dx.min(axis=0), dx.max(axis=0)
-                gap = np.maximum(0.0, np.maximum(lo - qx, qx - hi))
-                reach = _mean_difference(gap, numeric)
-                open_rows = np.flatnonzero(reach <= limits + tolerance)
-                for s in range(0, len(open_rows), _QUERY_CHUNK):
-                    rows = open_rows[s : s + _QUERY_CHUNK]
-                    distance, did = _smallest(_gower(qx[rows], dx, numeric), dids, wanted)
-                    better = distance <= limits[rows, None] + tolerance
-                    if not better.any():
-                        continue
-                    out = {k: getattr(row, k) for k in keys}
-                    out["qid"] = np.repeat(qids[rows], distance.shape[1])[better.ravel()]
-                    out["distance"] = distance.ravel()[better.ravel()]
-                    out["did"] = did.ravel()[better.ravel()]
-                    yield pd.DataFrame(out)[rest_schema.names]
+                for row, _, qx, box, limits, best in own:
+                    gap = np.maximum(0.0, np.maximum(lo - box[1], box[0] - hi))
+                    lower = _mean_difference(gap[None, :], numeric)[0]
+                    if other.block != row.done and lower <= row.worst + _TOLERANCE:
+                        _add_nearest(best, qx, dids, dx, limits, numeric)
+            for _, qids, _, _, limits, (distance, did) in own:
+                better = np.isfinite(distance) & (distance <= limits[:, None] + _TOLERANCE)
+                out = dict(zip(keys, run)) | {
+                    "qid": np.repeat(qids, wanted)[better.ravel()],
+                    "distance": distance[better],
+                    "did": did[better],
+                }
+                yield pd.DataFrame(out)[rest_schema.names]
 
     near = pilot.select(*keys, F.inline(F.arrays_zip("qid", "distance", "did")))
-    more = block_pairs(further, queries, data, keys).mapInPandas(evaluate_rest, rest_schema)
+    more = tiled(further, queries, data, keys, payload).mapInPandas(evaluate_tiles, rest_schema)
     return near.select(*rest_schema.names).unionByName(more)
 
 
