@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from syncohort.functions.ordered import running_totals
 from syncohort.lineage import cut
 from syncohort.llm import words as W
 
-#: Buckets of the multinomials, and labelled rows used at most (lowest hashes first).
+#: Buckets of the multinomials.
 BUCKETS = 1 << 18
-LABELLED = 20_000
 #: Pseudo-count of every bucket.
 PRIOR = 1.0
 
@@ -50,15 +50,14 @@ def _grams(text: W.Coded, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield (pairs % np.uint64(buckets)).astype(np.int64), own[1:][within]
 
 
-def _corpus_counts(docs: DataFrame, trusted: np.ndarray, buckets: int) -> np.ndarray:
-    """Counts (2, buckets) of the whole corpus and of trusted documents."""
+def _corpus_counts(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Counts (2, buckets) of the whole corpus and of documents marked `trusted`."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
             for part in W.slices(batch):
-                ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
-                chosen = np.isin(ids, trusted) & part.column("doc_id").is_valid().to_numpy(False)
+                chosen = part.column("trusted").to_numpy(zero_copy_only=False)
                 for at, text in _grams(W.coded(part.column("text")), buckets):
                     total[0] += np.bincount(at, minlength=buckets)
                     if chosen.any():
@@ -174,15 +173,36 @@ def best_threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[int((kept + gone).argmax())])
 
 
-def quality_rules(
-    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, buckets: int = BUCKETS
-) -> DataFrame:
+def threshold_of(rated: DataFrame) -> float:
+    """`best_threshold` of the scores of (score, good, bad) rows, of any number.
+
+    Cuts are judged by running counts along the distinct scores; two rows reach the driver.
+    """
+    counts = cut(
+        rated.groupBy("score").agg(
+            *[F.sum(F.col(c).cast("long")).alias(c) for c in ("good", "bad")]
+        ),
+        "rated",
+    )
+    good, bad = counts.agg(F.sum("good"), F.sum("bad")).first()
+    if not good or not bad:
+        return float("-inf")
+    upto = running_totals(counts, [], ["score"], {"good_upto": "good", "bad_upto": "bad"})
+    gain = (F.lit(1.0) - F.col("good_upto") / F.lit(good)) + F.col("bad_upto") / F.lit(bad)
+    top = upto.agg(F.max(F.struct(gain.alias("gain"), (-F.col("score")).alias("below")))).first()[0]
+    if top.gain <= 1.0:  # as good as no cut
+        return float("-inf")
+    above = counts.where(F.col("score") > F.lit(-top.below)).agg(F.min("score")).first()[0]
+    return (above - top.below) / 2
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_words, ..., base_failed, score, threshold, kept, text_hash) for every row.
 
     `labels` has doc_id, quality and toxic. Trusted are documents of quality 1 that are
-    not toxic; the `labelled` rows with the lowest hashes of their ids are used. Corpus
-    counts and scores cover every row. The threshold is `best_threshold` of the labelled
-    rows that pass the base rules. Null, empty and word-free texts have all counts 0 and
+    not toxic. Corpus counts and scores cover every row, trusted counts and the threshold
+    every label; the threshold is `best_threshold` of the labelled rows that pass the base
+    rules, of a doc_id with several texts the lowest score. Null, empty and word-free texts have all counts 0 and
     fail the base rules (fewer than ten words). Labels with nulls are left out; an id
     with several labels counts by its lowest quality and its highest toxicity; without
     usable labels only the base rules decide. Rows that repeat a doc_id are judged one by one; a null
@@ -193,38 +213,32 @@ def quality_rules(
         F.col("text").cast("string").alias("text"),
         F.xxhash64("text").alias("text_hash"),
     )
-    known = (
-        labels.select("doc_id", "quality", "toxic")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    known = cut(
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic")
         .dropna()
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(labelled)
-        .toPandas()
+        .select("doc_id", good.alias("good"), (F.col("quality") == 0).alias("bad"))
+        .where("good or bad"),
+        "labels",
+    )
+    trusted = known.where("good").select("doc_id", F.lit(True).alias("trusted"))
+    marked = texts.select("doc_id", "text").join(trusted, "doc_id", "left")
+    ratios = log_ratios(
+        _corpus_counts(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))), buckets)
     )
-    ids = known["doc_id"].to_numpy(np.int64)
-    good = ids[((known["quality"] == 1) & (known["toxic"] == 0)).to_numpy(bool)]
-    bad = ids[(known["quality"] == 0).to_numpy(bool)]
-    ratios = log_ratios(_corpus_counts(texts.select("doc_id", "text"), good, buckets))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = cut(
         texts.mapInArrow(_scores(ratios), _SCORED).withColumn("base_failed", failed), "scores"
     )
-    sample = docs.sparkSession.createDataFrame(known[["doc_id", "quality", "toxic"]].astype("int64")) if len(known) else None
-    threshold = float("-inf")
-    if sample is not None:
-        # At most `labelled` rows of two numbers; of a doc_id with several texts, the lowest score.
-        rated = (
-            scored.where("not base_failed")
-            .join(F.broadcast(sample), "doc_id")
-            .groupBy("doc_id")
-            .agg(F.min("score").alias("score"))
-            .toPandas()
-        )
-        threshold = best_threshold(
-            rated.loc[rated["doc_id"].isin(good), "score"].to_numpy(float),
-            rated.loc[rated["doc_id"].isin(bad), "score"].to_numpy(float),
-        )
+    rated = (
+        scored.where("not base_failed")
+        .join(known, "doc_id")
+        .groupBy("doc_id", "good", "bad")
+        .agg(F.min("score").alias("score"))
+    )
+    threshold = threshold_of(rated)
     kept = ~F.col("base_failed") & (F.col("score") >= F.lit(threshold))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -87,3 +87,26 @@ def test_threshold():
 def test_ties_are_kept():
     same = np.zeros(3)
     assert quality.best_threshold(same, same) == float("-inf")
+
+
+def test_threshold_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    for good, bad in ((rng.normal(1, 1, 300), rng.normal(0, 1, 200)), (np.zeros(3), np.zeros(2)), (np.ones(2), np.zeros(0))):
+        good, bad = good.round(1), bad.round(1)
+        rows = [(float(x), True, False) for x in good] + [(float(x), False, True) for x in bad]
+        got = quality.threshold_of(spark.createDataFrame(rows, "score double, good boolean, bad boolean"))
+        assert got == quality.best_threshold(good, bad)
+
+
+def test_every_label_counts(spark, odd_docs):
+    """Usable labels behind more than 20,000 others, whichever order they are taken in."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_400).select(F.col("id").alias("doc_id"))
+    last = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id").desc()).limit(200).collect()]
+    marks = ids.select("doc_id", (F.col("doc_id") % 2).alias("quality"), F.lit(0).cast("long").alias("toxic"))
+    words = [[f"{kind}{k}" for k in range(20)] for kind in ("bad", "good")]
+    rows = [(d, " ".join(words[d % 2])) for d in last]
+    got = quality.quality_rules(odd_docs(rows), marks).collect()
+    assert len(got) == 200 and {r.threshold for r in got} != {float("-inf")}
+    assert all(r.kept == (r.doc_id % 2 == 1) for r in got)
