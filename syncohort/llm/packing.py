@@ -120,7 +120,9 @@ _LOADED: dict[str, WordIds] = {}
 
 def _word_ids(path: str) -> WordIds:
     if path not in _LOADED:
+        W.release()  # what earlier tasks of this worker left
         _LOADED[path] = WordIds(path)
+        W.release()  # what was read to build it
     return _LOADED[path]
 
 
