@@ -27,6 +27,10 @@ from syncohort.llm import words as W
 BUCKETS = 1 << 18
 #: Pseudo-count of every bucket.
 PRIOR = 1.0
+#: 64-bit words of the filter of trusted ids.
+FILTER = 1 << 18
+#: Neighbouring buckets whose counts are added up as one row.
+CHUNK = 1 << 12
 
 _SYMBOLS = b"#*$%&|<>"
 _SHAPES = bytes(
@@ -50,29 +54,96 @@ def _grams(text: W.Coded, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield (pairs % np.uint64(buckets)).astype(np.int64), own[1:][within]
 
 
-def _corpus_counts(docs: DataFrame, buckets: int) -> np.ndarray:
-    """Counts (2, buckets) of the whole corpus and of documents marked `trusted`."""
+def _places(ids: pa.Array) -> np.ndarray:
+    """Two bits (2, ids) of the filter for each id that is not null."""
+    hashes = W.mixed(ids.drop_null().to_numpy().view(np.uint64))
+    return np.stack([hashes, hashes >> np.uint64(32)]) % np.uint64(64 * FILTER)
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits that the ids of `ids` set, as `FILTER` words; the driver sees these only."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER * 64, bool)
+        for batch in batches:
+            bits[_places(batch.column(0))] = True
+        words = np.packbits(bits, bitorder="little").view(np.int64)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(words[used])], names=["word", "bits"]
+        )
+
+    words = ids.mapInArrow(mark, "word long, bits long").groupBy("word")
+    table = words.agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER, np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out
+
+
+def _may_hold(words: np.ndarray, ids: pa.Array) -> pa.Array:
+    """Whether an id may be one of the filter's; never false for one that is."""
+    at = _places(ids).astype(np.int64)
+    out = np.zeros(len(ids), bool)
+    out[ids.is_valid().to_numpy(zero_copy_only=False)] = ((words[at >> 6] >> (at & 63)) & 1).all(0)
+    return pa.array(out)
+
+
+def _corpus_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> np.ndarray:
+    """Counts (2, buckets) of the whole corpus and of documents with an id of `trusted`.
+
+    `trusted` has distinct doc_ids. Texts whose id is surely not among them are counted
+    where they lie; only the others move, to be joined. The join is the same at every
+    size, so that no executor ever holds all trusted ids.
+    """
+    seen = _id_filter(trusted)
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(_may_hold(seen, batch.column("doc_id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, buckets), np.int64)
         for batch in batches:
+            if "trusted" not in batch.schema.names:
+                sure = pc.invert(_may_hold(seen, batch.column("doc_id")))
+                batch = batch.filter(sure).append_column("trusted", pa.repeat(False, sure.true_count))
             for part in W.slices(batch):
                 chosen = part.column("trusted").to_numpy(zero_copy_only=False)
                 for at, text in _grams(W.coded(part.column("text")), buckets):
                     total[0] += np.bincount(at, minlength=buckets)
                     if chosen.any():
                         total[1] += np.bincount(at[chosen[text]], minlength=buckets)
-        used = np.flatnonzero(total[0])
+        starts = range(0, buckets, CHUNK) if total.any() else ()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])],
-            names=["bucket", "raw", "trusted"],
+            [
+                pa.array(starts, pa.int64()),
+                *[pa.array([c[a : a + CHUNK].tobytes() for a in starts], pa.binary()) for c in total],
+            ],
+            names=["start", "raw", "trusted"],
         )
 
-    sums = docs.mapInArrow(count, "bucket long, raw long, trusted long").groupBy("bucket")
-    table = sums.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toArrow()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start, *own in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.stack([np.frombuffer(c, np.int64) for c in own])
+                sums[start] = sums[start] + counts if start in sums else counts
+        for start, counts in sums.items():
+            yield pa.RecordBatch.from_pydict(
+                {"start": [start], "raw": [counts[0].tobytes()], "trusted": [counts[1].tobytes()]}
+            )
+
+    schema = "start long, raw binary, trusted binary"
+    marks = trusted.select("doc_id", F.lit(True).alias("trusted")).hint("merge")
+    texts = docs.select("doc_id", "text")
+    moved = texts.mapInArrow(candidates, texts.schema).join(marks, "doc_id", "left")
+    moved = moved.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    counted = texts.mapInArrow(count, schema).union(moved.mapInArrow(count, schema))
     out = np.zeros((2, buckets))
-    at = table.column("bucket").to_numpy()
-    out[0, at], out[1, at] = table.column("raw").to_numpy(), table.column("trusted").to_numpy()
+    for row in counted.repartition("start").mapInArrow(add, schema).collect():
+        for k, counts in enumerate((row["raw"], row["trusted"])):
+            own = np.frombuffer(counts, np.int64)
+            out[k, row["start"] : row["start"] + len(own)] = own
     return out
 
 
@@ -223,11 +294,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) ->
         .where("good or bad"),
         "labels",
     )
-    trusted = known.where("good").select("doc_id", F.lit(True).alias("trusted"))
-    marked = texts.select("doc_id", "text").join(trusted, "doc_id", "left")
-    ratios = log_ratios(
-        _corpus_counts(marked.withColumn("trusted", F.coalesce("trusted", F.lit(False))), buckets)
-    )
+    ratios = log_ratios(_corpus_counts(texts, known.where("good").select("doc_id"), buckets))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = cut(
         texts.mapInArrow(_scores(ratios), _SCORED).withColumn("base_failed", failed), "scores"

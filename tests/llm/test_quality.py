@@ -110,3 +110,28 @@ def test_every_label_counts(spark, odd_docs):
     got = quality.quality_rules(odd_docs(rows), marks).collect()
     assert len(got) == 200 and {r.threshold for r in got} != {float("-inf")}
     assert all(r.kept == (r.doc_id % 2 == 1) for r in got)
+
+
+def test_counts_move_only_texts_that_may_be_trusted(spark):
+    """Counts by a plain dictionary; a small trusted table moves no other text."""
+    import pyarrow as pa
+
+    from syncohort.llm import words as W
+
+    rows = [(d, f"word{d % 7} one{d % 3} two{d % 5}") for d in range(-300, 300)] * 2
+    rows += [(None, "no id here"), (5, None), (2**62, "far away")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(d,) for d in range(-300, 300, 9)] + [(2**62,)], "doc_id long")
+    ids = {r.doc_id for r in trusted.collect()}
+    want = np.zeros((2, 1 << 13))
+    for doc_id, text in rows:
+        for at, _ in quality._grams(W.coded(pa.array([text], pa.string())), 1 << 13):
+            for k in range(1 + (doc_id in ids)):
+                np.add.at(want[k], at, 1)
+    assert (quality._corpus_counts(table, trusted, 1 << 13) == want).all()
+    words = quality._id_filter(trusted)
+    kept = quality._may_hold(words, pa.array([r[0] for r in rows], pa.int64())).to_pylist()
+    assert all(kept[i] for i, r in enumerate(rows) if r[0] in ids)
+    assert sum(kept) <= sum(r[0] in ids for r in rows) + 10
+    none = quality._corpus_counts(table, trusted.where("false"), 1 << 13)
+    assert (none[0] == want[0]).all() and not none[1].any()
