@@ -42,6 +42,14 @@ def with_runs(frame: DataFrame, models: Sequence[int], sims: int) -> DataFrame:
     )
 
 
+def spread(slots: DataFrame) -> DataFrame:
+    """`slots` dealt evenly over all cores by their `id`.
+
+    A slot has few bytes but long draws in many runs, and Spark sizes tasks by bytes.
+    """
+    return slots.repartition(4 * slots.sparkSession.sparkContext.defaultParallelism, "id")
+
+
 def bootstrap(
     cohort: DataFrame,
     models: Sequence[int] = (6,),
@@ -156,20 +164,20 @@ def saturated_model(
 ) -> tuple[dict[str, tuple[Sequence[str], DataFrame]], DataFrame]:
     """Conditional frequencies of each variable and hazards per interval.
 
-    A cell without exposure has hazard 0.
+    A cell without exposure has hazard 0. All tables are written, so that Spark knows how
+    small they are and sends them to the rows that look them up.
     """
     tables = {}
     for variable, parents in submodels:
         shares = class_probabilities(
             class_counts(cohort, keys, variable, parents), keys, variable, parents
         )
-        tables[variable] = (
-            list(parents), cumulative_classes(shares.filter("p > 0"), keys, variable, parents)
-        )
+        cdfs = cumulative_classes(shares.filter("p > 0"), keys, variable, parents)
+        tables[variable] = (list(parents), cut(cdfs, "cdfs"))
     spent = event_exposure(cohort, [*keys, *rate_by], cuts)
     rate = F.coalesce(F.col("d") / F.nullif(F.col("exposure"), F.lit(0.0)), F.lit(0.0))
     rates = packed_rates(spent.withColumn("rate", rate), [*keys, *rate_by])
-    return tables, rates
+    return tables, cut(rates, "rates")
 
 
 def synthesize(

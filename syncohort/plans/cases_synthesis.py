@@ -223,7 +223,7 @@ synthetic AS (SELECT 'main' AS site, model, sim, id, age, sex, stage, daar_grp,
 
 def _slots(people):
     slots = synth.row_numbers(people.select("site", F.col("id").alias("_id")), ["site"], ["_id"], "id")
-    return synth.with_runs(slots.drop("_id"), [0], SIMS)
+    return synth.with_runs(synth.spread(slots.drop("_id")), [0], SIMS)
 
 
 @case(

@@ -148,3 +148,18 @@ def test_age_regression_reproduces_the_distribution(spark):
     fit = models.fit_continuous(cohort)
     assert fit.rmse < 1.5
     assert fit.limits == (40.0, 84.0)
+
+
+def test_lookup_tables_are_written_and_slots_spread(spark):
+    """Draws read written tables of known size, and few bytes of slots still fill all cores."""
+    cohort = spark.range(1000).select(
+        F.lit("m").alias("site"), "id", (F.col("id") % 7).cast("int").alias("age"),
+        (F.col("id") % 2).cast("int").alias("status"), F.lit(1.5).alias("t"),
+    )
+    tables, rates = synth.saturated_model(cohort, (("age", ()),), ("status",))
+    for table in (tables["age"][1], rates):
+        assert table.inputFiles()
+    slots = synth.spread(cohort.select("site", "id"))
+    assert slots.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    held = slots.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 1000 / 4
