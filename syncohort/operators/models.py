@@ -28,7 +28,7 @@ from syncohort.functions.draws import hash_normal, hash_uniform
 from syncohort.functions.ordered import row_numbers
 from syncohort.functions.special import normal_quantile
 from syncohort.functions.splines import equally_spaced_knots, spline_basis, spline_values
-from syncohort.lineage import cut, is_written, scratch_path
+from syncohort.lineage import cut, is_written, join_constants, scratch_path
 from syncohort.operators import newton
 from syncohort.operators.frequencies import event_exposure
 from syncohort.operators.stats import percentile_type2
@@ -36,6 +36,7 @@ from syncohort.operators.synthesis import (
     draw_diagnosis_date,
     draw_survival_time,
     finish_draws,
+    spread,
 )
 from syncohort.settings import RUN, StudySettings
 
@@ -560,12 +561,8 @@ def synthesize_fitted(
     if chains is None:
         fitted = cohort if members is None else cut(cohort.filter(members), "members")
         chains = fit_chains(fitted, settings, models)
-    slots = cut(
-        row_numbers(cohort.select("site", "id"), ["site"], ["id"], "slot").select(
-            "site", F.col("slot").alias("id")
-        ),
-        "slots",
-    )
+    numbered = row_numbers(cohort.select("site", "id"), ["site"], ["id"], "slot")
+    slots = cut(spread(numbered.select("site", F.col("slot").alias("id"))), "slots")
     out = None
     for model in models:
         level, codings = chains[model].level, chains[model].codings
@@ -583,10 +580,8 @@ def synthesize_fitted(
             v: draw_coefficients(fits[v], sims, seed + 1000 * model + purpose)[0]
             for purpose, v in enumerate(order)
         }
-        rows = slots.withColumn("model", F.lit(model)).withColumn(
-            "sim", F.explode(F.sequence(F.lit(1), F.lit(sims)))
-        )
-        rows = rows.join(draws_table(spark, site, model, vectors), keys)
+        # One row of coefficients a run: they go to the slots, never all slots to one place.
+        rows = join_constants(slots, draws_table(spark, site, model, vectors), ["site"])
         for purpose, variable in enumerate(order):
             fit = fits[variable]
             beta, u = F.col(f"beta_{variable}"), hash_uniform(*keys, "id", purpose)

@@ -201,3 +201,16 @@ def test_fits_leave_held_out_rows_alone(spark):
     drawn = models.synthesize_fitted(cohort, SETTINGS, [1], 2, "m", members=F.col("sex") == 0)
     rows = drawn.groupBy("sim").agg(F.count("*").alias("n"), F.max("sex").alias("sex")).collect()
     assert [(r["n"], r["sex"]) for r in rows] == [(200, 0), (200, 0)]
+
+
+def test_slots_are_not_sent_whole_to_every_task(spark, monkeypatch):
+    """The coefficients go to the persons: no side that is broadcast holds the persons' runs."""
+    monkeypatch.setattr(models, "finish_draws", lambda drawn, settings: drawn)
+    drawn = models.synthesize_fitted(people(spark, 200), SETTINGS, [1], 3, "m")
+    plan = drawn._jdf.queryExecution().optimizedPlan()
+    joins = [line for line in plan.toString().splitlines() if "Join " in line]
+    assert len(joins) == 1 and drawn.count() == 600
+    draws = [r["sim"] for r in drawn.select("sim").distinct().collect()]
+    assert sorted(draws) == [1, 2, 3]
+    assert "Generate" not in plan.toString()  # slots are not repeated before they meet the runs
+    assert "LogicalRDD" not in plan.toString()  
