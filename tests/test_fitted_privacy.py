@@ -213,4 +213,4 @@ def test_slots_are_not_sent_whole_to_every_task(spark, monkeypatch):
     draws = [r["sim"] for r in drawn.select("sim").distinct().collect()]
     assert sorted(draws) == [1, 2, 3]
     assert "Generate" not in plan.toString()  # slots are not repeated before they meet the runs
-    assert "LogicalRDD" not in plan.toString()  
+    assert "LogicalRDD" not in plan.toString()  # written coefficients, whose size is known
